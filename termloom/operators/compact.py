@@ -41,7 +41,7 @@ def record_text(body: Column) -> Column:
     """The record of a file: without a leading byte order mark, with one kind of
     line end, without white space at line ends and blank lines at the end. A file
     without content (NULL, empty or only such white space) has no record: NULL."""
-    text = F.regexp_replace(body, "^﻿", "")
+    text = F.regexp_replace(body, "^\\ufeff", "")
     text = F.regexp_replace(text, "\r\n?", "\n")
     text = F.regexp_replace(text, r"(?U)[^\S\n]+(?=\n|\z)", "")
     text = F.regexp_replace(text, r"\n+\z", "")
