@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 # rows as they should read; repeated (term, doc_id) rows merged
 CARDS = """
 cards AS (
@@ -65,9 +67,8 @@ def _skeleton(column: str) -> str:
     quoted = lambda s: s.replace("'", "''")
     sql = f"translate({sql}, '{quoted(_WIDE)}{HYPHENS}', '{quoted(_NARROW)}{'-' * len(HYPHENS)}')"
     # accents: take letters apart that have a look-alike base, then fold, then compose again
-    apart = {"é": "é", "ё": "ё", "ü": "ü", "ö": "ö", "ä": "ä", "й": "й", "É": "É", "Ё": "Ё", "Ü": "Ü", "Ö": "Ö", "Ä": "Ä", "Й": "Й"}
-    for k, v in apart.items():
-        sql = f"replace({sql}, '{k}', '{v}')"
+    for k in "éёüöäйÉЁÜÖÄЙ":
+        sql = f"replace({sql}, '{unicodedata.normalize('NFC', k)}', '{unicodedata.normalize('NFD', k)}')"
     return f"nfc_normalize(translate({sql}, '{''.join(LOOKALIKE)}', '{''.join(LOOKALIKE.values())}'))"
 
 
