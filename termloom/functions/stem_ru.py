@@ -34,15 +34,18 @@ def regions(word: Column) -> tuple[Column, Column]:
 
 def strip_first(word: Column, endings: tuple[str, ...] | list[str], least: Column) -> Column:
     """The word without the first of ``endings`` that leaves ``least`` characters."""
-    fits = F.filter(F.array(*map(F.lit, endings)), lambda s: F.endswith(word, s) & (F.length(word) - F.length(s) >= least))
-    return F.left(word, F.length(word) - F.coalesce(F.length(F.try_element_at(fits, F.lit(1))), F.lit(0)))
+    listed = F.array(*map(F.lit, endings))
 
+    def stripped(w: Column) -> Column:
+        fits = F.filter(listed, lambda s: F.endswith(w, s) & (F.length(w) - F.length(s) >= least))
+        return F.left(w, F.length(w) - F.coalesce(F.length(F.try_element_at(fits, F.lit(1))), F.lit(0)))
+
+    # bound as a lambda's variable, so that a chain of steps computes each step once
+    return F.element_at(F.transform(F.array(word), stripped), 1)
 
-def stem_ru(word: Column | str) -> Column:
-    """Stem of a word; NULL stays NULL, words without a letter of VOWELS stay as they are.
 
-    As a chain over a named column, use ``with_stem``: it keeps the steps apart
-    so that each is computed once."""
+def stem_ru(word: Column | str) -> Column:
+    """Stem of a word; NULL stays NULL, words without a letter of VOWELS stay as they are."""
     word = F.col(word) if isinstance(word, str) else word
     rv, r2 = regions(word)
     out = strip_first(word, ENDINGS, rv)
@@ -52,12 +55,8 @@ def stem_ru(word: Column | str) -> Column:
 
 
 def with_stem(df: DataFrame, word: str = "term", stem: str = "stem") -> DataFrame:
-    """``df`` with the stem of a column; each step is a projection of its own."""
-    rv, r2 = regions(F.col(word))
-    out = df.withColumns({"_rv": rv, "_r2": r2}).withColumn(stem, strip_first(F.col(word), ENDINGS, F.col("_rv")))
-    for endings, region in LATER:
-        out = out.withColumn(stem, strip_first(F.col(stem), endings, F.col("_rv" if region == "rv" else "_r2")))
-    return out.drop("_rv", "_r2")
+    """``df`` with the stem of a column."""
+    return df.withColumn(stem, stem_ru(word))
 
 
 def stem_tokens(tokens: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Queries over the test tables, one or more for each operator of the core."""
+"""Queries over the test tables, one or more for each operator of the core.
+
+Counts are BIGINT, lists are joined to strings and doubles rounded, so that rows
+compare with those of the SQL twins in ``oracle``.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,303 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .operators import compact, skew
-from .session import table
+from .functions import clean as cleaning
+from .functions import stem_ru, text
+from .operators import compact, crawl, index, skew, zipf
+from .plans import search as searching
+from .plans.query import parse_query
+from .session import is_folder, shared_dir, table, written
+from .sources.sinks import plot_lines, token_lines
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+STOPWORDS = ("the", "of", "and", "in", "der", "die", "und", "в", "и", "на", "с")
+SEARCHES = {
+    "bool_and": "the AND of",
+    "bool_or": "die OR of",
+    "bool_not": "NOT the",
+    "bool_nested": "(the OR der) AND NOT (of OR und)",
+    "bool_not_and": "NOT the AND of",
+    "bool_precedence": "der OR the AND NOT of",
+    "bool_unknown": "NOT zzzzqq AND the",
+    "bool_double_not": "NOT NOT the",
+}
+MIN_WORDS = 150
+ROOTS = ("Списки", "Понятия", "История")
+WORDS = (
+    "программирование программа программист обучение обучать обученный книга книги книгой большой большая большие делать делал "
+    "делающий красивый красивая красиво быстро быстрый быстрее машина машины машинный python я новейшего новейше новость"
+).split()
+
+
+def _long(c: str):
+    return F.col(c).cast("bigint").alias(c)
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def plain_tokens(spark: SparkSession, d: str, **options) -> DataFrame:
+    tokens = text.tokenize(documents(spark, d), normalise=False, **options)
+    return tokens.select("doc_id", _long("pos"), "term")
+
+
+def stopwords(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
+
+
+def numbered(spark: SparkSession, d: str) -> DataFrame:
+    return index.document_numbers(documents(spark, d).select(F.col("doc_id").alias("doc_num")))
+
+
+def corpus_index(spark: SparkSession, d: str) -> index.Index:
+    """Index of the corpus; its own dense numbers replace the document numbers."""
+    ids = written(numbered(spark, d), "docids")
+    tokens = text.tokenize(documents(spark, d), normalise=False).withColumnRenamed("doc_id", "doc_num")
+    own = tokens.join(ids.select("doc_num", "doc_id"), "doc_num").select("doc_id", "pos", "term")
+    return index.build_index(own, ids.select("doc_id", "filename"))
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    """Boolean search with titles: documents on ``the`` and ``of`` but not ``der``."""
+    return searching.search(corpus_index(spark, d), "the AND of AND NOT der", titles(spark, d))
+
+
+def titles(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select(text.document_name(F.col("doc_id").cast("int")).alias("filename"), text.title_of(F.col("text")).alias("title"))
+
+
+# ------------------------------------------------------------------ tokens
+def tokens(spark, d):
+    return plain_tokens(spark, d)
+
+
+def tokens_nfkc(spark, d):
+    return text.tokenize(documents(spark, d)).select("doc_id", _long("pos"), "term")
+
+
+def tokens_no_lowercase(spark, d):
+    return plain_tokens(spark, d, lowercase=False)
+
+
+def tokens_keep_hyphens(spark, d):
+    return plain_tokens(spark, d, keep_hyphens=True)
+
+
+def tokens_remove_numbers(spark, d):
+    return plain_tokens(spark, d, keep_numbers=False)
+
+
+def tokens_strict_numbers(spark, d):
+    return plain_tokens(spark, d, keep_numbers=False, strict_numbers=True)
+
+
+def tokens_stopwords(spark, d):
+    return plain_tokens(spark, d, stopwords=stopwords(spark))
+
+
+def ascii_tokens(spark, d):
+    return text.tokenize_ascii(documents(spark, d)).select("doc_id", _long("pos"), "term")
+
+
+def doc_term_positions(spark, d):
+    return token_lines(plain_tokens(spark, d)).select("doc_id", "term", "value")
+
+
+# ------------------------------------------------------------------- index
+def postings(spark, d):
+    p = index.build_postings(plain_tokens(spark, d))
+    return p.select("term", "doc_id", _long("term_freq"), F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("positions"))
+
+
+def postings_all_positions(spark, d):
+    p = index.build_postings(plain_tokens(spark, d), drop_position_zero=False)
+    return p.select("term", "doc_id", _long("term_freq"), F.element_at("positions", 1).cast("bigint").alias("first_position"))
+
+
+def vocabulary(spark, d):
+    return corpus_index(spark, d).vocabulary.select("term", "term_id", "doc_freq", "postings_offset")
+
+
+def posting_bytes(spark, d):
+    return index.posting_bytes(index.build_postings(plain_tokens(spark, d)))
+
+
+def docids(spark, d):
+    return numbered(spark, d).select("doc_id", "filename")
+
+
+def index_stats(spark, d):
+    return corpus_index(spark, d).stats
+
+
+def term_lookup(spark, d):
+    found = index.lookup(corpus_index(spark, d), "the")
+    return found.select("doc_id", _long("term_freq"), F.size("positions").cast("bigint").alias("n_positions"))
+
+
+def verify_index(spark, d):
+    return index.verify_index(corpus_index(spark, d))
+
+
+def stemmed_vocabulary(spark, d):
+    stems = stem_ru.stem_tokens(plain_tokens(spark, d))
+    return index.build_postings(stems).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+
+
+# ------------------------------------------------------------------ search
+def _search(name: str) -> Query:
+    def run(spark, d):
+        return searching.search(corpus_index(spark, d), SEARCHES[name]).select("doc_id", "filename")
+
+    run.__name__ = name
+    run.__doc__ = f"Documents for which {SEARCHES[name]!r} holds."
+    return run
+
+
+def bool_with_titles(spark, d):
+    return entry(spark, d)
 
+
+def bool_by_sets(spark, d):
+    return searching.matching_by_sets(corpus_index(spark, d), parse_query(SEARCHES["bool_nested"]))
+
+
+def search_many(spark, d):
+    return searching.search_many(corpus_index(spark, d), SEARCHES)
+
+
+# -------------------------------------------------------------------- zipf
+def _ranks(spark, d) -> DataFrame:
+    return zipf.zipf_rank(zipf.term_frequency(plain_tokens(spark, d)))
+
+
+def zipf_rank(spark, d):
+    return _ranks(spark, d)
+
+
+def zipf_top_n(spark, d):
+    return plot_lines(_ranks(spark, d), 100)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def zipf_regression(spark, d):
+    return _rounded(zipf.zipf_regression(_ranks(spark, d)), "slope", "intercept", "r_squared")
+
+
+def zipf_regression_top_n(spark, d):
+    return _rounded(zipf.zipf_regression(_ranks(spark, d), 100), "slope", "intercept", "r_squared")
+
+
+def zipf_fit(spark, d):
+    return _rounded(zipf.zipf_fit(_ranks(spark, d)), "log_rank", "log_frequency", "fitted")
+
+
+# -------------------------------------------------------------------- stem
+def stem_words(spark, d):
+    return stem_ru.with_stem(spark.createDataFrame([(w,) for w in WORDS], "term string")).select(F.col("term").alias("word"), "stem")
+
+
+def stem_log(spark, d):
+    return stem_ru.stem_log(plain_tokens(spark, d))
+
+
+def stem_log_distinct(spark, d):
+    return stem_ru.stem_log(plain_tokens(spark, d), distinct=True)
+
+
+# ------------------------------------------------------------ cleaning, queue
+def clean_docs(spark, d):
+    return cleaning.clean(documents(spark, d), min_words=MIN_WORDS).select("doc_id", _long("word_count"), "sha1")
+
+
+def dedupe_sha1(spark, d):
+    hashed = documents(spark, d).where("text IS NOT NULL").select("doc_id", F.sha1("text").alias("sha1"))
+    return cleaning.assign_ids(cleaning.dedupe(hashed), "doc_id").select("doc_id", "sha1", "new_id")
+
+
+def document_titles(spark, d):
+    """Titles from the crawl's metadata, where it has one, beside the first line of the text."""
+    meta = queue(spark, d).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("title").alias("page_title"))
+    own = documents(spark, d).select("doc_id", text.title_of(F.col("text")).alias("title"))
+    return own.join(meta, "doc_id", "left")
+
+
+def queue(spark: SparkSession, d: str) -> DataFrame:
+    """The crawl queue: of repeated deliveries of a page the last processed."""
+    pages = table(spark, d, "pages")
+    return pages.groupBy("id").agg(F.max_by(F.struct(*[c for c in pages.columns if c != "id"]), F.coalesce("processed_at", F.timestamp_seconds(F.lit(0)))).alias("p")).select("id", "p.*")
+
+
+def status_histogram(spark, d):
+    return crawl.status_histogram(queue(spark, d)).select(_long("status"), "pages")
+
+
+def crawl_stats(spark, d):
+    return crawl.crawl_stats(queue(spark, d))
+
+
+def page_queue_top(spark, d):
+    return crawl.next_pages(queue(spark, d), 50).select(_long("id"), "title", _long("attempts"))
+
+
+def page_claim(spark, d):
+    state = written(queue(spark, d), "queue")
+    return crawl.claim(state, crawl.next_pages(state, 50)).select(_long("id"), _long("status"), _long("attempts"))
+
+
+def requeued_pages(spark, d):
+    return crawl.status_histogram(crawl.requeue(queue(spark, d))).select(_long("status"), "pages")
+
+
+def event_counts(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.get_json_object("props", "$.k").cast("int") >= 50).alias("upper_half"))
+
+
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """Category members: each document's category holds it, the category's first
+    word holds the category, and each category its parent, so the graph has cycles."""
+    named = table(spark, d, "documents").where("category IS NOT NULL").select(cleaning.strip_category(F.col("category")).alias("cat"), text.title_of(F.col("text")).alias("title"))
+    parent = F.substring_index("cat", " ", 1)
+    return (
+        named.select("cat", F.lit(0).alias("ns"), "title")
+        .union(named.select(parent, F.lit(14), F.concat(F.lit("Категория:"), F.col("cat"))))
+        .union(named.select("cat", F.lit(14), F.concat(F.lit("Category:"), parent)))
+    )
+
+
+def category_bfs(spark, d):
+    return crawl.discover(members(spark, d), list(ROOTS))[1].select("cat", _long("depth"))
+
+
+def category_pages(spark, d):
+    return crawl.discover(members(spark, d), list(ROOTS))[0]
+
+
+def category_depth(spark, d):
+    return crawl.discover(members(spark, d), list(ROOTS), max_depth=0)[1].select("cat", _long("depth"))
+
+
+# --------------------------------------------------------------- streaming
+def stream_dedupe(spark, d):
+    """The documents taken as a stream: cleaned, one per content."""
+    folder = shared_dir(spark, "stream")
+    schema = T.StructType([f for f in table(spark, d, "documents").schema if f.name in ("doc_id", "text")])
+    path = f"{d}/documents.parquet"
+    source, pattern = (path, None) if is_folder(spark, path) else (d, "documents.parquet")
+    query = ingest.stream_ingest(spark, source, f"{folder}/out", f"{folder}/checkpoint", fmt="parquet", schema=schema, min_words=MIN_WORDS, pattern=pattern)
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("sha1", _long("word_count"))
+
+
+# ---------------------------------------------------- training-data problems
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return compact.same_records(compact.compact(table(spark, d, "file_info")).manifest())
 
@@ -31,5 +325,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.dominant_terms(skew.term_totals(table(spark, d, "postings"), table(spark, d, "vocabulary")))
 
 
+ALL: tuple[Query, ...] = (
+    tokens, tokens_nfkc, tokens_no_lowercase, tokens_keep_hyphens, tokens_remove_numbers, tokens_strict_numbers, tokens_stopwords,
+    ascii_tokens, doc_term_positions, postings, postings_all_positions, vocabulary, posting_bytes, docids, index_stats, term_lookup,
+    verify_index, stemmed_vocabulary, *map(_search, SEARCHES), bool_with_titles, bool_by_sets, search_many, zipf_rank, zipf_top_n,
+    zipf_regression, zipf_regression_top_n, zipf_fit, stem_words, stem_log, stem_log_distinct, clean_docs, dedupe_sha1,
+    document_titles, status_histogram, crawl_stats, page_queue_top, page_claim, requeued_pages, event_counts, category_bfs,
+    category_pages, category_depth, stream_dedupe, p2_found, p2_compact, p3_totals, p3_found,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_compact, p3_totals, p3_found)}
+    return {f.__name__: f for f in ALL}

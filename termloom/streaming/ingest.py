@@ -16,8 +16,10 @@ from ..functions.text import document_name
 ARTICLES = "title string, text string, source_url string, fetched_at timestamp"
 
 
-def read_articles(spark: SparkSession, source: str, fmt: str = "json", max_files: int | None = None, schema: str = ARTICLES) -> DataFrame:
+def read_articles(spark: SparkSession, source: str, fmt: str = "json", max_files: int | None = None, schema: str = ARTICLES, pattern: str | None = None) -> DataFrame:
     reader = spark.readStream.format(fmt).schema(schema)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(source)
@@ -37,11 +39,11 @@ def cleaned_stream(articles: DataFrame, min_words: int = MIN_WORDS, watermark: s
 
 def stream_ingest(
     spark: SparkSession, source: str, target: str, checkpoint: str, *, fmt: str = "json", schema: str = ARTICLES, min_words: int = MIN_WORDS,
-    watermark: str | None = None, max_files: int | None = None, once: bool = True,
+    watermark: str | None = None, max_files: int | None = None, once: bool = True, pattern: str | None = None,
 ) -> StreamingQuery:
     """Starts the ingestion into Parquet at ``target``. ``once`` takes what is
     there and stops; otherwise it runs until stopped."""
-    out = cleaned_stream(read_articles(spark, source, fmt, max_files, schema), min_words, watermark)
+    out = cleaned_stream(read_articles(spark, source, fmt, max_files, schema, pattern), min_words, watermark)
     writer = out.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
