@@ -4,6 +4,10 @@ A suffix goes only if what is left reaches a mark in the word. RV is just after
 first letter of VOWELS. R1 is just after the first such letter that is not the
 word's first, R2 just after the first such letter past the one that follows R1. A
 mark that is not found is the word's end.
+
+The part of the word after RV is turned round, so that an ending is a beginning: an
+alternation at the start of a text takes its first fitting branch, which is the
+rule's own order, where one at the end of a text would take the longest.
 """
 
 from __future__ import annotations
@@ -22,36 +26,36 @@ ENDINGS = (
 # Endings of the later steps, with the region that must remain.
 LATER = ((("и",), "rv"), (("ость", "ост"), "r2"), (("ейш", "ейше", "ь"), "rv"))
 
+WORD_MAX = 2**31 - 1
 
-def regions(word: Column) -> tuple[Column, Column]:
-    """(RV, R2) as numbers of characters."""
-    n = F.length(word)
-    upto = lambda pattern: F.length(F.regexp_extract(word, pattern, 0))
-    rv = upto(f"^[^{VOWELS}]*[{VOWELS}]")
-    r2 = upto(f"(?s)^.[^{VOWELS}]*[{VOWELS}].[^{VOWELS}]*[{VOWELS}]")
-    return F.when(rv > 0, rv).otherwise(n), F.when(r2 > 0, r2).otherwise(n)
-
+_HEAD = f"(?s)^(?:[^{VOWELS}]*[{VOWELS}]|.*)"
+_HEAD_R2 = f"(?s)^(?:.[^{VOWELS}]*[{VOWELS}].[^{VOWELS}]*[{VOWELS}]|.*)"
 
-def strip_first(word: Column, endings: tuple[str, ...] | list[str], least: Column) -> Column:
-    """The word without the first of ``endings`` that leaves ``least`` characters."""
-    listed = F.array(*map(F.lit, endings))
 
-    def stripped(w: Column) -> Column:
-        fits = F.filter(listed, lambda s: F.endswith(w, s) & (F.length(w) - F.length(s) >= least))
-        return F.left(w, F.length(w) - F.coalesce(F.length(F.try_element_at(fits, F.lit(1))), F.lit(0)))
-
-    # bound as a lambda's variable, so that a chain of steps computes each step once
-    return F.element_at(F.transform(F.array(word), stripped), 1)
+def _begins(endings: tuple[str, ...] | list[str]) -> str:
+    return "^(?:" + "|".join(e[::-1] for e in endings) + ")"
 
 
 def stem_ru(word: Column | str) -> Column:
     """Stem of a word; NULL stays NULL, words without a letter of VOWELS stay as they are."""
     word = F.col(word) if isinstance(word, str) else word
-    rv, r2 = regions(word)
-    out = strip_first(word, ENDINGS, rv)
+    head = F.regexp_extract(word, _HEAD, 0)
+    rest = F.regexp_replace(F.reverse(F.substring(word, F.length(head) + 1, F.length(word))), _begins(ENDINGS), "")
     for endings, region in LATER:
-        out = strip_first(out, endings, rv if region == "rv" else r2)
-    return out
+        if region == "rv":
+            rest = F.regexp_replace(rest, _begins(endings), "")
+        else:
+            kept = F.length(F.regexp_extract(word, _HEAD_R2, 0)) - F.length(head)
+
+            def cut(r: Column) -> Column:
+                out = F.when(F.lit(False), r)
+                for e in endings:  # noqa: B023
+                    out = out.when(F.startswith(r, F.lit(e[::-1])) & (F.length(r) - len(e) >= kept), F.substring(r, len(e) + 1, WORD_MAX))
+                return out.otherwise(r)
+
+            # bound as a lambda's variable, so that the steps before are computed once
+            rest = F.element_at(F.transform(F.array(rest), cut), 1)
+    return F.concat(head, F.reverse(rest))
 
 
 def with_stem(df: DataFrame, word: str = "term", stem: str = "stem") -> DataFrame:
@@ -59,16 +63,23 @@ def with_stem(df: DataFrame, word: str = "term", stem: str = "stem") -> DataFram
     return df.withColumn(stem, stem_ru(word))
 
 
+def stem_terms(tokens: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct terms; a frequent word is stemmed once."""
+    # an aggregate's result: conditions on the stem are not pushed down to the tokens
+    terms = tokens.where("term IS NOT NULL").groupBy("term").agg(F.max("term").alias("_word"))
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_stem(terms.repartition(tasks, "term"), "_word").drop("_word")
+
+
 def stem_tokens(tokens: DataFrame) -> DataFrame:
-    """(doc_id, pos, term) with stems for terms. The distinct terms are stemmed
-    and joined back, so a frequent word is stemmed once."""
-    stems = with_stem(tokens.select("term").where("term IS NOT NULL").distinct())
-    return tokens.join(stems, "term").select("doc_id", "pos", F.col("stem").alias("term"))
+    """(doc_id, pos, term) with stems for terms."""
+    return tokens.join(stem_terms(tokens), "term").select("doc_id", "pos", F.col("stem").alias("term"))
 
 
 def stem_log(tokens: DataFrame, distinct: bool = False) -> DataFrame:
     """(original, stem) of the terms that stemming changes: once per document
     and term, or once per term."""
-    grain = tokens.select("term") if distinct else tokens.select("doc_id", "term")
-    stems = with_stem(tokens.select("term").where("term IS NOT NULL").distinct()).where("stem <> term")
-    return grain.distinct().join(stems, "term").select(F.col("term").alias("original"), "stem")
+    changed = stem_terms(tokens).where("stem <> term").select(F.col("term").alias("original"), "stem")
+    if distinct:
+        return changed
+    return tokens.select("doc_id", F.col("term").alias("original")).distinct().join(changed, "original").select("original", "stem")

@@ -17,7 +17,7 @@ from .functions import stem_ru, text
 from .operators import compact, crawl, index, skew, zipf
 from .plans import search as searching
 from .plans.query import parse_query
-from .session import is_folder, shared_dir, table, written
+from .session import exists, is_folder, shared_dir, table, written
 from .sources.sinks import plot_lines, token_lines
 from .streaming import ingest
 
@@ -63,12 +63,22 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
     return index.document_numbers(documents(spark, d).select(F.col("doc_id").alias("doc_num")))
 
 
+_saved: dict[tuple[str, str], str] = {}  # folder of the index built by a session over a directory
+
+
 def corpus_index(spark: SparkSession, d: str) -> index.Index:
-    """Index of the corpus; its own dense numbers replace the document numbers."""
-    ids = written(numbered(spark, d), "docids")
-    tokens = text.tokenize(documents(spark, d), normalise=False).withColumnRenamed("doc_id", "doc_num")
-    own = tokens.join(ids.select("doc_num", "doc_id"), "doc_num").select("doc_id", "pos", "term")
-    return index.build_index(own, ids.select("doc_id", "filename"))
+    """Index of the corpus, built and saved once by a session and then loaded, so
+    searches read the clustered files. Its own dense numbers replace the document
+    numbers. A folder that is gone is built again."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _saved or not exists(spark, f"{_saved[key]}/stats/_SUCCESS"):
+        ids = written(numbered(spark, d), "docids")
+        tokens = text.tokenize(documents(spark, d), normalise=False).withColumnRenamed("doc_id", "doc_num")
+        own = tokens.join(ids.select("doc_num", "doc_id"), "doc_num").select("doc_id", "pos", "term")
+        folder = shared_dir(spark, "index")
+        index.build_index(own, ids.select("doc_id", "filename")).save(folder)
+        _saved[key] = folder
+    return index.Index.load(spark, _saved[key])
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,8 @@ def _named(df: DataFrame) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str, pattern: str = "doc*.txt") -> DataFrame:
     """(doc_num, filename, title, text) of a folder of text files, one document a
-    file. title is the first line; doc_num is -1 where the name has no number."""
+    file. title is the first line; doc_num is -1 where the name has no number. Files of no
+    bytes are not read."""
     files = _named(spark.read.text(path, wholetext=True, pathGlobFilter=pattern))
     return files.select(
         document_number(F.col("filename")).alias("doc_num"), "filename", title_of(F.col("value")).alias("title"), F.col("value").alias("text")
