@@ -29,10 +29,13 @@ from .quality import COMMON
 
 MAX_LABELLED = 4000  # labelled documents the classifier is fitted on
 MAX_VOCABULARY = 60_000  # words of the classifier
-DIMENSIONS = 64
+DIMENSIONS = 40
 REFINEMENTS = 6
 MIN_SHARE = 0.25  # of the sentences that are about some subject
-MIN_COSINE = 0.5
+MAX_GROUPS = 3  # centroids of a subject
+MIN_COSINE = 0.4
+SMOOTHING = 1.0  # sentences or documents of the overall distribution added to each word's own
+MIXED_WEIGHT = 0.1  # of a document of several subjects in the first counts
 MIN_INFORMATION = 0.35  # least weight of a word, from 0 (spread evenly over subjects) to 1 (one subject)
 
 SPLIT_SCHEMA = "doc_id bigint, prose boolean, words array<int>"
@@ -135,21 +138,36 @@ def document_frequencies(split: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return df[:size], int(df[size])
 
 
-def information(sample: Sample, subjects: list[str]) -> np.ndarray:
-    """How far each word's labelled documents are concentrated on few subjects:
-    1 minus the entropy of its subjects over the greatest entropy, smoothed by the
-    overall distribution so that a rare word is not sure of its subject."""
-    index = {s: i for i, s in enumerate(subjects)}
-    counts = np.zeros((len(sample.vocabulary), len(subjects)))
+def counts_by_document(sample: Sample, index: dict[str, int]) -> np.ndarray:
+    """Documents of each subject that hold each word; those of several subjects
+    count little, as it is not known which of them a word belongs to."""
+    counts = np.zeros((len(sample.vocabulary), len(index)))
     for sents, known in zip(sample.docs, sample.subjects):
         for w in {w for s in sents for w in s}:
             for s in known:
-                counts[w, index[s]] += 1 / len(known)
+                counts[w, index[s]] += 1.0 if len(known) == 1 else MIXED_WEIGHT
+    return counts
+
+
+def counts_by_sentence(sample: Sample, n_subjects: int, subject: np.ndarray) -> np.ndarray:
+    """Sentences of each subject that hold each word; ``subject`` is -1 for none."""
+    counts = np.zeros((len(sample.vocabulary), n_subjects))
+    for words, s in zip((s for sents in sample.docs for s in sents), subject):
+        if s >= 0:
+            counts[list(set(words)), s] += 1
+    return counts
+
+
+def information(counts: np.ndarray) -> np.ndarray:
+    """How far each word is concentrated on few subjects: 1 minus the entropy of
+    its subjects over the greatest entropy, smoothed by the overall distribution
+    so that a rare word is not sure of its subject."""
     prior = counts.sum(0) / max(counts.sum(), 1e-9)
-    p = counts + 0.5 * prior
-    p /= p.sum(1, keepdims=True)
+    p = counts + SMOOTHING * prior
+    p /= np.maximum(p.sum(1, keepdims=True), 1e-9)
     entropy = -(p * np.log(p + 1e-12)).sum(1)
-    return np.clip(1 - entropy / math.log(max(len(subjects), 2)), 0, 1)
+    info = np.clip(1 - entropy / math.log(max(counts.shape[1], 2)), 0, 1)
+    return np.where(counts.sum(1) > 0, info, 0)
 
 
 def truncated_svd(rows: list[dict[int, float]], n_words: int, k: int, rounds: int = 4) -> np.ndarray:
@@ -197,10 +215,21 @@ class Classifier:
         return np.where(cosine[np.arange(len(best)), best] >= MIN_COSINE, self.owner[best], -1)
 
 
-def fit(sample: Sample, df: np.ndarray, n_docs: int, subjects: list[str], languages: int = 3) -> Classifier:
-    """Decomposition and centroids of the labelled sample."""
+def fit(sample: Sample, df: np.ndarray, n_docs: int, subjects: list[str]) -> Classifier:
+    """Fits twice: word weights first come from the subjects of whole documents,
+    then from the subjects of the sentences that the first fit finds."""
+    index = {s: i for i, s in enumerate(subjects)}
+    first, found = fit_once(sample, counts_by_document(sample, index), df, n_docs, subjects)
+    if not len(found):
+        return first
+    return fit_once(sample, counts_by_sentence(sample, len(subjects), found), df, n_docs, subjects)[0]
+
+
+def fit_once(sample: Sample, counts: np.ndarray, df: np.ndarray, n_docs: int, subjects: list[str]) -> tuple[Classifier, np.ndarray]:
+    """Weights, decomposition, seed centroids and their refinement; also the
+    subject of each sentence of the sample."""
     n = len(sample.vocabulary)
-    info = information(sample, subjects)
+    info = information(counts)
     weight = np.where(info >= MIN_INFORMATION, info * np.log((n_docs + 1) / (df + 0.5)).clip(0), 0).astype(np.float32)
     rows = []
     for sents in sample.docs:
@@ -211,7 +240,7 @@ def fit(sample: Sample, df: np.ndarray, n_docs: int, subjects: list[str], langua
     basis = truncated_svd(rows, n, DIMENSIONS)
     latent = np.vstack([unit(basis) * weight[:, None], np.zeros((1, basis.shape[1]), np.float32)]).astype(np.float32)
 
-    # seeds: for each subject the groups of its documents that share no words (languages)
+    # seeds: for each subject the groups of its documents that share no words, as the languages do
     seeds: dict[str, list[np.ndarray]] = defaultdict(list)
     for row, known in zip(rows, sample.subjects):
         if len(known) == 1 and row:
@@ -219,7 +248,7 @@ def fit(sample: Sample, df: np.ndarray, n_docs: int, subjects: list[str], langua
             seeds[next(iter(known))].append(unit(v))
     centroids, owner = [], []
     for i, s in enumerate(subjects):
-        for c in spread_centroids(np.array(seeds[s]) if seeds[s] else np.zeros((0, latent.shape[1])), languages):
+        for c in spread_centroids(np.array(seeds[s]) if seeds[s] else np.zeros((0, latent.shape[1])), MAX_GROUPS):
             centroids.append(c)
             owner.append(i)
     model = Classifier(sample.vocabulary, subjects, latent, np.array(centroids or np.zeros((1, latent.shape[1])), dtype=np.float32), np.array(owner or [0]))
@@ -231,12 +260,13 @@ def fit(sample: Sample, df: np.ndarray, n_docs: int, subjects: list[str], langua
             starts.append(len(flat))
             flat += [*s, -1]
             allowed.append([index[k] for k in known])
-    if not flat:
-        return model
+    if not flat or not centroids:
+        return model, np.zeros(0, np.int64)
     vectors = unit(np.add.reduceat(latent[np.array(flat)], np.array(starts)))
     member = np.zeros((len(allowed), len(subjects)), bool)
     for r, own in enumerate(allowed):
         member[r, own] = True
+    best = sure = None
     for _ in range(REFINEMENTS):
         cosine = vectors @ model.centroids.T
         cosine[~member[:, model.owner]] = -1
@@ -247,10 +277,11 @@ def fit(sample: Sample, df: np.ndarray, n_docs: int, subjects: list[str], langua
             mine = vectors[sure & (best == c)]
             if len(mine):
                 moved[c] = unit(mine.mean(0))
-        if np.allclose(moved, model.centroids, atol=1e-4):
-            break
+        settled = np.allclose(moved, model.centroids, atol=1e-4)
         model.centroids = moved
-    return model
+        if settled:
+            break
+    return model, np.where(sure, model.owner[best], -1)
 
 
 def spread_centroids(v: np.ndarray, k: int) -> list[np.ndarray]:
@@ -294,7 +325,7 @@ def assign(split: DataFrame, model: Classifier, min_share: float = MIN_SHARE) ->
                 d, s = np.nonzero((counts > 0) & (counts >= min_share * total[:, None]))
                 yield pd.DataFrame(
                     {
-                        "doc_id": docs[lo + d], "subject": [m.subjects[x] for x in s], "sentences": counts[d, s],
+                        "doc_id": docs[lo + d], "subject": pd.Series([m.subjects[x] for x in s], dtype=object), "sentences": counts[d, s],
                         "subject_sentences": total[d], "share": counts[d, s] / np.maximum(total[d], 1),
                     }
                 )
