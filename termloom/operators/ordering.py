@@ -19,20 +19,24 @@ def _spread(df: DataFrame, order: list[str | Column]) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list[str | Column], name: str, start: int = 1) -> DataFrame:
-    """``df`` with consecutive numbers from ``start`` in a column ``name``."""
+    """``df`` with consecutive numbers from ``start`` in a column ``name``; a
+    column of that name is replaced. Rows that tie get different numbers."""
+    kept = [c for c in df.columns if c != name]
     parts = _spread(df, order)
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_within", within).join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_before") + F.col("_within") + (start - 1)).cast("bigint").alias(name))
+    return parts.withColumn("_within", within).join(F.broadcast(starts), "_part").select(*kept, (F.col("_before") + F.col("_within") + (start - 1)).cast("bigint").alias(name))
 
 
 def running_total(df: DataFrame, order: list[str | Column], value: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before, 0 for the first."""
+    """``df`` with the sum of ``value`` over all rows before, 0 for the first; a
+    column ``name`` is replaced."""
+    kept = [c for c in df.columns if c != name]
     parts = _spread(df, order)
     sums = parts.groupBy("_part").agg(F.sum(value).alias("_s"))
     before = F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return parts.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_before") + F.col("_within")).cast("bigint").alias(name))
+    return parts.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(starts), "_part").select(*kept, (F.col("_before") + F.col("_within")).cast("bigint").alias(name))
