@@ -20,9 +20,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import written
 from .text import canonical, skeleton
 
+STRINGS_PER_TASK = 200_000  # distinct strings in one task's trie, about
 CLASS_SCHEMA = "spelling string, class_id string, canonical string, n_spellings int, matched boolean"
 
 
@@ -81,14 +84,16 @@ def spelling_classes(df: DataFrame, text: str, n_tasks: int | None = None) -> Da
     Columns: spelling, class_id (equal for strings that look the same),
     canonical, n_spellings (of the class), matched (whether the class has more
     than one). The empty string is a class of its own."""
-    spark = df.sparkSession
-    tasks = n_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def classes(s: pd.Series) -> pd.Series:
         return s.map(skeleton)
 
-    distinct = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("spelling")).agg(F.count(F.lit(1)).alias("weight"))
+    distinct = written(
+        df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("spelling")).agg(F.count(F.lit(1)).alias("weight")), "spellings"
+    )
+    tasks = n_tasks or max(least, -(-distinct.count() // STRINGS_PER_TASK))
     spread = distinct.withColumn("classes", classes("spelling")).repartition(tasks, "classes").select("spelling", "weight")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,8 +115,10 @@ def spelling_classes(df: DataFrame, text: str, n_tasks: int | None = None) -> Da
 
 
 def normalise(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``<text>_normal``, the canonical spelling of the column; NULL stays NULL."""
+    """``df`` with ``<text>_normal``, the canonical spelling of the column; NULL
+    stays NULL, and a column of that name is replaced."""
     name = f"{text}_normal"
+    df = df.drop(name)
     classes = spelling_classes(df, text).select(F.col("spelling").alias("_spelling"), F.col("canonical").alias(name))
     return df.join(classes, df[text].eqNullSafe(classes["_spelling"]), "left").drop("_spelling")
 
@@ -126,9 +133,9 @@ def same_looking_pages(pages: DataFrame) -> DataFrame:
     """(page_a, page_b), page_a < page_b: two pages with unequal titles that look
     the same. Classes with one spelling take no part in the join, so only pages
     that have a partner are paired; NULL titles have none."""
-    latest = latest_pages(pages)
+    latest = written(latest_pages(pages), "pages")
     classes = spelling_classes(latest, "title").where("matched").select(F.col("spelling").alias("title"), "class_id")
-    members = latest.where(F.col("title").isNotNull()).join(classes, "title")
+    members = written(latest.where(F.col("title").isNotNull()).join(classes, "title"), "members")
     a = members.select(F.col("id").alias("ia"), F.col("title").alias("ta"), "class_id")
     b = members.select(F.col("id").alias("ib"), F.col("title").alias("tb"), "class_id")
     return (

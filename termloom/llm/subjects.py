@@ -28,6 +28,7 @@ from . import quality
 from .quality import COMMON
 
 MAX_LABELLED = 4000  # labelled documents the classifier is fitted on
+MAX_LABELLED_CHARS = 200_000  # longest labelled document it is fitted on
 MAX_VOCABULARY = 60_000  # words of the classifier
 DIMENSIONS = 40
 REFINEMENTS = 6
@@ -60,10 +61,11 @@ def content_words(words: list[str]) -> list[str]:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int) -> tuple[list[tuple[int, str]], dict[int, set[str]]]:
-    """Texts and subjects of at most ``bound`` labelled documents, chosen by a hash of their id."""
+    """Texts and subjects of at most ``bound`` labelled documents, chosen by a hash
+    of their id; texts above MAX_LABELLED_CHARS are left out of the fit."""
     known = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "subject").distinct()
     chosen = known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").collect()
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") <= MAX_LABELLED_CHARS).join(F.broadcast(chosen), "doc_id").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [(r["doc_id"], r["text"]) for r in rows], {r["doc_id"]: set(r["subjects"]) for r in rows}
 
