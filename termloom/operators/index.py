@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import document_name
+from ..functions.text import document_name, folded, tokens_array
 from ..session import written
 from .ordering import ranked, running_total
 
@@ -56,6 +60,46 @@ def build_postings(tokens: DataFrame, drop_position_zero: bool = True) -> DataFr
     return grouped.select("term", "doc_id", F.size("positions").alias("term_freq"), "positions")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], drop_position_zero: bool) -> Iterator[pa.RecordBatch]:
+    """Postings of batches (key, tokens): the batch's words become numbers, and a
+    stable sort by (row, number) brings each word's ascending positions together."""
+    for b in batches:
+        lists = b.column(1)
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+        words = lists.flatten().dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        if drop_position_zero:
+            kept = at > 0
+            code, row, at = code[kept], row[kept], at[kept]
+        group = row * max(len(words.dictionary), 1) + code
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+        offsets = np.r_[first, len(group)].astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                words.dictionary.take(pa.array(code[order][first])),
+                b.column(0).take(pa.array(row[order][first])),
+                pa.array(np.diff(offsets).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[order].astype(np.int32))),
+            ],
+            names=["term", "doc_id", "term_freq", "positions"],
+        )
+
+
+def document_postings(
+    documents: DataFrame, text: str = "text", key: str = "doc_id", drop_position_zero: bool = True, *, normalise: bool = True, lowercase: bool = True, keep_hyphens: bool = False
+) -> DataFrame:
+    """What ``build_postings`` gives for the tokens of whole documents, without a
+    shuffle: all occurrences of a (term, document) stand in one row, so they are
+    grouped where they are, by vectorised Arrow batches. ``key`` must be unique; a
+    NULL or empty text has no postings."""
+    cut = documents.select(F.col(key).cast("bigint").alias("doc_id"), tokens_array(folded(F.col(text), normalise, lowercase), keep_hyphens).alias("tokens"))
+    return cut.mapInArrow(lambda batches: _grouped(batches, drop_position_zero), "term string, doc_id bigint, term_freq int, positions array<int>")
+
+
 def build_vocabulary(postings: DataFrame) -> DataFrame:
     """(term, term_id, doc_freq, postings_offset).
 
@@ -87,10 +131,23 @@ def build_index(tokens: DataFrame, docids: DataFrame, drop_position_zero: bool =
     """Index of (doc_id, pos, term) rows over the documents (doc_id, filename).
 
     Tokens of documents that are not in ``docids`` are indexed too; ``verify_index``
-    reports them. The postings are written to the shared folder once, as the
-    vocabulary and the statistics are taken from them."""
-    postings = written(build_postings(tokens, drop_position_zero), "postings")
-    return Index(postings, build_vocabulary(postings), docids, index_stats(postings, docids))
+    reports them."""
+    return index_of(build_postings(tokens, drop_position_zero), docids)
+
+
+def build_document_index(documents: DataFrame, drop_position_zero: bool = True, **options) -> Index:
+    """Index of (doc_num, text) rows; the index's own dense numbers replace doc_num."""
+    numbers = written(document_numbers(documents.select("doc_num")), "docids")
+    found = document_postings(documents, key="doc_num", drop_position_zero=drop_position_zero, **options).withColumnRenamed("doc_id", "doc_num")
+    own = found.join(numbers.select("doc_num", "doc_id"), "doc_num")
+    return index_of(own.select("term", "doc_id", "term_freq", "positions"), numbers.select("doc_id", "filename"))
+
+
+def index_of(postings: DataFrame, docids: DataFrame) -> Index:
+    """The index of these postings. They are written to the shared folder once, as
+    the vocabulary and the statistics are taken from them."""
+    kept = written(postings, "postings")
+    return Index(kept, build_vocabulary(kept), docids, index_stats(kept, docids))
 
 
 def lookup(index: Index, term: str) -> DataFrame:

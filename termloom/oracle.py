@@ -140,6 +140,7 @@ tok AS (SELECT doc_id, unnest(range(len(t)))::BIGINT AS pos, unnest(t) AS term,
         "doc_term_positions": f"WITH {TOK} SELECT doc_id, term, term || ' ' || string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS value FROM tok GROUP BY doc_id, term",
         "postings": f"WITH {TOK} SELECT term, doc_id, count(*) AS term_freq, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok WHERE pos > 0 GROUP BY term, doc_id",
         "postings_all_positions": f"WITH {TOK} SELECT term, doc_id, count(*) AS term_freq, min(pos) AS first_position FROM tok GROUP BY term, doc_id",
+        "postings_of_tokens": f"WITH {TOK} SELECT term, doc_id, count(*) AS term_freq FROM tok WHERE pos > 0 GROUP BY term, doc_id",
         "vocabulary": f"""
 WITH {INDEX},
 v AS (SELECT term, count(*) AS doc_freq, min(doc_id) AS first, sum(12 + 4 * tf) + 4 AS bytes FROM post GROUP BY term)

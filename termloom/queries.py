@@ -72,11 +72,8 @@ def corpus_index(spark: SparkSession, d: str) -> index.Index:
     numbers. A folder that is gone is built again."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _saved or not exists(spark, f"{_saved[key]}/stats/_SUCCESS"):
-        ids = written(numbered(spark, d), "docids")
-        tokens = text.tokenize(documents(spark, d), normalise=False).withColumnRenamed("doc_id", "doc_num")
-        own = tokens.join(ids.select("doc_num", "doc_id"), "doc_num").select("doc_id", "pos", "term")
         folder = shared_dir(spark, "index")
-        index.build_index(own, ids.select("doc_id", "filename")).save(folder)
+        index.build_document_index(documents(spark, d).withColumnRenamed("doc_id", "doc_num"), normalise=False).save(folder)
         _saved[key] = folder
     return index.Index.load(spark, _saved[key])
 
@@ -129,12 +126,12 @@ def doc_term_positions(spark, d):
 
 # ------------------------------------------------------------------- index
 def postings(spark, d):
-    p = index.build_postings(plain_tokens(spark, d))
+    p = index.document_postings(documents(spark, d), normalise=False)
     return p.select("term", "doc_id", _long("term_freq"), F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("positions"))
 
 
 def postings_all_positions(spark, d):
-    p = index.build_postings(plain_tokens(spark, d), drop_position_zero=False)
+    p = index.document_postings(documents(spark, d), drop_position_zero=False, normalise=False)
     return p.select("term", "doc_id", _long("term_freq"), F.element_at("positions", 1).cast("bigint").alias("first_position"))
 
 
@@ -142,8 +139,14 @@ def vocabulary(spark, d):
     return corpus_index(spark, d).vocabulary.select("term", "term_id", "doc_freq", "postings_offset")
 
 
+def postings_of_tokens(spark, d):
+    """The same from token rows, as after stemming or with stop words removed."""
+    p = index.build_postings(plain_tokens(spark, d))
+    return p.select("term", "doc_id", _long("term_freq"))
+
+
 def posting_bytes(spark, d):
-    return index.posting_bytes(index.build_postings(plain_tokens(spark, d)))
+    return index.posting_bytes(index.document_postings(documents(spark, d), normalise=False))
 
 
 def docids(spark, d):
@@ -337,7 +340,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 ALL: tuple[Query, ...] = (
     tokens, tokens_nfkc, tokens_no_lowercase, tokens_keep_hyphens, tokens_remove_numbers, tokens_strict_numbers, tokens_stopwords,
-    ascii_tokens, doc_term_positions, postings, postings_all_positions, vocabulary, posting_bytes, docids, index_stats, term_lookup,
+    ascii_tokens, doc_term_positions, postings, postings_all_positions, postings_of_tokens, vocabulary, posting_bytes, docids, index_stats, term_lookup,
     verify_index, stemmed_vocabulary, *map(_search, SEARCHES), bool_with_titles, bool_by_sets, search_many, zipf_rank, zipf_top_n,
     zipf_regression, zipf_regression_top_n, zipf_fit, stem_words, stem_log, stem_log_distinct, clean_docs, dedupe_sha1,
     document_titles, status_histogram, crawl_stats, page_queue_top, page_claim, requeued_pages, event_counts, category_bfs,

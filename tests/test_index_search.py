@@ -31,6 +31,18 @@ def test_index(small):
     assert rows(index.posting_bytes(small.postings)) == [("a", 36), ("b", 20), ("c", 24)]
 
 
+def test_document_postings_equal_token_postings(spark):
+    from termloom.functions.text import tokenize
+
+    texts = ["a b a", "", None, "B c-d ﬁ", "x " * 5000 + "y", "a"]
+    docs = spark.createDataFrame([(i * 3, t, "z") for i, t in enumerate(texts)], "doc_id bigint, text string, term string")
+    for drop in (True, False):
+        assert rows(index.document_postings(docs, drop_position_zero=drop)) == rows(index.build_postings(tokenize(docs), drop))
+    assert index.document_postings(docs.limit(0)).count() == 0
+    ix = index.build_document_index(docs.select(F.col("doc_id").cast("int").alias("doc_num"), "text"))
+    assert index.verify_index(ix).count() == 0 and ix.docids.count() == len(texts)
+
+
 def test_save_load_export(spark, small, tmp_path):
     small.save(f"{tmp_path}/ix")
     again = index.Index.load(spark, f"{tmp_path}/ix")
