@@ -80,27 +80,27 @@ def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def pfair_slots(weights: dict[str, float], n_blocks: int) -> list[tuple[str, int]]:
-    """Slot by slot the (source, block number from 1) that comes next.
+def pfair_slots(weights: dict[str, float], blocks: dict[str, int]) -> list[tuple[str, int]]:
+    """Slot by slot the (source, block number from 1) that comes next, until each
+    source has had all of its ``blocks``.
 
     weights are shares that sum to 1. A block waits for its release; if no block
     is released, the one released next comes."""
     waiting: list[tuple[int, int, str, int]] = []
     ready: list[tuple[int, str, int]] = []
     for s, w in sorted(weights.items()):
-        if w > 0:
+        if blocks[s] > 0:
             heapq.heappush(waiting, (0, math.ceil(1 / w), s, 1))
     slots: list[tuple[str, int]] = []
-    for t in range(n_blocks):
-        while waiting and (waiting[0][0] <= t or not ready):
+    while waiting or ready:
+        while waiting and (waiting[0][0] <= len(slots) or not ready):
             _, due, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, j))
-        if not ready:
-            break
         _, s, j = heapq.heappop(ready)
         slots.append((s, j))
-        w = weights[s]
-        heapq.heappush(waiting, (math.floor(j / w + 1e-9), math.ceil((j + 1) / w - 1e-9), s, j + 1))
+        if j < blocks[s]:
+            w = weights[s]
+            heapq.heappush(waiting, (math.floor(j / w + 1e-9), math.ceil((j + 1) / w - 1e-9), s, j + 1))
     return slots
 
 
@@ -117,7 +117,9 @@ def mix(sizes: DataFrame, targets: DataFrame, n_blocks: int = N_BLOCKS, n_chunks
     planned = sum(r["planned_size"] for r in rows)
     block = max(planned / n_blocks, 1e-9)
     per_source = F.broadcast(spark.createDataFrame([(r["source"], r["repeats"], r["planned_size"], r["size"], block) for r in rows], schema))
-    slots = pfair_slots({r["source"]: r["planned_size"] / planned for r in rows}, n_blocks + len(rows))
+    weights = {r["source"]: r["planned_size"] / planned for r in rows}
+    # a document that begins below the planned size begins in one of so many blocks
+    slots = pfair_slots(weights, {r["source"]: math.floor(r["planned_size"] / block) + 1 for r in rows})
     slot_of = F.broadcast(spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(slots)], "source string, block_no int, slot int"))
 
     order = F.xxhash64("doc_id")

@@ -102,13 +102,15 @@ def test_trie_walk():
 @given(st.lists(st.integers(1, 1000), min_size=1, max_size=12), st.integers(1, 400))
 def test_pfair_deviates_less_than_a_block(parts, n):
     weights = {f"s{i}": p / sum(parts) for i, p in enumerate(parts)}
+    blocks = {s: math.floor(w * n) + 1 for s, w in weights.items()}
+    slots = mixing.pfair_slots(weights, blocks)
+    assert Counter(s for s, _ in slots) == blocks
     seen = Counter()
-    slots = mixing.pfair_slots(weights, n)
-    assert len(slots) == n
     for t, (s, j) in enumerate(slots, 1):
         seen[s] += 1
         assert j == seen[s]
-        assert all(abs(seen[k] - w * t) < 1 + 1e-6 for k, w in weights.items())
+        if t <= n:  # as long as no source has run out
+            assert all(abs(seen[k] - w * t) < 1 + 1e-6 for k, w in weights.items() if all(seen[x] < blocks[x] for x in blocks))
 
 
 def mix_tables(spark):
@@ -134,6 +136,8 @@ def test_mix(spark):
     plan = {r["source"]: r for r in mixing.source_plan(sizes, targets).collect()}
     assert plan["big"]["size"] == size["big"] and plan["small"]["factor"] == pytest.approx(0.3 * total / size["small"])
     assert plan["absent"]["outcome"] == "short" and plan["other"]["outcome"] == "enough"
+    everything = {n: {(r["doc_id"], r["copy"]) for r in mixing.mix(sizes, targets, n, 4).collect()} for n in (1, 7, 50, 2048)}
+    assert len({frozenset(x) for x in everything.values()}) == 1
     mixed = mixing.mix(sizes, targets, n_blocks=50, n_chunks=4)
     taken = mixed.collect()
     assert len({(r["doc_id"], r["copy"]) for r in taken}) == len(taken)
