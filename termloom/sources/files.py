@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import document_number, title_of
+from ..session import empty, exists
+
+log = logging.getLogger("termloom.sources")
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -48,9 +53,13 @@ def explode_token_lists(lists: DataFrame, key: str = "doc_num") -> DataFrame:
 
 def read_stopwords(spark: SparkSession, path: str | None) -> DataFrame:
     """(word): one a line, ``#`` starts a comment, outer white space is dropped,
-    words are not folded. No path gives no words."""
+    words are not folded. No path gives no words; a missing file is logged and
+    gives none."""
+    if path is not None and not exists(spark, path):
+        log.warning("no stop words at %s", path)
+        path = None
     if path is None:
-        return spark.createDataFrame([], "word string")
+        return empty(spark, "word string")
     word = F.regexp_replace(F.regexp_replace("value", "#.*", ""), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     return spark.read.text(path).select(word.alias("word")).where("word <> ''").distinct()
 
