@@ -3,6 +3,10 @@
 ``kinds(text)`` reports the kinds; ``clean(text)`` converts HTML, Markdown, wiki
 and LaTeX to plain text in which structure stays visible in one notation:
 ``# heading``, ``- item``, fenced code blocks, ``$formula$`` and ``a | b`` rows.
+
+Spans between two marks have a greatest length (an emphasis 500 characters, a formula
+2,000, a code block 20,000), so that a text of unpaired marks takes time in proportion
+to its length; a longer span counts as text, and its marks as marks of their own.
 """
 
 from __future__ import annotations
@@ -32,27 +36,28 @@ COMMANDS = (
 
 _tag = re.compile(r"</?(?:%s)(?:\s[^<>]*|\s*/)?>" % "|".join(sorted(TAGS, key=len, reverse=True)), re.I)
 _entity = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});")
-_comment = re.compile(r"<!--.*?-->|<!DOCTYPE[^<>]*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
+_comment = re.compile(r"<!--(?:(?!<!--).){0,5000}?-->|<!DOCTYPE[^<>]*>|<!\[CDATA\[.{0,5000}?\]\]>", re.S | re.I)
 
+_raw_html = re.compile(r"(?is)<(pre|script|style)\b(?:(?!<\1\b).){0,20000}?</\1\s*>")
 _md = re.compile(
     r"^ {0,3}#{1,6} +\S"  # heading
     r"|^ {0,3}(?:```|~~~)"  # fence
-    r"|\*\*(?=[^\s*])[^*\n]*[^\s*]\*\*|(?<![\w_])__(?=[^\s_])[^\n]*?[^\s_]__(?![\w_])|~~(?=\S)[^~\n]*\S~~"
+    r"|\*\*(?=[^\s*])[^*\n]*[^\s*]\*\*|(?<![\w_])__(?=[^\s_])[^\n]{0,500}?[^\s_]__(?![\w_])|~~(?=\S)[^~\n]*\S~~"
     r"|(?<![\w*])\*(?=[^\W\d_])[^*\n]*[^\W\d_]\*(?![\w*])|(?<!\w)_(?=[^\W\d_])[^_\n]*[^\W\d_]_(?!\w)"
     r"|(?<!`)`[^`\n]+`(?!`)"
     r"|!?\[[^\[\]\n]*\]\([^()\s]+\)|^ {0,3}\[[^\]\n]+\]:\s+\S+://"
-    r"|^\s*\|?\s*:?-{3,}:?\s*\|[-:| ]*$"  # table rule
-    r"|^\s*[-*+] \[[ xX]\] "  # task list
+    r"|^[ \t]*(?:\|[ \t]*)?:?-{3,}:?[ \t]*\|[-:| ]*$"  # table rule
+    r"|^[ \t]*[-*+] \[[ xX]\] "  # task list
     r"|^ {0,3}>+ \S",
     re.M,
 )
 _wiki = re.compile(
-    r"\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|^\s*\{\|.*$|^\|\}\s*$|'''?(?=[^\s'])[^'\n]+'''?"
+    r"\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|^[ \t]*\{\|.*$|^\|\}[ \t]*$|'''?(?=[^\s'])[^'\n]+'''?"
     r"|^ *(={2,6})[^=\n].*?\1(?: |$)|\[https?://[^\s\]]+(?: [^\]\n]*)?\]|</?(?:ref|nowiki|gallery)\b[^<>]*>|__(?:NO)?(?:TOC|EDITSECTION)__|#(?:REDIRECT|ПЕРЕНАПРАВЛЕНИЕ)\b",
     re.M,
 )
 _latex = re.compile(
-    r"\\(?:%s)(?![a-zA-Z])|\\[a-zA-Z]+\{|\\\[.+?\\\]|\\\(.+?\\\)|\$\$[^$]+\$\$|\$[^$\n]*(?:\\[a-zA-Z]|[_^]\{?\w)[^$\n]*\$"
+    r"\\(?:%s)(?![a-zA-Z])|\\[a-zA-Z]+\{|\\\[.{1,2000}?\\\]|\\\(.{1,500}?\\\)|\$\$[^$]{1,2000}\$\$|\$[^$\n]{0,300}?(?:\\[a-zA-Z]|[_^]\{?\w)[^$\n]{0,300}\$"
     % "|".join(sorted(COMMANDS, key=len, reverse=True)),
     re.S,
 )
@@ -68,7 +73,7 @@ def kinds(text: str) -> list[str]:
     if "<" in text or "&" in text:
         if _tag.search(text) or _entity.search(text) or _comment.search(text):
             found.append("html")
-            outside = _comment.sub(" ", re.sub(r"(?is)<(pre|script|style)\b.*?</\1\s*>", " ", text))
+            outside = _comment.sub(" ", _raw_html.sub(" ", text))
             outside = _entity.sub(" ", _tag.sub(" ", outside))
     if ("\\" in outside or "$" in outside) and _latex.search(outside):
         found.append("latex")
@@ -86,13 +91,13 @@ def kinds(text: str) -> list[str]:
 # ---------------------------------------------------------------- cleaning
 _KEEP = "\ue000%d\ue001"
 _kept = re.compile("\ue000(\\d+)\ue001")
-_heading_html = re.compile(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", re.I | re.S)
-_pre = re.compile(r"<pre\b[^<>]*>(.*?)</pre\s*>", re.I | re.S)
-_dropped = re.compile(r"<(script|style|head)\b[^<>]*>.*?</\1\s*>", re.I | re.S)
+_heading_html = re.compile(r"<h([1-6])\b[^<>]*>(.{0,1000}?)</h\1\s*>", re.I | re.S)
+_pre = re.compile(r"<pre\b[^<>]*>((?:(?!<pre\b).){0,20000}?)</pre\s*>", re.I | re.S)
+_dropped = re.compile(r"<(script|style|head)\b[^<>]*>(?:(?!<\1\b).){0,20000}?</\1\s*>", re.I | re.S)
 _fence = re.compile(r"^ {0,3}(```|~~~)[^\n]*\n(.*?)(?:^ {0,3}\1[ \t]*$|\Z)", re.M | re.S)
-_display = re.compile(r"\\\[(.+?)\\\]|\$\$([^$]+)\$\$|\\begin\{(equation|align|gather|multline|displaymath)\*?\}(.+?)\\end\{\3\*?\}", re.S)
-_inline = re.compile(r"\\\((.+?)\\\)|\$([^$\n]*(?:\\[a-zA-Z]|[_^]\{?\w)[^$\n]*)\$", re.S)
-_verbatim = re.compile(r"\\begin\{(verbatim|lstlisting)\}\n?(.*?)\\end\{\1\}", re.S)
+_display = re.compile(r"\\\[((?:(?!\\\[).){1,2000}?)\\\]|\$\$([^$]{1,2000})\$\$|\\begin\{(equation|align|gather|multline|displaymath)\*?\}((?:(?!\\begin).){1,5000}?)\\end\{\3\*?\}", re.S)
+_inline = re.compile(r"\\\((.{1,500}?)\\\)|\$([^$\n]{0,300}?(?:\\[a-zA-Z]|[_^]\{?\w)[^$\n]{0,300})\$", re.S)
+_verbatim = re.compile(r"\\begin\{(verbatim|lstlisting)\}\n?(.{0,20000}?)\\end\{\1\}", re.S)
 _levels = {"chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 
 
@@ -142,9 +147,9 @@ def clean(text: str) -> str:
                 break
         t = re.sub(r"'''''|'''|''", "", t)
         t = re.sub(r"^ *(={2,6}) *([^=\n].*?) *\1(?: |$)", lambda m: "#" * len(m[1]) + " " + m[2] + "\n", t, flags=re.M)
-        t = re.sub(r"^\s*\{\|.*$|^\|[}-].*$", "", t, flags=re.M)
+        t = re.sub(r"^[ \t]*\{\|.*$|^\|[}-].*$", "", t, flags=re.M)
         t = re.sub(r"^[|!] ?(?=\S)(?!.*\|\s*$)", "", t, flags=re.M)
-        t = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|</?(?:nowiki|gallery)>", "", t, flags=re.S)
+        t = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.{0,2000}?</ref>|</?(?:nowiki|gallery)>", "", t, flags=re.S)
     # LaTeX
     if "\\" in t:
         t = re.sub(r"\\(?:cite|label)[a-z]*\*?(?:\[[^\]]*\])?\{[^{}]*\}|[~ ]?\\(?:eq)?ref\{[^{}]*\}|\\footnote\{[^{}]*\}|\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "", t)
@@ -159,11 +164,11 @@ def clean(text: str) -> str:
         t = re.sub(r"\\[a-zA-Z]+\s?|\\\\", " ", t)
     # Markdown
     t = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\s]+\)", r"\1", t)
-    t = re.sub(r"\*\*([^*\n]+)\*\*|~~([^~\n]+)~~|(?<![\w_])__([^\n]+?)__(?![\w_])", lambda m: m[1] or m[2] or m[3], t)
+    t = re.sub(r"\*\*([^*\n]+)\*\*|~~([^~\n]+)~~|(?<![\w_])__([^\n]{1,500}?)__(?![\w_])", lambda m: m[1] or m[2] or m[3], t)
     t = re.sub(r"(?<![\w*])\*(?=[^\W\d_])([^*\n]*[^\W\d_])\*(?![\w*])|(?<!\w)_(?=[^\W\d_])([^_\n]*[^\W\d_])_(?!\w)", lambda m: m[1] or m[2], t)
-    t = re.sub(r"^\s*\|?\s*:?-{3,}:?\s*\|[-:| ]*$\n?", "", t, flags=re.M)
-    t = re.sub(r"^\s*\| ?(.*?) ?\|\s*$", r"\1", t, flags=re.M)
-    t = re.sub(r"^(\s*)[-*+] (?:\[[ xX]\] )?", r"\1- ", t, flags=re.M)
+    t = re.sub(r"^[ \t]*(?:\|[ \t]*)?:?-{3,}:?[ \t]*\|[-:| ]*$\n?", "", t, flags=re.M)
+    t = re.sub(r"^[ \t]*\| ?(.*?) ?\|[ \t]*$", r"\1", t, flags=re.M)
+    t = re.sub(r"^([ \t]*)[-*+] (?:\[[ xX]\] )?", r"\1- ", t, flags=re.M)
     t = re.sub(r"^ {0,3}>+ ?", "", t, flags=re.M)
     # placeholders last; several levels may be nested
     for _ in range(3):

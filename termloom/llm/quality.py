@@ -93,11 +93,11 @@ def pieces(body: str) -> Iterator[tuple[str, list[str], int, bool]]:
     last = len(parts) - 1
     for i, part in enumerate(parts):
         part = f"{short} {part}" if short else part
-        words = [w for x in part.lower().split() if (w := x.strip(_edge))]
-        if len(words) < MIN_WORDS and i < last:
+        if part.count(" ") < MIN_WORDS - 1 and i < last:
             short = part
             continue
         short = ""
+        words = [w for x in part.lower().split() if (w := x.strip(_edge))]
         if part:
             common = len([w for w in words if w in COMMON])
             yield part, words, common, is_prose(part, words, common)

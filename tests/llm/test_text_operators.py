@@ -60,6 +60,20 @@ def test_clean_keeps_structure():
     assert "# Head" in md and "a b d" in md and "**raw**" in md and "- x" in md
 
 
+UNPAIRED = ["__a ", "\n", " \n", "**a ", "\\[ x ", "$a_b ", "<!-- ", "<pre> ", "[[a ", "{{a ", "== a ", "'''a ", "| ", "`a ", "!. ", "<a ", "\\begin{align} ", "- [ ] ", " "]
+
+
+@pytest.mark.parametrize("unit", UNPAIRED)
+def test_unpaired_marks_take_linear_time(unit):
+    import time
+
+    text = "<b>x</b> **y** [[z]] \\emph{w}\n" + unit * (200_000 // len(unit))
+    start = time.process_time()
+    markup.clean(text)
+    quality.measure("T\n\n" + text)
+    assert time.process_time() - start < 8
+
+
 def test_clean_table_operator(spark):
     long = "<p>" + "word " * 200_000 + "</p>"
     got = {r["doc_id"]: r for r in markup.clean_documents(docs(spark, "plain", None, "", long, "plain")).collect()}
