@@ -142,16 +142,20 @@ def mix(sizes: DataFrame, targets: DataFrame, n_blocks: int = N_BLOCKS, n_chunks
 
 
 def mix_report(sizes: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The plan with what the mix really holds: taken_rows, taken_size, actual_share."""
-    taken = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("taken_rows"), F.sum("size").alias("taken_size"))
-    full = source_plan(sizes, targets).join(taken, "source", "left").fillna(0, ["taken_rows", "taken_size"])
+    """The plan with what the mix really holds: taken_rows, taken_size, copies (how
+    often its most repeated document is taken) and actual_share."""
+    taken = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("taken_rows"), F.sum("size").alias("taken_size"), (F.max("copy") + 1).alias("copies"))
+    full = source_plan(sizes, targets).join(taken, "source", "left").fillna(0, ["taken_rows", "taken_size", "copies"])
     share = F.try_divide(F.col("taken_size"), F.sum("taken_size").over(Window.partitionBy()))
     return full.withColumn("actual_share", F.coalesce(share, F.lit(0.0)))
 
 
-def outcomes(plan: DataFrame) -> DataFrame:
-    """(source, outcome) of the sources that are repeated or fall short."""
-    return plan.where(F.col("outcome").isin("repeat", "short")).select("source", "outcome")
+def outcomes(report: DataFrame) -> DataFrame:
+    """(source, outcome) of the sources that the mix repeats or that fall short:
+    ``repeat`` where documents are taken again and the target is reached, ``short``
+    where max_repeats does not reach it."""
+    repeated = (F.col("outcome") == "repeat") & (F.col("copies") > 1)
+    return report.where(repeated | (F.col("outcome") == "short")).select("source", "outcome")
 
 
 def written_sizes(documents: DataFrame) -> DataFrame:

@@ -149,7 +149,9 @@ def test_mix(spark):
         assert plan[s]["planned_size"] <= got[s] + 1e-6 < plan[s]["planned_size"] + 12
     report = {r["source"]: r for r in mixing.mix_report(sizes, targets, mixed).collect()}
     assert sum(r["actual_share"] for r in report.values()) == pytest.approx(1) and report["absent"]["taken_rows"] == 0
-    assert {s for s, _ in rows(mixing.outcomes(mixing.source_plan(sizes, targets)))} >= {"absent"}
+    assert report["small"]["copies"] == math.ceil(report["small"]["repeats"])
+    expected = [(s, r["outcome"]) for s, r in plan.items() if r["outcome"] != "enough"]
+    assert rows(mixing.outcomes(mixing.mix_report(sizes, targets, mixed))) == sorted(expected, key=repr)
 
 
 def test_mix_of_nothing(spark):
