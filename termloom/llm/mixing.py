@@ -8,8 +8,8 @@ earliest deadline comes first; so at every slot each source is within one block
 its share.
 
 Only (document, source, size) is shuffled, never the text. Running totals are
-taken in chunks, so no source is a single task's work, and what the driver sees is
-one row per target source and one slot per block.
+taken in chunks, so no source is a single task's work; broadcast are one row per
+target source, block and chunk, whose numbers depend on the tasks and not on the data.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from ..session import written
 
 N_BLOCKS = 2048  # slots of the schedule
-N_CHUNKS = 1024  # chunks of each source for the running totals
+MIN_CHUNKS = 1024  # chunks of each source for the running totals, at least
+CHUNKS_PER_TASK = 4  # and for each shuffle task, so that one source's chunks spread evenly
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -104,7 +105,7 @@ def pfair_slots(weights: dict[str, float], blocks: dict[str, int]) -> list[tuple
     return slots
 
 
-def mix(sizes: DataFrame, targets: DataFrame, n_blocks: int = N_BLOCKS, n_chunks: int = N_CHUNKS) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, n_blocks: int = N_BLOCKS, n_chunks: int | None = None) -> DataFrame:
     """The mixed corpus: (slot, source, doc_id, copy, size).
 
     Documents of a source come in the order of a hash of their id, copy after
@@ -112,6 +113,7 @@ def mix(sizes: DataFrame, targets: DataFrame, n_blocks: int = N_BLOCKS, n_chunks
     sources. ``sizes`` should be a written table: it is read three times. An
     empty plan gives no rows."""
     spark = sizes.sparkSession
+    n_chunks = n_chunks or max(MIN_CHUNKS, CHUNKS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = [r for r in source_plan(sizes, targets).collect() if r["planned_size"] > 0]
     schema = "source string, repeats double, planned_size double, all_size bigint, block double"
     planned = sum(r["planned_size"] for r in rows)

@@ -2,9 +2,10 @@
 
 Last-seen counters: the rows of a term are ordered by record, and a record is
 counted where it differs from the last one seen, so no per-record set is kept.
-The rows of a term are spread over SALTS sub-partitions by a hash of the record,
-so all rows of one (term, record) meet in one of them and even a term with a
-third of all rows is no single task's work; the sub-counts are then added up.
+The rows of a term are spread over sub-partitions by a hash of the record, so all
+rows of one (term, record) meet in one of them. There are at least
+SALTS_PER_TASK of them for each shuffle task, so even a term with a third of all rows
+is spread evenly at any size; the sub-counts are then added up.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+SALTS_PER_TASK = 4
+MIN_SALTS = 64
 RARE_MAX = 2  # occurrences of a rare term, at most
 COMMON_SHARE = 0.5  # a common term occurs in more than this share of the cards
 
@@ -22,7 +24,8 @@ def last_seen_counts(rows: DataFrame, term: str, record: str, freq: str) -> Data
 
     Repeated (term, record) rows are one record, with their greatest frequency.
     NULL terms are left out; a NULL record adds nothing."""
-    salt = F.pmod(F.xxhash64(F.col(record)), F.lit(SALTS))
+    salts = max(MIN_SALTS, SALTS_PER_TASK * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.xxhash64(F.col(record)), F.lit(salts))
     w = Window.partitionBy("_term", "_salt").orderBy("_record", F.desc("_freq"))
     last = F.lag("_record").over(w)
     seen = (
