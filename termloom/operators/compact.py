@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-TARGET_BYTES = 128 << 20
-SHARD_FILES = 500_000  # files packed by one task
 MARKER = "_COMMITTED.json"
-
-MAX_TASKS = 32_768  # tasks that rewrite bins; a task writes one file for each of its bins
-DATA_SCHEMA = "file_no bigint, name string, record string, bin bigint"
+TARGET_BYTES = 128 << 20
+SHARD_FILES = 500_000  # files packed by one task, at most about
+SHARD_BINS = 16  # bins of a shard, about
+LISTING = "file_no bigint, name string, n_bytes int, record_bytes bigint, digest binary"
+KEPT = "file_no bigint, record_bytes bigint, checksum bigint"
+BINS = "file_no bigint, record_bytes bigint, checksum bigint, shard int, bin bigint"
+DATA = "file_no bigint, name string, record string, bin bigint"
 
 
 class CompactionError(RuntimeError):
@@ -41,33 +43,39 @@ def record_text(body: Column) -> Column:
     """The record of a file: without a leading byte order mark, with one kind of
     line end, without white space at line ends and blank lines at the end. A file
     without content (NULL, empty or only such white space) has no record: NULL."""
-    text = F.regexp_replace(body, "^\\ufeff", "")
-    text = F.regexp_replace(text, "\r\n?", "\n")
-    text = F.regexp_replace(text, r"(?U)[^\S\n]+(?=\n|\z)", "")
-    text = F.regexp_replace(text, r"\n+\z", "")
+    text = F.when(F.startswith(body, F.lit("\ufeff")), F.substring(body, 2, 2**31 - 1)).otherwise(body)
+    text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    text = F.rtrim(F.regexp_replace(text, r"(?U)[^\S\n]+(?=\n|\z)", ""), F.lit("\n"))
     return F.when(F.length(text) > 0, text)
 
 
-def freeze_manifest(files: DataFrame, folder: str) -> DataFrame:
-    """Writes and returns (file_no, name, n_bytes, record_bytes, digest, kept).
+def _digest(record: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(record, "UTF-8"), 256))
+
+
+def _checksum(digest: Column) -> Column:
+    """A number from the first 48 bits of a digest; the numbers of a bin are added up."""
+    return F.conv(F.hex(F.substring(digest, 1, 6)), 16, 10).cast("bigint")
+
+
+def freeze_manifest(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Writes and returns the listing, (file_no, name, n_bytes, record_bytes,
+    digest) of every file, and the kept files, (file_no, record_bytes, checksum).
 
-    digest is NULL for files without content; kept marks the file that stands
-    for its record, the lowest file_no of those with the digest. Rows with a NULL
-    file_no are no files; extra columns are ignored."""
+    digest is NULL for files without content; kept is the lowest file_no of those
+    with the same digest. Rows with a NULL file_no are no files; extra columns are
+    ignored."""
+    spark = files.sparkSession
     listed = files.where(F.col("file_no").isNotNull()).select(
         F.col("file_no").cast("bigint").alias("file_no"), "name", F.octet_length("body").alias("n_bytes"), record_text(F.col("body")).alias("_record")
     )
-    listed = listed.select(
-        "file_no", "name", "n_bytes",
-        F.octet_length("_record").cast("bigint").alias("record_bytes"),
-        F.sha2(F.encode(F.col("_record"), "UTF-8"), 256).alias("digest"),
-    )
-    listed.write.parquet(f"{folder}/listing")
-    spark = files.sparkSession
-    listed = spark.read.parquet(f"{folder}/listing")
-    first = listed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("file_no").alias("_first")).select(F.col("_first").alias("file_no"), F.lit(True).alias("kept"))
-    listed.join(first, "file_no", "left").fillna(False, ["kept"]).write.parquet(f"{folder}/manifest")
-    return spark.read.parquet(f"{folder}/manifest")
+    listed.select(
+        "file_no", "name", "n_bytes", F.octet_length("_record").cast("bigint").alias("record_bytes"), _digest(F.col("_record")).alias("digest")
+    ).write.parquet(f"{folder}/listing")
+    listing = spark.read.schema(LISTING).parquet(f"{folder}/listing")
+    first = listing.where("digest IS NOT NULL").groupBy("digest").agg(F.min("file_no").alias("file_no"), F.max("record_bytes").alias("record_bytes"))
+    first.select("file_no", "record_bytes", _checksum(F.col("digest")).alias("checksum")).write.parquet(f"{folder}/kept")
+    return listing, spark.read.schema(KEPT).parquet(f"{folder}/kept")
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -96,23 +104,24 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return bins
 
 
-def pack_bins(manifest: DataFrame, target_bytes: int = TARGET_BYTES, shard_files: int = SHARD_FILES) -> DataFrame:
-    """(file_no, bin) of the kept files."""
-    kept = manifest.where("kept").select("file_no", "record_bytes")
-    shards = max(1, -(-kept.count() // shard_files))
-    spread = kept.repartitionById(shards, F.pmod(F.xxhash64("file_no"), F.lit(shards)).cast("int"))
+def shard_of(file_no: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(file_no), F.lit(shards)).cast("int")
+
+
+def pack_bins(kept: DataFrame, target_bytes: int = TARGET_BYTES, shard_files: int = SHARD_FILES) -> tuple[DataFrame, int]:
+    """The kept files with their shard and bin, and the number of shards."""
+    total = kept.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("record_bytes"), F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-total["files"] // shard_files), -(-total["bytes"] // (SHARD_BINS * target_bytes)))
+    spread = kept.withColumn("shard", shard_of(F.col("file_no"), shards)).repartitionById(shards, F.col("shard"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = list(batches)
         if frames:
-            from pyspark import TaskContext
-
             rows = pd.concat(frames, ignore_index=True).sort_values("file_no", ignore_index=True)
-            shard = TaskContext.get().partitionId()
             bins = first_fit_decreasing(rows["record_bytes"].astype(int).tolist(), target_bytes)
-            yield pd.DataFrame({"file_no": rows["file_no"], "bin": [shard * shard_files + b for b in bins]})
+            yield rows.assign(bin=rows["shard"].astype("int64") * 2**32 + bins)
 
-    return spread.mapInPandas(run, "file_no bigint, bin bigint")
+    return spread.mapInPandas(run, BINS), shards
 
 
 @dataclass
@@ -122,12 +131,17 @@ class Compaction:
     spark: SparkSession
     folder: str
 
-    def manifest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/manifest")
+    def listing(self) -> DataFrame:
+        """(file_no, name, n_bytes, record_bytes, digest) of every file of the manifest."""
+        return self.spark.read.schema(LISTING).parquet(f"{self.folder}/listing")
+
+    def placement(self) -> DataFrame:
+        """(file_no, record_bytes, checksum, shard, bin) of every file that stands for its record."""
+        return self.spark.read.schema(BINS).parquet(f"{self.folder}/bins")
 
     def records(self) -> DataFrame:
         """(file_no, name, record, bin): every record once."""
-        return self.spark.read.schema(DATA_SCHEMA).parquet(f"{self.folder}/data")
+        return self.spark.read.schema(DATA).parquet(f"{self.folder}/data")
 
     def report(self) -> DataFrame:
         """One row per bin: bin, records, record_bytes, checksum."""
@@ -135,11 +149,10 @@ class Compaction:
 
 
 def _checks(df: DataFrame) -> DataFrame:
-    digest = F.col("digest")
     return df.groupBy("bin").agg(
         F.count(F.lit(1)).alias("records"),
         F.sum("record_bytes").alias("record_bytes"),
-        F.sum(F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias("checksum"),
+        F.sum(F.col("checksum").cast("decimal(28,0)")).alias("checksum"),
     )
 
 
@@ -148,29 +161,31 @@ def compact(files: DataFrame, folder: str | None = None, target_bytes: int = TAR
 
     files: file_no, name, body. An empty table gives an empty, committed result.
     Raises CompactionError, with nothing committed, if what is read back differs
-    from the manifest."""
+    from the manifest. The bodies are shuffled once: to the shards, in which all
+    files of a bin lie together."""
     spark = files.sparkSession
     folder = folder or shared_dir(spark, "compaction")
-    manifest = freeze_manifest(files, folder)
-    pack_bins(manifest, target_bytes, shard_files).write.parquet(f"{folder}/bins")
-    bins = spark.read.schema("file_no bigint, bin bigint").parquet(f"{folder}/bins")
-    n_bins = bins.agg(F.countDistinct("bin")).first()[0]
-    body = files.where(F.col("file_no").isNotNull()).select(F.col("file_no").cast("bigint").alias("file_no"), "name", record_text(F.col("body")).alias("record"))
-    placed = body.join(bins, "file_no")
-    placed = placed.repartition(max(1, min(n_bins, MAX_TASKS)), "bin").sortWithinPartitions("bin", "file_no")
-    placed.select("file_no", "name", "record", "bin").write.partitionBy("bin").parquet(f"{folder}/data")
-
-    planned = _checks(manifest.join(bins, "file_no").select("bin", "record_bytes", "digest"))
-    data = spark.read.schema(DATA_SCHEMA).parquet(f"{folder}/data")
-    found = _checks(
-        data.select("bin", F.octet_length("record").cast("bigint").alias("record_bytes"), F.sha2(F.encode(F.col("record"), "UTF-8"), 256).alias("digest"))
-    )
+    _, kept = freeze_manifest(files, folder)
+    packed, shards = pack_bins(kept, target_bytes, shard_files)
+    packed.write.parquet(f"{folder}/bins")
+    bins = spark.read.schema(BINS).parquet(f"{folder}/bins")
+    body = files.where(F.col("file_no").isNotNull()).select(F.col("file_no").cast("bigint").alias("file_no"), "name", "body")
+    body = body.withColumn("shard", shard_of(F.col("file_no"), shards)).repartitionById(shards, F.col("shard"))
+    there = bins.select("file_no", "shard", "bin").repartitionById(shards, F.col("shard")).hint("shuffle_hash")
+    placed = body.join(there, ["shard", "file_no"]).select("file_no", "name", record_text(F.col("body")).alias("record"), "bin")
+    placed.sortWithinPartitions("bin", "file_no").write.partitionBy("bin").parquet(f"{folder}/data")
+
+    data = spark.read.schema(DATA).parquet(f"{folder}/data")
+    found = _checks(data.select("bin", F.octet_length("record").cast("bigint").alias("record_bytes"), _checksum(_digest(F.col("record"))).alias("checksum")))
     found.write.parquet(f"{folder}/report")
     report = spark.read.schema(found.schema).parquet(f"{folder}/report")
-    wrong = planned.exceptAll(report).count() + report.exceptAll(planned).count()
+    planned = _checks(bins)
+    same = ["bin", "records", "record_bytes", "checksum"]
+    wrong = planned.join(report, same, "left_anti").count() + report.join(planned, same, "left_anti").count()
     if wrong:
         raise CompactionError(f"{wrong} bins differ from the manifest in {folder}")
-    _commit(spark, folder, {"bins": n_bins, "records": report.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]})
+    state = report.agg(F.count(F.lit(1)).alias("bins"), F.coalesce(F.sum("records"), F.lit(0)).alias("records")).first()
+    _commit(spark, folder, state.asDict())
     return Compaction(spark, folder)
 
 
@@ -194,11 +209,12 @@ def open_compaction(spark: SparkSession, folder: str) -> Compaction:
     return Compaction(spark, folder)
 
 
-def same_records(manifest: DataFrame) -> DataFrame:
-    """(file_a, file_b), file_a < file_b: all pairs of files with the same record."""
-    held = manifest.where("digest IS NOT NULL").select("file_no", "digest", "record_bytes", "kept")
-    shared = held.where("NOT kept").select("digest").distinct()
+def same_records(listing: DataFrame) -> DataFrame:
+    """(file_a, file_b), file_a < file_b: all pairs of files with the same record.
+    Records of one file take no part in the pairing."""
+    held = listing.where("digest IS NOT NULL").select("file_no", "digest", "record_bytes")
+    shared = held.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest")
     members = held.join(shared, "digest")
-    a = members.select(F.col("file_no").alias("file_a"), "digest", "record_bytes")
-    b = members.select(F.col("file_no").alias("file_b"), "digest", "record_bytes")
-    return a.join(b, ["digest", "record_bytes"]).where("file_a < file_b").select("file_a", "file_b")
+    a = members.select(F.col("file_no").alias("file_a"), "digest", F.col("record_bytes").alias("_a"))
+    b = members.select(F.col("file_no").alias("file_b"), "digest", F.col("record_bytes").alias("_b"))
+    return a.join(b, "digest").where("file_a < file_b AND _a = _b").select("file_a", "file_b")

@@ -321,7 +321,7 @@ def stream_dedupe(spark, d):
 
 # ---------------------------------------------------- training-data problems
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return compact.same_records(compact.compact(table(spark, d, "file_info")).manifest())
+    return compact.same_records(compact.compact(table(spark, d, "file_info")).listing())
 
 
 def p2_compact(spark: SparkSession, d: str) -> DataFrame:
