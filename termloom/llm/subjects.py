@@ -35,7 +35,7 @@ REFINEMENTS = 6
 MIN_SHARE = 0.25  # of the sentences that are about some subject
 MAX_GROUPS = 3  # centroids of a subject
 MIN_COSINE = 0.4
-SMOOTHING = 1.0  # sentences or documents of the overall distribution added to each word's own
+SMOOTHING = 0.5  # sentences or documents of the overall distribution added to each word's own
 MIXED_WEIGHT = 0.1  # of a document of several subjects in the first counts
 MIN_INFORMATION = 0.35  # least weight of a word, from 0 (spread evenly over subjects) to 1 (one subject)
 
