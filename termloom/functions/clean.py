@@ -34,7 +34,10 @@ def clean(df: DataFrame, extract: str = "text", drop_prefixes: tuple[str, ...] =
     """``df`` with the cleaned text, ``word_count`` and ``sha1``; rows with a NULL
     or empty extract or fewer than ``min_words`` words are left out."""
     given = df.where(F.col(extract).isNotNull() & (F.col(extract) != ""))
-    out = given.withColumn(extract, clean_text(F.col(extract), drop_prefixes))
+    # exploding an array of one keeps the condition on the word count above the
+    # cleaning, which is then done once and not once for the condition too
+    once = F.explode(F.array(clean_text(F.col(extract), drop_prefixes))).alias("_cleaned")
+    out = given.select("*", once).withColumn(extract, F.col("_cleaned")).drop("_cleaned")
     out = out.withColumn("word_count", word_count(F.col(extract)).cast("int"))
     return out.where(F.col("word_count") >= min_words).withColumn("sha1", F.sha1(extract))
 
