@@ -45,7 +45,9 @@ class Placement:
         return F.pmod(F.xxhash64(key), F.lit(self.n_buckets)).cast("int")
 
     def light_task(self, key: Column) -> Column:
-        return F.element_at(F.lit(self.light), self.bucket(key) + 1)
+        # one literal, folded to an array once: building it from single literals is slow for many tasks
+        tasks = F.split(F.lit(",".join(map(str, self.light))), ",").cast("array<int>")
+        return F.element_at(tasks, self.bucket(key) + 1)
 
     def place(self, df: DataFrame, key: str, shard_by: str) -> DataFrame:
         """``df`` with the columns _shard and _task, distributed by _task. Rows
