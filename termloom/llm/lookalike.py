@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import fragment_replicate_join
 from ..session import written
 from .text import canonical, skeleton
 
@@ -131,15 +132,18 @@ def latest_pages(pages: DataFrame) -> DataFrame:
 
 def same_looking_pages(pages: DataFrame) -> DataFrame:
     """(page_a, page_b), page_a < page_b: two pages with unequal titles that look
-    the same. Classes with one spelling take no part in the join, so only pages
-    that have a partner are paired; NULL titles have none."""
-    latest = written(latest_pages(pages), "pages")
-    classes = spelling_classes(latest, "title").where("matched").select(F.col("spelling").alias("title"), "class_id")
-    members = written(latest.where(F.col("title").isNotNull()).join(classes, "title"), "members")
-    a = members.select(F.col("id").alias("ia"), F.col("title").alias("ta"), "class_id")
-    b = members.select(F.col("id").alias("ib"), F.col("title").alias("tb"), "class_id")
-    return (
-        a.join(b, "class_id")
-        .where("ta <> tb AND ia < ib")
-        .select(F.col("ia").alias("page_a"), F.col("ib").alias("page_b"))
-    )
+    the same. NULL titles have no partner.
+
+    Spellings are paired first, and pages with an equal title are never compared;
+    the pages of a spelling are then found by fragment-replicate joins, so a title
+    that a third of all pages share is spread over the tasks."""
+    latest = written(latest_pages(pages).where(F.col("title").isNotNull()), "pages")
+    classes = written(spelling_classes(latest, "title").where("matched").select("spelling", "class_id"), "classes")
+    one = classes.select(F.col("spelling").alias("title_a"), "class_id")
+    other = classes.select(F.col("spelling").alias("title_b"), "class_id")
+    pairs = one.join(other, "class_id").where("title_a < title_b").select("title_a", "title_b")
+    a = latest.select(F.col("id").alias("a"), F.col("title").alias("title_a"))
+    b = latest.select(F.col("id").alias("b"), F.col("title").alias("title_b"))
+    half = fragment_replicate_join(a, pairs, "title_a", "a", "inner").select("a", "title_b")
+    full = fragment_replicate_join(b, half, "title_b", "b", "inner")
+    return full.select(F.least("a", "b").alias("page_a"), F.greatest("a", "b").alias("page_b"))
