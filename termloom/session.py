@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SHARED_DIR = "spark.checkpoint.dir"
 
+_shipped: set[str] = set()  # applications that have the package
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for an application, so
+    that it need not be installed there."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).parent
+    fd, path = tempfile.mkstemp(prefix=f"{package.name}-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(application)
+
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the folder all executors share.

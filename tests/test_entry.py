@@ -42,3 +42,12 @@ def test_equals_sql_twin(spark, name):
     df = contract.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(columns)
     assert sorted(map(repr, (tuple(r) for r in df.select(columns).collect()))) == sorted(map(repr, result.fetchall()))
+
+
+def test_package_is_shipped_once(spark):
+    from termloom.session import ship
+
+    ship(spark)
+    before = list(spark.sparkContext._python_includes)
+    ship(spark)
+    assert spark.sparkContext._python_includes == before and any(f.startswith("termloom-") for f in before)
