@@ -32,12 +32,21 @@ COMMON_WORDS = {
     "ohne um als wie wenn dass daß ob weil obwohl sich es er sie wir ihr man noch nur auch so sehr dann etwa seit bis zwischen",
 }
 COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
+# Articles stand in lists of nouns too, so they do not count as words that connect others.
+CONNECTING = COMMON - set("the a an der die das den dem des ein eine einer eines einem einen".split())
 
 MIN_WORDS = 4  # shorter pieces are judged with what follows them
 MIN_COMMON = 0.05  # least share of common words in a sentence of prose
 MAX_DIGITS = 0.15  # most digits among a piece's characters
 MIN_LETTERS = 0.6  # least share of letters among the characters that are no white space
 AMPLE_COMMON = 0.15  # from here on no further test is needed
+MAX_SENTENCE = 60  # longest sentence; a longer piece is judged like one without an end
+MIN_LOOSE = 0.1  # least share of connecting words in a repetitive body
+MAX_REPEATED_LINES = 0.3  # from these shares on a body is repetitive
+MAX_REPEATED_PARAGRAPHS = 0.3
+MAX_TOP_NGRAM = 0.18
+MIN_REPEATED_KINDS = 4  # different connecting words of the repeated pieces of a repetitive body
+MAX_COVERAGE = 0.3  # most 3-grams of a piece without an end that occur in it again
 MAX_VOWELLESS = 0.4  # most words without a vowel
 PROSE_SHARE = 0.5
 
@@ -65,15 +74,48 @@ def split_title(text: str) -> tuple[str, str]:
     return head, rest
 
 
-def is_prose(piece: str, words: list[str], common: int) -> bool:
+def _repeated(items: list[str]) -> float:
+    total = sum(map(len, items))
+    if not total:
+        return 0.0
+    return sum(len(k) * (n - 1) for k, n in Counter(items).items()) / total
+
+
+def repetition(body: str, lines: list[str], words: list[str]) -> tuple[float, float, float]:
+    """Shares of a body's characters in repeated lines, in repeated paragraphs and
+    in its most frequent 3-gram."""
+    top = 0.0
+    if len(words) >= 3:
+        gram, times = Counter(zip(words, words[1:], words[2:])).most_common(1)[0]
+        top = min(1.0, times * (sum(map(len, gram)) + 2) / len(body)) if times > 1 else 0.0
+    return _repeated(lines), _repeated([x for x in (p.strip() for p in body.split("\n\n")) if x]), top
+
+
+def coverage(words: list[str]) -> float:
+    """Share of the 3-grams that occur more than once."""
+    grams = Counter(zip(words, words[1:], words[2:]))
+    return sum(n for n in grams.values() if n > 1) / max(1, len(words) - 2)
+
+
+def is_prose(piece: str, words: list[str], common: int, repetitive: bool = False) -> bool:
     """A piece is prose if it has function words, is mostly letters and its
-    words can be spoken. With ample function words
-    only the digits are tested."""
+    words can be spoken. With ample function words only the digits are tested.
+
+    A piece without a sentence end or longer than a sentence must not repeat
+    itself. In a ``repetitive`` body a piece must be a sentence, dense in
+    connecting words of at least two kinds."""
     n = len(words)
     if common < MIN_COMMON * n:
         return False
     if sum(map(len, _numbers.findall(piece))) > MAX_DIGITS * len(piece):
         return False
+    loose = n > MAX_SENTENCE or not _terminal.search(piece)
+    if repetitive:
+        connecting = [w for w in words if w in CONNECTING]
+        if loose or len(set(connecting)) < 2 or len(connecting) < MIN_LOOSE * n:
+            return False
+    if loose and coverage(words) > MAX_COVERAGE:
+        return False
     if common >= AMPLE_COMMON * n:
         return True
     if sum(map(len, _letters.findall(piece))) < MIN_LETTERS * (len(piece) - piece.count(" ")):
@@ -82,9 +124,8 @@ def is_prose(piece: str, words: list[str], common: int) -> bool:
     return not long or sum(not _vowel.search(w) for w in long) <= MAX_VOWELLESS * len(long)
 
 
-def pieces(body: str) -> Iterator[tuple[str, list[str], int, bool]]:
-    """Sentence-like pieces of a body without markup: (piece, words, number of
-    common words, prose?).
+def split_pieces(body: str) -> Iterator[tuple[str, list[str]]]:
+    """Sentence-like pieces of a body without markup and their words.
 
     Lines are joined first, so hard line breaks do not matter; a piece of fewer
     than MIN_WORDS words is taken together with the next one."""
@@ -97,10 +138,34 @@ def pieces(body: str) -> Iterator[tuple[str, list[str], int, bool]]:
             short = part
             continue
         short = ""
-        words = [w for x in part.lower().split() if (w := x.strip(_edge))]
         if part:
-            common = len([w for w in words if w in COMMON])
-            yield part, words, common, is_prose(part, words, common)
+            yield part, [w for x in part.lower().split() if (w := x.strip(_edge))]
+
+
+def judged(body: str) -> tuple[list[tuple[str, list[str], int, bool]], list[str], list[str], tuple[float, float, float]]:
+    """Pieces of a body without markup as (piece, words, number of common words,
+    prose?), its lines and words, and the repetition that took part in judging."""
+    parts = list(split_pieces(body))
+    lines = [x for x in (line.strip() for line in body.split("\n")) if x]
+    words = [w for _, own in parts for w in own]
+    repeated = repetition(body, lines, words)
+    repetitive = any(x > bound for x, bound in zip(repeated, (MAX_REPEATED_LINES, MAX_REPEATED_PARAGRAPHS, MAX_TOP_NGRAM)))
+    boilerplate: set[str] = set()
+    if repetitive:
+        times = Counter(part for part, _ in parts)
+        if len({w for part, own in parts if times[part] > 1 for w in own} & CONNECTING) < MIN_REPEATED_KINDS:
+            boilerplate = {part for part, n in times.items() if n > 1}
+    out = []
+    for part, own in parts:
+        common = len([w for w in own if w in COMMON])
+        out.append((part, own, common, part not in boilerplate and is_prose(part, own, common, repetitive)))
+    return out, lines, words, repeated
+
+
+def pieces(body: str) -> list[tuple[str, list[str], int, bool]]:
+    """Sentence-like pieces of a body without markup: (piece, words, number of
+    common words, prose?)."""
+    return judged(body)[0]
 
 
 def prepared_body(text: str) -> str:
@@ -108,13 +173,6 @@ def prepared_body(text: str) -> str:
     return markup.clean(plain(split_title(text)[1]))
 
 
-def _repeated(items: list[str]) -> float:
-    total = sum(map(len, items))
-    if not total:
-        return 0.0
-    return sum(len(k) * (n - 1) for k, n in Counter(items).items()) / total
-
-
 def measure(text: str | None) -> tuple:
     """Values of COLUMNS for a text; a NULL or empty text has zero counts, NULL
     shares and kind ``empty``."""
@@ -122,10 +180,9 @@ def measure(text: str | None) -> tuple:
         return (0, 0, None, None, None, None, 0, None, None, None, None, None, None, None, "empty")
     raw = split_title(text)[1]
     body = markup.clean(plain(raw))
-    words: list[str] = []
+    found, lines, words, (twice, twice_paragraphs, top) = judged(body)
     in_common = in_prose = total = 0
-    for piece, own, common, good in pieces(body):
-        words += own
+    for piece, _, common, good in found:
         in_common += common
         total += len(piece)
         in_prose += len(piece) * good
@@ -137,18 +194,11 @@ def measure(text: str | None) -> tuple:
     signs = _letters.sub("", signs)
     letters = dense - len(signs)
     digits = sum(map(len, _numbers.findall(signs)))
-    lines = [x for x in (line.strip() for line in body.split("\n")) if x]
-    paragraphs = [x for x in (p.strip() for p in body.split("\n\n")) if x]
-    top = 0.0
-    if n >= 3:
-        gram, times = Counter(zip(words, words[1:], words[2:])).most_common(1)[0]
-        top = min(1.0, times * (sum(map(len, gram)) + 2) / len(body)) if times > 1 else 0.0
     symbols = 1 - (letters + digits) / dense
     digit = digits / dense
     common = in_common / n
     ended = sum(bool(_terminal.search(x)) for x in lines) / len(lines)
     bullets = sum(bool(_bullet.match(x)) for x in lines) / len(lines)
-    twice = _repeated(lines)
     encoded = sum(map(len, _encoded.findall(body))) / len(body)
     prose = in_prose / total
     if prose >= PROSE_SHARE:
@@ -167,7 +217,7 @@ def measure(text: str | None) -> tuple:
         kind = "junk"
     return (
         len(raw), len(raw.split()), sum(map(len, words)) / n, symbols, digit, common, len(lines), ended,
-        bullets, twice, _repeated(paragraphs), top, encoded, prose, kind,
+        bullets, twice, twice_paragraphs, top, encoded, prose, kind,
     )
 
 

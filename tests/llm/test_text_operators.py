@@ -117,6 +117,22 @@ def test_prose(name):
     assert m["prose_share"] > 0.8 and m["kind"] == "prose"
 
 
+MENUS = {
+    "en": "Help Menu More Edit Talk\nHome About More Search Login Top\n",
+    "ru": "Меню Ещё Правка Печать\nПомощь Поиск Ещё Войти Разделы\n",
+    "de": "Start Nur Neu Über Hilfe\nMehr Noch Oben Suche Anmelden\n",
+}
+
+
+@pytest.mark.parametrize("lang", MENUS)
+@pytest.mark.parametrize("mark", ["", "…", "\n"])
+def test_repeated_menu(lang, mark):
+    """Lines, paragraphs or 3-grams that repeat without sentences are no prose, whatever their labels."""
+    menu = "".join(f"{line}{mark}\n" for line in MENUS[lang].splitlines()) * 12
+    for body in (menu, f"{PROSE}\n{menu}", menu.replace("\n", " ")):
+        assert dict(zip(quality.COLUMNS, quality.measure("T\n\n" + body)))["prose_share"] < 0.5
+
+
 def test_statistics():
     m = dict(zip(quality.COLUMNS, quality.measure("T\n\nThe cat sat.\nThe cat sat.\nA1 %")))
     assert m["n_words"] == 8 and m["n_lines"] == 3 and m["punctuated_line_share"] == pytest.approx(2 / 3)
