@@ -39,9 +39,11 @@ MIN_WORDS = 4  # shorter pieces are judged with what follows them
 MIN_COMMON = 0.05  # least share of common words in a sentence of prose
 MAX_DIGITS = 0.15  # most digits among a piece's characters
 MIN_LETTERS = 0.6  # least share of letters among the characters that are no white space
-AMPLE_COMMON = 0.15  # from here on no further test is needed
+MAX_BARE = 16  # most words of a sentence with no common words but articles
+WORDS_A_KIND = 20  # a piece needs one connecting word, and another one for each so many words
+MAX_KINDS = 5  # most different connecting words asked for
 MAX_SENTENCE = 60  # longest sentence; a longer piece is judged like one without an end
-MIN_LOOSE = 0.1  # least share of connecting words in a repetitive body
+MIN_LOOSE = 0.1  # least share of connecting words where there is no sentence end
 MAX_REPEATED_LINES = 0.3  # from these shares on a body is repetitive
 MAX_REPEATED_PARAGRAPHS = 0.3
 MAX_TOP_NGRAM = 0.18
@@ -52,7 +54,7 @@ PROSE_SHARE = 0.5
 
 _edge = ".,:;!?\"'«»„“”()[]{}—–-…*_"
 _end = re.compile(r"(?<=[.!?…])[\"'»”“)\]]*\s+")
-_vowel = re.compile("[aeiouyäöüéаеёиоуыэюяіｅａ]", re.I)
+_vowels = frozenset("aeiouyäöüéаеёиоуыэюяіｅａı")
 _letters = re.compile(r"[^\W\d_]+")
 _bullet = re.compile(r"^\s*(?:[-*+•·–—]|\(?\d{1,4}[.)]|\(?[a-zа-я][.)])\s+", re.I)
 _terminal = re.compile(r"[.!?…:;][\"'»”“)\]]*$")
@@ -97,31 +99,34 @@ def coverage(words: list[str]) -> float:
     return sum(n for n in grams.values() if n > 1) / max(1, len(words) - 2)
 
 
-def is_prose(piece: str, words: list[str], common: int, repetitive: bool = False) -> bool:
-    """A piece is prose if it has function words, is mostly letters and its
-    words can be spoken. With ample function words only the digits are tested.
+def is_prose(piece: str, words: list[str], common: int, kinds: int, connected: bool = True, repetitive: bool = False) -> bool:
+    """A piece is prose if it has function words, and of different kinds the longer
+    it is, is mostly letters and its words can be spoken. ``kinds``: different
+    connecting words.
 
-    A piece without a sentence end or longer than a sentence must not repeat
-    itself. In a ``repetitive`` body a piece must be a sentence, dense in
-    connecting words of at least two kinds."""
+    A short sentence may have articles alone in a body that is ``connected``: most
+    of its words lie in pieces with other function words, or it is no longer itself. A piece without a sentence end or longer than a sentence
+    must be dense in connecting words and not repeat itself; so must a sentence be
+    dense in them and have two kinds where the body is ``repetitive``."""
     n = len(words)
     if common < MIN_COMMON * n:
         return False
     if sum(map(len, _numbers.findall(piece))) > MAX_DIGITS * len(piece):
         return False
     loose = n > MAX_SENTENCE or not _terminal.search(piece)
-    if repetitive:
-        connecting = [w for w in words if w in CONNECTING]
-        if loose or len(set(connecting)) < 2 or len(connecting) < MIN_LOOSE * n:
-            return False
+    if kinds < min(MAX_KINDS, 1 + n // WORDS_A_KIND) and (loose or kinds or not connected or n > MAX_BARE):
+        return False
+    if (loose or repetitive) and sum(w in CONNECTING for w in words) < MIN_LOOSE * n:
+        return False
+    if repetitive and (loose or kinds < 2):
+        return False
     if loose and coverage(words) > MAX_COVERAGE:
         return False
-    if common >= AMPLE_COMMON * n:
-        return True
-    if sum(map(len, _letters.findall(piece))) < MIN_LETTERS * (len(piece) - piece.count(" ")):
+    letters = MIN_LETTERS * (len(piece) - piece.count(" "))
+    if sum(map(len, filter(str.isalpha, words))) < letters and sum(map(len, _letters.findall(piece))) < letters:
         return False
     long = [w for w in words if len(w) > 2]
-    return not long or sum(not _vowel.search(w) for w in long) <= MAX_VOWELLESS * len(long)
+    return not long or sum(map(_vowels.isdisjoint, long)) <= MAX_VOWELLESS * len(long)
 
 
 def split_pieces(body: str) -> Iterator[tuple[str, list[str]]]:
@@ -150,15 +155,17 @@ def judged(body: str) -> tuple[list[tuple[str, list[str], int, bool]], list[str]
     words = [w for _, own in parts for w in own]
     repeated = repetition(body, lines, words)
     repetitive = any(x > bound for x, bound in zip(repeated, (MAX_REPEATED_LINES, MAX_REPEATED_PARAGRAPHS, MAX_TOP_NGRAM)))
+    kinds = [len(CONNECTING.intersection(own)) for _, own in parts]
+    connected = len(words) <= MAX_BARE or sum(len(own) for (_, own), k in zip(parts, kinds) if k) > len(words) / 2
     boilerplate: set[str] = set()
     if repetitive:
         times = Counter(part for part, _ in parts)
         if len({w for part, own in parts if times[part] > 1 for w in own} & CONNECTING) < MIN_REPEATED_KINDS:
             boilerplate = {part for part, n in times.items() if n > 1}
     out = []
-    for part, own in parts:
+    for (part, own), k in zip(parts, kinds):
         common = len([w for w in own if w in COMMON])
-        out.append((part, own, common, part not in boilerplate and is_prose(part, own, common, repetitive)))
+        out.append((part, own, common, part not in boilerplate and is_prose(part, own, common, k, connected, repetitive)))
     return out, lines, words, repeated
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from termloom.llm import leakage, markup, quality
+from termloom.llm import leakage, markup, quality, subjects
 from termloom.llm.text import fold_word, plain, skeleton
 
 from ..conftest import rows
@@ -133,6 +133,27 @@ def test_repeated_menu(lang, mark):
         assert dict(zip(quality.COLUMNS, quality.measure("T\n\n" + body)))["prose_share"] < 0.5
 
 
+SALAD = "Ziwi Jotuth Tobozem die Währung Wohoru Zelistad das Spektrum Jusam der Markt Bawa das Tal die Weide Kebill der Kredit Gebith die Messung Banill "
+
+
+@pytest.mark.parametrize("end", [" ", ". "])
+def test_articles_alone_are_no_prose(end):
+    salad = (SALAD.strip() + end) * 12
+    short = " ".join(f"der Fürst Zihu{a} das Tal Bawa{b}{end}" for a in "abcdefgh" for b in "klmn")
+    for body in (salad, short, f"Für die Prüfung der Währung sind meist mindestens 27 Schritte nötig.\n{salad}"):
+        m = dict(zip(quality.COLUMNS, quality.measure("T\n\n" + body)))
+        assert m["common_word_share"] > 0.15 and m["prose_share"] < 0.5 and m["kind"] == "junk"
+        assert not subjects.sentences("T\n\n" + body)[0]
+
+
+def test_sentences_with_articles_alone():
+    """They count in a body of prose and as a body; prose without sentence ends stays prose."""
+    bare = "The lemma determines the theorem. "
+    assert all(good for *_, good in quality.pieces(PROSE + bare)) and quality.pieces(bare)[0][3]
+    run_on = "we were in the harbour before it was light and there they had left some boats which nobody wanted because of the storm that came over night"
+    assert quality.pieces(run_on)[0][3]
+
+
 def test_statistics():
     m = dict(zip(quality.COLUMNS, quality.measure("T\n\nThe cat sat.\nThe cat sat.\nA1 %")))
     assert m["n_words"] == 8 and m["n_lines"] == 3 and m["punctuated_line_share"] == pytest.approx(2 / 3)
