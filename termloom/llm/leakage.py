@@ -24,6 +24,7 @@ from . import markup
 from .text import WORD, fold_word, plain
 
 MIN_RUN = 10  # words of a run that makes a case
+MIN_COVERAGE = 0.5  # share of an item's words in tiles that makes a case without such a run
 SEED = 5  # words of a seed; at most MIN_RUN
 MAX_BLOCK_WORDS = 2_000_000  # words of the items in one broadcast block
 CACHE_WORDS = 200_000  # surface words remembered by a task
@@ -145,14 +146,16 @@ def tile(item: list[int], stretches: list[list[int]], seed_at: list[list[tuple[i
     return lengths
 
 
-def leaks_of(text: str | None, index: ItemIndex, min_run: int) -> list[tuple]:
+def leaks_of(text: str | None, index: ItemIndex, min_run: int, min_coverage: float | None = None) -> list[tuple]:
     """(item_id, longest_run, tiles, covered_words, item_words, coverage) of each
-    item of which the text holds a run of at least ``min_run`` words."""
+    item of which the text holds a run of at least ``min_run`` words, or, if
+    ``min_coverage`` is given, tiles that cover that share of its words. Tiles
+    are runs from the seed length up."""
     ids = index.map_words(words_of(text))
-    stretches = list(known_stretches(ids, min_run))
+    seed = index.seed
+    stretches = list(known_stretches(ids, seed))
     if not stretches:
         return []
-    seed = index.seed
     shared: dict[int, list[list[tuple[int, int]]]] = {}
     for k, s in enumerate(stretches):
         for a, h in enumerate(seed_hashes(s, seed)):
@@ -162,8 +165,8 @@ def leaks_of(text: str | None, index: ItemIndex, min_run: int) -> list[tuple]:
     out = []
     for item in sorted(shared):
         words = index.words[item]
-        lengths = tile(words, stretches, shared[item], seed, min_run)
-        if lengths:
+        lengths = tile(words, stretches, shared[item], seed, seed)
+        if lengths and (lengths[0] >= min_run or min_coverage is not None and sum(lengths) >= min_coverage * len(words)):
             out.append((item, lengths[0], len(lengths), sum(lengths), len(words), sum(lengths) / len(words)))
     return out
 
@@ -187,10 +190,16 @@ def item_blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[int, st
 
 
 def find_leaks(
-    documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN, seed: int = SEED, max_block_words: int = MAX_BLOCK_WORDS
+    documents: DataFrame,
+    items: DataFrame,
+    min_run: int = MIN_RUN,
+    seed: int = SEED,
+    max_block_words: int = MAX_BLOCK_WORDS,
+    min_coverage: float | None = None,
 ) -> DataFrame:
     """Every (document, item) where the document holds a run of at least
-    ``min_run`` consecutive words of the item.
+    ``min_run`` consecutive words of the item or, if ``min_coverage`` is given,
+    runs of at least ``seed`` words in any order that cover that share of it.
 
     Columns: doc_id, item_id, longest_run, tiles, covered_words, item_words,
     coverage (share of the item's words that lie in tiles). Copies of a document
@@ -206,7 +215,7 @@ def find_leaks(
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = ItemIndex(shared.value, seed)
             for b in batches:
-                rows = [(k, *x) for k, t in zip(b["_k"], b["_t"]) for x in leaks_of(t, index, min_run)]
+                rows = [(k, *x) for k, t in zip(b["_k"], b["_t"]) for x in leaks_of(t, index, min_run, min_coverage)]
                 yield pd.DataFrame(rows, columns=["_k", "item_id", "longest_run", "tiles", "covered_words", "item_words", "coverage"])
 
         part = source.mapInPandas(run, SCHEMA)

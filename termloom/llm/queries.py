@@ -62,11 +62,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_coverage=leakage.MIN_COVERAGE)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_leaks(spark, d).select("doc_id", "item_id")
+    return p8_leaks(spark, d).where(F.col("longest_run") >= leakage.MIN_RUN).select("doc_id", "item_id")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

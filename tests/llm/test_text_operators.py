@@ -236,3 +236,23 @@ def test_tiles_do_not_overlap():
     ix = leakage.ItemIndex([(1, "a b c a b c a b c")], 3)
     assert leakage.leaks_of("a b c a b c x a b c", ix, 3)[0][1:4] == (6, 2, 9)
     assert leakage.seed_hashes(item, 3)[0] == leakage.seed_hashes(item, 3)[3]
+
+
+def test_reordered_clauses(spark, tmp_path):
+    """Clauses of 5 to 9 words in another order are found by coverage, and are no case of p8_found."""
+    from termloom.llm import queries
+
+    item = "the old miller counted seven barrels twice while grey geese crossed the frozen harbour slowly before anyone lit the second brass lantern"
+    w = item.split()
+    moved = f"Now {' '.join(w[15:])}. Then {' '.join(w[7:15])}, so {' '.join(w[:7])}."
+    far = f"Now {' '.join(w[15:20])}."
+    docs(spark, moved, item + ". Again " + " ".join(w[:7]), far).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = queries.p8_leaks(spark, str(tmp_path))
+    assert rows(got, "doc_id", "longest_run", "tiles", "covered_words") == [(0, 8, 3, 22), (1, 22, 1, 22)]
+    assert rows(queries.p8_found(spark, str(tmp_path))) == [(1, 1)]
+
+
+def test_short_tiles_count_for_coverage():
+    ix = leakage.ItemIndex([(1, "a b c d e f g h i j k l m n o p")], 5)
+    assert leakage.leaks_of("a b c d e f g h i j x l m n o p", ix, 10)[0][1:4] == (10, 2, 15)
