@@ -2,7 +2,9 @@
 
 1. a manifest of all files is frozen (written once; late files are not seen);
 2. each file's record is recognised by the checksum of its content, put into one
-   form; of the copies of a record the lowest file number is kept;
+   form; of the copies of a record the lowest file number is kept. Rows of one
+   file_no with the same record are one file, the row with the lowest name, then
+   the fewest bytes; with different records each record counts under that number;
 3. the records are bin-packed by size, first-fit decreasing, each bin one file;
 4. every bin is rewritten, and what was written is read back and held against
    the manifest by row counts and checksums;
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -64,14 +66,16 @@ def freeze_manifest(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame
 
     digest is NULL for files without content; kept is the lowest file_no of those
     with the same digest. Rows with a NULL file_no are no files; extra columns are
-    ignored."""
+    ignored. Rows of one file_no with the same digest are listed once."""
     spark = files.sparkSession
     listed = files.where(F.col("file_no").isNotNull()).select(
         F.col("file_no").cast("bigint").alias("file_no"), "name", F.octet_length("body").alias("n_bytes"), record_text(F.col("body")).alias("_record")
     )
-    listed.select(
+    listed = listed.select(
         "file_no", "name", "n_bytes", F.octet_length("_record").cast("bigint").alias("record_bytes"), _digest(F.col("_record")).alias("digest")
-    ).write.parquet(f"{folder}/listing")
+    )
+    listed = listed.groupBy("file_no", "digest").agg(F.min(F.struct("name", "n_bytes")).alias("_row"), F.max("record_bytes").alias("record_bytes"))
+    listed.select("file_no", "_row.name", "_row.n_bytes", "record_bytes", "digest").write.parquet(f"{folder}/listing")
     listing = spark.read.schema(LISTING).parquet(f"{folder}/listing")
     first = listing.where("digest IS NOT NULL").groupBy("digest").agg(F.min("file_no").alias("file_no"), F.max("record_bytes").alias("record_bytes"))
     first.select("file_no", "record_bytes", _checksum(F.col("digest")).alias("checksum")).write.parquet(f"{folder}/kept")
@@ -159,7 +163,8 @@ def _checks(df: DataFrame) -> DataFrame:
 def compact(files: DataFrame, folder: str | None = None, target_bytes: int = TARGET_BYTES, shard_files: int = SHARD_FILES) -> Compaction:
     """Rewrites the files' records into few well-sized files and commits them.
 
-    files: file_no, name, body. An empty table gives an empty, committed result.
+    files: file_no, name, body. An empty table gives an empty, committed result;
+    repeated rows of a file give its record once.
     Raises CompactionError, with nothing committed, if what is read back differs
     from the manifest. The bodies are shuffled once: to the shards, in which all
     files of a bin lie together."""
@@ -171,8 +176,12 @@ def compact(files: DataFrame, folder: str | None = None, target_bytes: int = TAR
     bins = spark.read.schema(BINS).parquet(f"{folder}/bins")
     body = files.where(F.col("file_no").isNotNull()).select(F.col("file_no").cast("bigint").alias("file_no"), "name", "body")
     body = body.withColumn("shard", shard_of(F.col("file_no"), shards)).repartitionById(shards, F.col("shard"))
-    there = bins.select("file_no", "shard", "bin").repartitionById(shards, F.col("shard")).hint("shuffle_hash")
-    placed = body.join(there, ["shard", "file_no"]).select("file_no", "name", record_text(F.col("body")).alias("record"), "bin")
+    body = body.select("shard", "file_no", "name", F.octet_length("body").alias("_bytes"), record_text(F.col("body")).alias("record"))
+    body = body.withColumn("checksum", _checksum(_digest(F.col("record"))))
+    there = bins.select("file_no", "checksum", "shard", "bin").repartitionById(shards, F.col("shard")).hint("shuffle_hash")
+    first = Window.partitionBy("shard", "file_no", "checksum").orderBy("name", "_bytes")
+    placed = body.join(there, ["shard", "file_no", "checksum"]).withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    placed = placed.select("file_no", "name", "record", "bin")
     placed.sortWithinPartitions("bin", "file_no").write.partitionBy("bin").parquet(f"{folder}/data")
 
     data = spark.read.schema(DATA).parquet(f"{folder}/data")

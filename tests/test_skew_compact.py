@@ -116,6 +116,16 @@ def test_compaction(spark, tmp_path):
     assert rows(compact.open_compaction(spark, f"{tmp_path}/c").records()) == rows(kept)
 
 
+def test_repeated_rows(spark, tmp_path):
+    """Rows of one file_no with the same record are one file; other records of that number are kept too."""
+    data = [(1, "b", "T\nx"), (1, "a", "T\r\nx"), (1, "a", "T\r\nx"), (2, "c", "T\nx\n"), (2, "c", "T\nx\n"), (3, "d", "one"), (3, "d", "two"), (4, "e", "two"), (5, None, ""), (5, None, "")]
+    files = spark.createDataFrame(data, "file_no bigint, name string, body string")
+    done = compact.compact(files, f"{tmp_path}/c", target_bytes=64)
+    assert rows(compact.same_records(done.listing())) == [(1, 2), (3, 4)]
+    assert rows(done.listing(), "file_no", "name", "n_bytes") == [(1, "a", 4), (2, "c", 4), (3, "d", 3), (3, "d", 3), (4, "e", 3), (5, None, 0)]
+    assert rows(done.records(), "file_no", "name", "record") == [(1, "a", "T\nx"), (3, "d", "one"), (3, "d", "two")]
+
+
 def test_uncommitted_is_refused(spark, tmp_path, monkeypatch):
     with pytest.raises(compact.CompactionError):
         compact.open_compaction(spark, f"{tmp_path}/nothing")
