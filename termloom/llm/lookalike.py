@@ -1,12 +1,11 @@
 """One form for texts that look the same.
 
-A trie holds the vocabulary of the distinct strings. Its edges are classes of
-characters that are drawn alike, so an edit automaton that weighs look-alikes
-and characters not drawn with zero walks it without branching: a substitution
-within a class is the same edge, a character not drawn leaves the automaton where
-it is, and a compatibility form walks the edges of its expansion. Strings that
-end in one node look the same; the node's canonical spelling is chosen from them,
-and a string without a partner is normalised by table.
+The key ``skeleton(spelling)`` maps each string to its look-alike classes; strings
+with one key look the same. It stands in for a weighted edit automaton over a
+vocabulary trie, in which look-alikes cost zero and any other edit rules a pair
+out: that accepts the same strings. A trie of the keys gathers the spellings; the
+canonical one is chosen from them, and a string without a partner is normalised
+by table.
 
 Only distinct strings are compared, so a title that a third of all rows share is
 one string. They are spread over tasks by a hash of their classes: strings that
@@ -31,7 +30,7 @@ CLASS_SCHEMA = "spelling string, class_id string, canonical string, n_spellings
 
 
 class Trie:
-    """Vocabulary trie with class edges; ``walk`` is the zero-cost automaton."""
+    """Trie of the keys of the spellings; ``walk`` follows the key of one."""
 
     __slots__ = ("next", "ends")
 
