@@ -55,12 +55,42 @@ def test_clean_keeps_structure():
     tex = markup.clean("\\section{Head}\n{\\it a} \\emph{b}\\footnote{see 2}\n\\[ x^{2} \\]\n\\begin{itemize}\n\\item a\n\\end{itemize}")
     assert "## Head" in tex and "$$ x^{2} $$" in tex and "- a" in tex and "\\" not in tex and "a b" in tex
     wiki = markup.clean("== Head ==\n[[a|b]] '''c'''\n{{Box\n| d = 1\n}}\n[[Category:x]]\n{| class=\"w\"\n! A\n|-\n| 1\n|}")
-    assert "## Head" in wiki and "b c" in wiki and "Box" not in wiki and "Category" not in wiki and "{|" not in wiki
+    assert "## Head" in wiki and "b c" in wiki and "d: 1" in wiki and "Box" not in wiki and "Category" not in wiki and "{|" not in wiki
     md = markup.clean("# Head\n**a** [b](http://c) `d`\n```py\n**raw**\n```\n* x")
     assert "# Head" in md and "a b d" in md and "**raw**" in md and "- x" in md
 
 
-UNPAIRED = ["__a ", "\n", " \n", "**a ", "\\[ x ", "$a_b ", "<!-- ", "<pre> ", "[[a ", "{{a ", "== a ", "'''a ", "| ", "`a ", "!. ", "<a ", "\\begin{align} ", "- [ ] ", " "]
+def test_no_span_is_too_long_and_no_nesting_too_deep():
+    code = "a   b\n**x** {{y}}\n" * 60_000
+    got = markup.clean(f"<b>z</b> <pre>{code}</pre>")
+    assert got == "z \n```\n" + code.strip("\n") + "\n```"
+    formula = "x_{1} + " * 1_300 + "y"
+    for text in (f"a $${formula}$$ b", f"a ${formula}$ b", f"a \\[{formula}\\] b"):
+        assert markup.kinds(text) == ["latex"] and formula in markup.clean(text)
+    assert markup.clean("<script>" + "x < 3; " * 20_000 + "</script>a<!--" + "b " * 9_000 + "-->") == "a"
+    assert markup.clean("{{t|" * 10 + "deep" + "}}" * 10) == "deep" and markup.clean("{{t|" * 50_000 + "deep" + "}}" * 50_000) == "deep"
+    assert markup.clean("\\emph{" * 50_000 + "deep" + "}" * 50_000) == "deep" and markup.clean("[[File:a.jpg|thumb|A [[b|c]] d]]") == "A c d"
+
+
+def test_each_language_only_where_it_was_found():
+    assert markup.clean("This is **bold** in C:\\Users\\bob\\notes today.") == "This is bold in C:\\Users\\bob\\notes today."
+    assert markup.clean("<b>a</b> **e \\x") == "a **e \\x" and markup.clean("[[c|d]]x **e \\x {y}") == "dx **e \\x {y}"
+    assert markup.clean("\\emph{a} \\unknown {1, 2} M\\\"uller 5 \\% \\ldots") == "a \\unknown {1, 2} Müller 5 % …"
+    assert markup.clean("**a** \ue0000\ue000 `**b** [[c]]`") == "a \ue0000\ue000 **b** [[c]]"
+
+
+def test_values_and_cells_stay():
+    assert markup.clean("{{Box\n| name = Jena\n| of = [[a|b]] c\n| none =\n}}\nText {{lang|la|homo}}.").split("\n") == ["name: Jena", "of: b c", "", "Text la homo."]
+    assert markup.clean('{|\n|+ Cap\n! A !! B\n|-\n| style="x" | 1 || 2\n|-\n| 3\n| 4\n5\n|}\nafter') == "Cap\nA | B\n1 | 2\n3 | 4 5\nafter"
+    assert markup.clean("\\begin{tabular}{ll} a & b \\\\ c & d \\end{tabular}") == "a | b \n c | d"
+    assert markup.clean("<table><tr><td>1</td> <td>2</td></tr><tr><th>3<th>4</table>") == "1 | 2\n\n3 | 4"
+    assert markup.clean("{| open\n| x\n[[y]]") == "{| open\n| x\ny"
+
+
+UNPAIRED = [
+    "__a ", "\n", " \n", "**a ", "\\[ x ", "$a_b ", "<!-- ", "<pre> ", "[[a ", "{{a ", "== a ", "'''a ", "| ", "`a ", "!. ", "<a ", "\\begin{align} ", "- [ ] ", " ",
+    "{{a|b=", "[[a|", "\\emph{", "{\\it ", "\\cmd[", "$$ x ", "\\( x\n\n", "<ref>", "<nowiki>", "<td>", "```x\n", "\n| a=b ", "a=b", "\n== a", "}} ]] ", "``` ` ``", "{|\n", "\n|}", "<h2>\n",
+]
 
 
 @pytest.mark.parametrize("unit", UNPAIRED)
