@@ -89,13 +89,61 @@ def test_same_looking_pages(spark):
 
 def test_normalise(spark):
     df = spark.createDataFrame([(1, "Nova"), (2, "Nоvа"), (3, "Nova"), (4, "ｘ\u200by"), (5, None), (6, "")], "id int, text string")
-    assert rows(lookalike.normalise(df, "text"), "id", "text_normal") == [(1, "Nova"), (2, "Nova"), (3, "Nova"), (4, "xy"), (5, None), (6, "")]
+    assert rows(lookalike.normalise(df, "text"), "id", "text_normal") == [(1, "Nova"), (2, "Nova"), (3, "Nova"), (4, "xy"), (5, None), (6, "")] and lookalike.normalise(df.limit(0), "text").count() == 0
+    hot = df.union(spark.createDataFrame([(i % 7, "Nоvа") for i in range(300)], "id int, text string"))
+    assert rows(lookalike.normalise(hot, "text").groupBy("text", "text_normal").count().where("count > 1")) == [("Nova", "Nova", 2), ("Nоvа", "Nova", 301)]
 
 
-def test_trie_walk():
+def test_automaton():
     t = lookalike.Trie()
-    node = t.add("VI", 1)
-    assert t.walk("Ⅵ") == t.walk("V\u00adІ") == node and t.walk("VII") == -1 and t.walk("vI") == -1
+    for s in ("VI", "Ⅵ", "V\u00adІ", "VII", "vI", "VІ", "I"):
+        t.add(s)
+    reached = lambda s, bound=0: {t.ends[n]: c for n, c in lookalike.Automaton(s, bound).reach(t).items()}
+    assert reached("VI") == reached("Ⅵ") == dict.fromkeys(("VI", "Ⅵ", "V\u00adІ", "VІ"), 0)
+    assert reached("VI", 1) == dict.fromkeys(("VI", "Ⅵ", "V\u00adІ", "VІ"), 0) | dict.fromkeys(("VII", "vI", "I"), 1)
+    assert reached("none") == {} and reached("X\u200bI", 1) == dict.fromkeys(("VI", "Ⅵ", "V\u00adІ", "VІ", "vI", "I"), 1)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@given(st.lists(st.text("aаbé\u0301e\u200bⅥVI", max_size=6), min_size=1, max_size=12), st.integers(0, 2))
+def test_automaton_equals_edit_distance(spellings, bound):
+    from termloom.llm.text import skeleton
+
+    t = lookalike.Trie()
+    for s in spellings:
+        t.add(s)
+    for s in spellings:
+        want = {o: d for o in set(spellings) if (d := distance(skeleton(s), skeleton(o))) <= bound}
+        assert {t.ends[n]: c for n, c in lookalike.Automaton(s, bound).reach(t).items()} == want
+
+
+def test_classes_come_from_the_trie(spark):
+    """Anagrams share a signature; only the traversal keeps them apart."""
+    words = ["abc", "cab", "аbc", "ca\u200bb", "bca"]
+    assert len({lookalike.signature(w) for w in words}) == 1
+    df = spark.createDataFrame([(w,) for w in words], "text string")
+    want = [("abc", "abc"), ("bca", "bca"), ("ca\u200bb", "cab"), ("cab", "cab"), ("аbc", "abc")]
+    assert rows(lookalike.spelling_classes(df, "text"), "spelling", "class_id") == sorted(want, key=repr)
+    whole = rows(lookalike.spelling_classes(df, "text"))
+    assert rows(lookalike.spelling_classes(df, "text", block_strings=2)) == whole
+
+
+def test_many_spellings_of_one_title(spark):
+    import itertools
+
+    same = ["".join(p) + "x" for p in itertools.product(*[("a", "а"), ("c", "с"), ("e", "е"), ("o", "о", "ο"), ("p", "р")] * 2)][:1500]
+    df = spark.createDataFrame([(w, 1) for w in same] + [("other", 1)] * 3, "text string, n int")
+    got = lookalike.spelling_classes(df, "text", block_strings=200).collect()
+    assert {(r["class_id"], r["n_spellings"]) for r in got} == {(min(same), 1500), ("other", 1)}
+    assert rows(lookalike.normalise(df, "text").select("text_normal").distinct()) == [(same[0],), ("other",)]
 
 
 # ---------------------------------------------------------------------- mixing
