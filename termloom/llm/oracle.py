@@ -51,25 +51,44 @@ joined AS (
   FROM counted FULL JOIN runs USING (term) FULL JOIN stated USING (term)
 )"""
 
-# characters drawn alike, as in text.LOOKALIKE; DuckDB has NFC only, so compatibility forms are unfolded by hand
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-_ROMAN = {"Ⅰ": "I", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅴ": "V", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅹ": "X", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}
+# Characters drawn alike, an own table: Latin letters with the others drawn like them. DuckDB
+# composes but knows no compatibility forms, so those that occur are listed as well.
+ALIKE = {
+    "a": "аα", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "іι", "j": "ј", "l": "ӏ", "o": "оο", "p": "рρ", "q": "ԛ", "s": "ѕ", "v": "ν", "w": "ԝ", "x": "х", "y": "у",
+    "A": "АΑ", "B": "ВΒ", "C": "С", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "УΥ", "Z": "Ζ",
+}
+ACCENTED = "éёüöäйÉЁÜÖÄЙ"
+DASHES = "‐‑﹣－"
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+JOINED = {"Ⅰ": "I", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅴ": "V", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅹ": "X", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}
 
 
-def _skeleton(column: str) -> str:
-    from .text import HYPHENS, LOOKALIKE
+def _quoted(s: str) -> str:
+    return s.replace("'", "''")
 
+
+def _plain(column: str) -> str:
+    """Without invisible characters, with plain spaces, hyphens and letter forms."""
     sql = f"regexp_replace({column}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g')"
     sql = f"regexp_replace({sql}, '[\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', ' ', 'g')"
-    for k, v in _ROMAN.items():
+    for k, v in JOINED.items():
         sql = f"replace({sql}, '{k}', '{v}')"
-    quoted = lambda s: s.replace("'", "''")
-    sql = f"translate({sql}, '{quoted(_WIDE)}{HYPHENS}', '{quoted(_NARROW)}{'-' * len(HYPHENS)}')"
-    # accents: take letters apart that have a look-alike base, then fold, then compose again
-    for k in "éёüöäйÉЁÜÖÄЙ":
+    return f"nfc_normalize(translate({sql}, '{_quoted(WIDE)}{DASHES}', '{_quoted(NARROW)}{'-' * len(DASHES)}'))"
+
+
+def _form(column: str) -> str:
+    """The same for all strings that look the same: accents are taken apart, as
+    their letters may be look-alikes, and composed again."""
+    sql = _plain(column)
+    for k in ACCENTED:
         sql = f"replace({sql}, '{unicodedata.normalize('NFC', k)}', '{unicodedata.normalize('NFD', k)}')"
-    return f"nfc_normalize(translate({sql}, '{''.join(LOOKALIKE)}', '{''.join(LOOKALIKE.values())}'))"
+    return f"nfc_normalize(translate({sql}, '{''.join(ALIKE.values())}', '{''.join(k * len(v) for k, v in ALIKE.items())}'))"
+
+
+SCRIPTS = (
+    r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]", r"[\x{250}-\x{2c1}\x{370}-\x{373}\x{376}-\x{377}\x{37b}-\x{3ff}]", r"[\x{400}-\x{481}\x{48a}-\x{52f}]"
+)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -105,8 +124,18 @@ FROM measured LEFT JOIN latest USING (doc_id)""",
 WITH latest AS (
   SELECT id, max_by(title, (coalesce(processed_at, TIMESTAMPTZ 'epoch'), coalesce(title, ''))) AS title FROM pages WHERE id IS NOT NULL GROUP BY id
 ),
-formed AS (SELECT id, title, {_skeleton('title')} AS form FROM latest WHERE title IS NOT NULL)
+formed AS (SELECT id, title, {_form('title')} AS form FROM latest WHERE title IS NOT NULL)
 SELECT a.id AS page_a, b.id AS page_b FROM formed a JOIN formed b ON a.form = b.form AND a.id < b.id AND a.title <> b.title""",
+        "p6_tokens": f"""
+WITH own AS (SELECT page_id, pos, text FROM title_tokens WHERE NOT normalize_unicode),
+spelled AS (SELECT text, count(*) AS n, {_plain('text')} AS plain, {_form('text')} AS form FROM own WHERE text IS NOT NULL GROUP BY text),
+odd AS (
+  SELECT *, len(list_filter(range(1, least(len(text), len(plain)) + 1), lambda i: substr(text, i, 1) <> substr(plain, i, 1))) + abs(len(text) - len(plain))
+         + 2 * len(list_filter(string_split(plain, ' '), lambda w: {' + '.join(f"regexp_matches(w, '{x}')::INT" for x in SCRIPTS)} > 1)) AS oddness
+  FROM spelled
+),
+chosen AS (SELECT form, arg_min(plain, (oddness, -n, text)) AS text_normal FROM odd GROUP BY form)
+SELECT o.page_id, o.pos, o.text, c.text_normal FROM own o LEFT JOIN odd USING (text) LEFT JOIN chosen c USING (form)""",
         "p7_counts": f"""
 WITH {COUNTS}
 SELECT term, occurrences, records, run_frequency, stated_records,
