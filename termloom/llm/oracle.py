@@ -113,7 +113,7 @@ WITH latest AS (
 ),
 measured AS (
   SELECT doc_id, CASE WHEN text IS NULL OR NOT regexp_matches(text, '\S') THEN 0
-    ELSE len(regexp_extract_all(substr(text, nullif(instr(text, chr(10)), 0) + 1), '[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) END::BIGINT AS n_words
+    ELSE len(regexp_extract_all(CASE WHEN regexp_matches(substr(text, instr(text, chr(10)) + 1), '\S') THEN substr(text, instr(text, chr(10)) + 1) ELSE text END, '[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) END::BIGINT AS n_words
   FROM documents
 )
 SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, page_word_count,

@@ -8,6 +8,7 @@ count of the crawl queue against the measured one.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,11 +47,16 @@ MAX_SENTENCE = 60  # longest sentence; a longer piece is judged like one without
 MIN_LOOSE = 0.1  # least share of connecting words where there is no sentence end
 MAX_REPEATED_LINES = 0.3  # from these shares on a body is repetitive
 MAX_REPEATED_PARAGRAPHS = 0.3
+MAX_REPEATED_PIECES = 0.5
 MAX_TOP_NGRAM = 0.18
+MIN_REPEATED_WORDS = 6  # of a repeated piece of a repetitive body
 MIN_REPEATED_KINDS = 4  # different connecting words of the repeated pieces of a repetitive body
 MAX_COVERAGE = 0.3  # most 3-grams of a piece without an end that occur in it again
 MAX_VOWELLESS = 0.4  # most words without a vowel
 PROSE_SHARE = 0.5
+SHORT_WORD = 3  # letters; in most languages many function words have no more
+SHORT_SHARES = (0.15, 0.75)  # of short words in a sentence of a language without a list of function words
+MIN_RUNNING = 0.6  # words of such a sentence that do not begin with a capital
 
 _edge = ".,:;!?\"'«»„“”()[]{}—–-…*_"
 _end = re.compile(r"(?<=[.!?…])[\"'»”“)\]]*\s+")
@@ -71,9 +77,10 @@ SCHEMA = ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
 
 
 def split_title(text: str) -> tuple[str, str]:
-    """Title line and body of a document (first line, blank line, the rest)."""
+    """Title line and body of a document (first line, blank line, the rest). A text
+    of one line has no title: the line is its body."""
     head, _, rest = text.partition("\n")
-    return head, rest
+    return (head, rest) if rest.strip() else ("", text)
 
 
 def _repeated(items: list[str]) -> float:
@@ -129,6 +136,27 @@ def is_prose(piece: str, words: list[str], common: int, kinds: int, connected: b
     return not long or sum(map(_vowels.isdisjoint, long)) <= MAX_VOWELLESS * len(long)
 
 
+def is_foreign_prose(piece: str, words: list[str]) -> bool:
+    """The same for a sentence of a body that has few words of COMMON: what tells
+    sentences of other languages from lists of names, codes and junk is the end, the
+    length, running words in lower case, short words among longer ones, letters and
+    vowels. Scripts without spaces between words are not judged so."""
+    n = len(words)
+    if not MIN_WORDS <= n <= MAX_SENTENCE or not _terminal.search(piece):
+        return False
+    short = sum(len(w) <= SHORT_WORD and w.isalpha() for w in words)
+    if not SHORT_SHARES[0] * n <= short <= SHORT_SHARES[1] * n:
+        return False
+    if sum(not w.lstrip(_edge)[:1].isupper() for w in piece.split()) < MIN_RUNNING * n:
+        return False
+    if sum(map(len, _numbers.findall(piece))) > MAX_DIGITS * len(piece):
+        return False
+    if sum(map(len, _letters.findall(piece))) < MIN_LETTERS * (len(piece) - piece.count(" ")):
+        return False
+    spoken = [unicodedata.normalize("NFKD", w) for w in words if len(w) > 2 and w[0] < "\u0530"]
+    return sum(map(_vowels.isdisjoint, spoken)) <= MAX_VOWELLESS * len(spoken)
+
+
 def split_pieces(body: str) -> Iterator[tuple[str, list[str]]]:
     """Sentence-like pieces of a body without markup and their words.
 
@@ -154,7 +182,11 @@ def judged(body: str) -> tuple[list[tuple[str, list[str], int, bool]], list[str]
     lines = [x for x in (line.strip() for line in body.split("\n")) if x]
     words = [w for _, own in parts for w in own]
     repeated = repetition(body, lines, words)
-    repetitive = any(x > bound for x, bound in zip(repeated, (MAX_REPEATED_LINES, MAX_REPEATED_PARAGRAPHS, MAX_TOP_NGRAM)))
+    twice, twice_paragraphs, top = repeated
+    # a phrase is dominant in boilerplate where not only it, but much else comes again
+    dominant = top > MAX_TOP_NGRAM and coverage(words) > MAX_COVERAGE
+    again = _repeated([part for part, _ in parts])
+    repetitive = twice > MAX_REPEATED_LINES or twice_paragraphs > MAX_REPEATED_PARAGRAPHS or again > MAX_REPEATED_PIECES or dominant
     kinds = [len(CONNECTING.intersection(own)) for _, own in parts]
     connected = len(words) <= MAX_BARE or sum(len(own) for (_, own), k in zip(parts, kinds) if k) > len(words) / 2
     boilerplate: set[str] = set()
@@ -162,10 +194,14 @@ def judged(body: str) -> tuple[list[tuple[str, list[str], int, bool]], list[str]
         times = Counter(part for part, _ in parts)
         if len({w for part, own in parts if times[part] > 1 for w in own} & CONNECTING) < MIN_REPEATED_KINDS:
             boilerplate = {part for part, n in times.items() if n > 1}
+        else:  # labels, however they are ended
+            boilerplate = {part for part, own in parts if times[part] > 1 and len(own) < MIN_REPEATED_WORDS}
+    common = [len([w for w in own if w in COMMON]) for _, own in parts]
+    foreign = not repetitive and sum(common) < MIN_COMMON * len(words)
     out = []
-    for (part, own), k in zip(parts, kinds):
-        common = len([w for w in own if w in COMMON])
-        out.append((part, own, common, part not in boilerplate and is_prose(part, own, common, k, connected, repetitive)))
+    for (part, own), k, n in zip(parts, kinds, common):
+        good = part not in boilerplate and is_prose(part, own, n, k, connected, repetitive)
+        out.append((part, own, n, good or foreign and is_foreign_prose(part, own)))
     return out, lines, words, repeated
 
 

@@ -184,6 +184,32 @@ def test_sentences_with_articles_alone():
     assert quality.pieces(run_on)[0][3]
 
 
+FOREIGN = {
+    "fr": "Le tribunal a rendu sa décision au début de l'année, après de longs débats entre les parties. Les avocats avaient présenté plusieurs arguments sur la validité du contrat. La cour a finalement rejeté la demande et condamné le plaignant aux dépens. ",
+    "es": "La ciudad fue fundada por los romanos en el siglo primero y conserva todavía parte de sus murallas. Durante muchos años fue un centro importante de comercio, pero su población disminuyó después de la guerra. ",
+    "it": "La città sorge sulla riva destra del fiume, ai piedi di una collina coperta di boschi. Nel medioevo era famosa per la lavorazione della lana, che veniva esportata in tutta Europa. ",
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+def test_prose_of_other_languages(lang):
+    assert dict(zip(quality.COLUMNS, quality.measure("T\n\n" + FOREIGN[lang])))["kind"] == "prose"
+    menu = "Accueil\nNos dossiers et plus\nQui sommes nous\nContact et plan\n" * 30
+    names = "\n".join(f"{a} {b}." for a in "Paris Lyon Nice Lille Metz Brest".split() for b in "Nord Sud Est Ouest Haut Bas".split())
+    for other in (menu, menu.replace("\n", ". "), names, "la le du de et un. " * 60):
+        assert dict(zip(quality.COLUMNS, quality.measure(f"T\n\n{FOREIGN[lang]}\n{other}")))["prose_share"] < 0.5
+
+
+def test_menu_of_function_words():
+    menu = "Home and the news\nAbout us and you\nHelp for all of you\nContact or find us\n" * 50
+    for body in (menu, menu.replace("\n", " "), menu.replace("\n", ". ")):
+        assert dict(zip(quality.COLUMNS, quality.measure("T\n\n" + body)))["prose_share"] < 0.5
+
+
+def test_one_line_is_a_body():
+    assert quality.measure(PROSE)[-1] == "prose" and quality.measure("Title\n \n")[1] == 1 and quality.split_title("a\n\nb") == ("a", "\nb")
+
+
 def test_statistics():
     m = dict(zip(quality.COLUMNS, quality.measure("T\n\nThe cat sat.\nThe cat sat.\nA1 %")))
     assert m["n_words"] == 8 and m["n_lines"] == 3 and m["punctuated_line_share"] == pytest.approx(2 / 3)
