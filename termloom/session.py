@@ -48,12 +48,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written_path(df: DataFrame, purpose: str) -> str:
+    """Writes the rows of ``df`` to a new table of the shared folder."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return path
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``df`` from a table written to the shared folder: cuts the
     lineage and outlives lost executors."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, purpose))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
