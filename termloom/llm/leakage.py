@@ -7,19 +7,24 @@ maximal common runs, which are marked longest first and without overlap (tiles),
 so reordered passages are covered too.
 
 The items are a stated query set held against all documents: they are sent to
-the tasks in blocks of bounded size (MAX_BLOCK_WORDS), one pass for each block,
-so the broadcast does not grow with the item table.
+the tasks in blocks of bounded size (MAX_BLOCK_WORDS). Where there are several, the
+documents' words are written once, each block has a pass over them whose rows are
+written, and its broadcast is given up before the next: neither the driver nor the
+tasks hold more than one block.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written, written_path
 from . import markup
 from .text import WORD, fold_word, plain
 
@@ -64,13 +69,14 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], seed: int):
         self.seed = seed
         self.ids: dict[str, int] = {}
-        self.words: dict[int, list[int]] = {}
+        self.items = [item for item, _ in items]
+        self.words: list[list[int]] = []
         self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, text in items:
+        for number, (_, text) in enumerate(items):
             seq = [self.ids.setdefault(fold_word(w), len(self.ids) + 1) for w in words_of(text)]
-            self.words[item] = seq
+            self.words.append(seq)
             for at, h in enumerate(seed_hashes(seq, seed)):
-                self.seeds[h].append((item, at))
+                self.seeds[h].append((number, at))
         self.seeds = dict(self.seeds)
         self.cache: dict[str, int] = {}
 
@@ -146,12 +152,13 @@ def tile(item: list[int], stretches: list[list[int]], seed_at: list[list[tuple[i
     return lengths
 
 
-def leaks_of(text: str | None, index: ItemIndex, min_run: int, min_coverage: float | None = None) -> list[tuple]:
+def leaks_of(words: list[str], index: ItemIndex, min_run: int, min_coverage: float | None = None) -> list[tuple]:
     """(item_id, longest_run, tiles, covered_words, item_words, coverage) of each
-    item of which the text holds a run of at least ``min_run`` words, or, if
+    item of which a document's words hold a run of at least ``min_run`` words, or, if
     ``min_coverage`` is given, tiles that cover that share of its words. Tiles
-    are runs from the seed length up."""
-    ids = index.map_words(words_of(text))
+    are runs from the seed length up. Of several texts of an item the one with the
+    longest run counts."""
+    ids = index.map_words(words)
     seed = index.seed
     stretches = list(known_stretches(ids, seed))
     if not stretches:
@@ -162,25 +169,27 @@ def leaks_of(text: str | None, index: ItemIndex, min_run: int, min_coverage: flo
             for item, b in index.seeds.get(h, ()):
                 if s[a : a + seed] == index.words[item][b : b + seed]:
                     shared.setdefault(item, [[] for _ in stretches])[k].append((a, b))
-    out = []
-    for item in sorted(shared):
-        words = index.words[item]
-        lengths = tile(words, stretches, shared[item], seed, seed)
+    out: dict[int, tuple] = {}
+    for number in sorted(shared):
+        item, words = index.items[number], index.words[number]
+        lengths = tile(words, stretches, shared[number], seed, seed)
         if lengths and (lengths[0] >= min_run or min_coverage is not None and sum(lengths) >= min_coverage * len(words)):
-            out.append((item, lengths[0], len(lengths), sum(lengths), len(words), sum(lengths) / len(words)))
-    return out
+            row = (item, lengths[0], len(lengths), sum(lengths), len(words), sum(lengths) / len(words))
+            if item not in out or row[1:] > out[item][1:]:
+                out[item] = row
+    return list(out.values())
 
 
 def item_blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of at most ``max_words`` words, read one by one; an item
-    longer than that is a block of its own. NULL ids and texts are left out and
-    an id given twice with the same text counts once."""
+    longer than that is a block of its own. NULL ids and texts are left out, repeated rows
+    count once and the texts of one id stay together."""
     rows = items.select(F.col("item_id").cast("bigint"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
     block: list[tuple[int, str]] = []
     held = 0
     for item, text in rows.toLocalIterator():
         n = len(text.split())
-        if block and held + n > max_words:
+        if block and held + n > max_words and item != block[-1][0]:
             yield block
             block, held = [], 0
         block.append((item, text))
@@ -208,18 +217,33 @@ def find_leaks(
     assert 1 <= seed <= min_run
     sc = documents.sparkSession.sparkContext
     source = documents.select(F.col("doc_id").cast("bigint").alias("_k"), F.col("text").alias("_t"))
-    result = None
-    for block in item_blocks(items, max_block_words):
-        shared = sc.broadcast(block)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value, seed)
+    def tiled(block: Broadcast, rows: DataFrame, split: Callable[[str | None], list[str]]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = ItemIndex(block.value, seed)
             for b in batches:
-                rows = [(k, *x) for k, t in zip(b["_k"], b["_t"]) for x in leaks_of(t, index, min_run, min_coverage)]
-                yield pd.DataFrame(rows, columns=["_k", "item_id", "longest_run", "tiles", "covered_words", "item_words", "coverage"])
+                found = [(k, *x) for k, t in zip(b["_k"], b["_t"]) for x in leaks_of(split(t), index, min_run, min_coverage)]
+                yield pd.DataFrame(found, columns=["_k", "item_id", "longest_run", "tiles", "covered_words", "item_words", "coverage"])
+
+        return rows.mapInPandas(run, SCHEMA)
 
-        part = source.mapInPandas(run, SCHEMA)
-        result = part if result is None else result.union(part)
-    if result is None:
+    blocks = item_blocks(items, max_block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         result = source.sparkSession.createDataFrame([], SCHEMA)
+    elif second is None:
+        result = tiled(sc.broadcast(first), source, words_of)
+    else:
+        cleaned = written(source.mapInPandas(_written_words, "_k bigint, _t string"), "words")
+        parts = []
+        for block in chain((first, second), blocks):
+            shared = sc.broadcast(block)
+            parts.append(written_path(tiled(shared, cleaned, str.split), "leaks"))
+            shared.destroy()
+        result = source.sparkSession.read.schema(SCHEMA).parquet(*parts)
     return result.withColumnRenamed("_k", "doc_id")
+
+
+def _written_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(_t=[" ".join(words_of(t)) for t in b["_t"]])

@@ -287,10 +287,19 @@ def test_tiles_cover_reordered_parts(spark):
     assert row["tiles"] == 2 and row["covered_words"] == row["item_words"] == len(w) and row["coverage"] == 1.0 and row["longest_run"] == 11
 
 
+def test_texts_of_one_item_and_blocks(spark):
+    """The best of an item's texts counts; blocks give what one block gives."""
+    items = spark.createDataFrame([(1, ITEM), (1, "other words that stand here for the same item id and are not found"), (2, ITEM + " and more"), (3, "x y z")], "item_id bigint, text string")
+    df = docs(spark, ITEM, "nothing", None, ITEM + " and more of it")
+    whole = rows(leakage.find_leaks(df, items, min_coverage=0.5))
+    assert [x[:2] for x in whole] == [(0, 1), (0, 2), (3, 1), (3, 2)]
+    assert rows(leakage.find_leaks(df, items, min_coverage=0.5, max_block_words=3)) == whole
+
+
 def test_tiles_do_not_overlap():
     item = [1, 2, 3, 1, 2, 3, 1, 2, 3]
     ix = leakage.ItemIndex([(1, "a b c a b c a b c")], 3)
-    assert leakage.leaks_of("a b c a b c x a b c", ix, 3)[0][1:4] == (6, 2, 9)
+    assert leakage.leaks_of("a b c a b c x a b c".split(), ix, 3)[0][1:4] == (6, 2, 9)
     assert leakage.seed_hashes(item, 3)[0] == leakage.seed_hashes(item, 3)[3]
 
 
@@ -311,4 +320,4 @@ def test_reordered_clauses(spark, tmp_path):
 
 def test_short_tiles_count_for_coverage():
     ix = leakage.ItemIndex([(1, "a b c d e f g h i j k l m n o p")], 5)
-    assert leakage.leaks_of("a b c d e f g h i j x l m n o p", ix, 10)[0][1:4] == (10, 2, 15)
+    assert leakage.leaks_of("a b c d e f g h i j x l m n o p".split(), ix, 10)[0][1:4] == (10, 2, 15)
