@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import fragment_replicate_join
+from ..session import written
+
 # Letters that end a region.
 VOWELS = "аеиопвЭЮЯё"
 # Endings of the first step; the first that fits goes, not the longest.
@@ -27,6 +30,8 @@ ENDINGS = (
 LATER = ((("и",), "rv"), (("ость", "ост"), "r2"), (("ейш", "ейше", "ь"), "rv"))
 
 WORD_MAX = 2**31 - 1
+MAX_BROADCAST_BYTES = 32 << 20  # of terms and stems, by a measured bound
+TERM_OVERHEAD = 24  # bytes of a term besides its letters, about
 
 _HEAD = f"(?s)^(?:[^{VOWELS}]*[{VOWELS}]|.*)"
 _HEAD_R2 = f"(?s)^(?:.[^{VOWELS}]*[{VOWELS}].[^{VOWELS}]*[{VOWELS}]|.*)"
@@ -63,23 +68,56 @@ def with_stem(df: DataFrame, word: str = "term", stem: str = "stem") -> DataFram
     return df.withColumn(stem, stem_ru(word))
 
 
-def stem_terms(tokens: DataFrame) -> DataFrame:
-    """(term, stem) of the distinct terms; a frequent word is stemmed once."""
-    # an aggregate's result: conditions on the stem are not pushed down to the tokens
-    terms = tokens.where("term IS NOT NULL").groupBy("term").agg(F.max("term").alias("_word"))
-    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_stem(terms.repartition(tasks, "term"), "_word").drop("_word")
+def stem_terms(counts: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct terms of ``counted_terms``; a frequent word is stemmed once."""
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_stem(counts.select("term", "word").repartition(tasks, "term"), "word").drop("word")
+
+
+def counted_terms(rows: DataFrame, term: str = "term") -> DataFrame:
+    """(term, word, n): rows of each non-NULL term, written once. word is the term
+    again, a column of its own: conditions on its stem are not pushed down to the rows
+    that are joined by the term."""
+    grouped = rows.where(F.col(term).isNotNull()).groupBy(F.col(term).alias("term"))
+    return written(grouped.agg(F.max(F.col(term)).alias("word"), F.count(F.lit(1)).alias("n")), "terms")
+
+
+def _joined(rows: DataFrame, stems: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (term, doc_id, …) with their stem; terms without one are left out. Stems
+    of at most MAX_BROADCAST_BYTES are broadcast; of more, each goes to the tasks that
+    hold its term, a frequent term's rows being split by document."""
+    size = counts.agg(F.coalesce(F.sum(F.octet_length("term") + TERM_OVERHEAD), F.lit(0)).alias("b")).first()["b"]
+    if 2 * size <= MAX_BROADCAST_BYTES:
+        return rows.join(F.broadcast(stems), "term")
+    return fragment_replicate_join(rows, stems, "term", "doc_id", "inner", loads_of=counts, weight="n")
+
+
+def _stemmed(rows: DataFrame) -> DataFrame:
+    counts = counted_terms(rows)
+    return _joined(rows, stem_terms(counts), counts)
 
 
 def stem_tokens(tokens: DataFrame) -> DataFrame:
     """(doc_id, pos, term) with stems for terms."""
-    return tokens.join(stem_terms(tokens), "term").select("doc_id", "pos", F.col("stem").alias("term"))
+    return _stemmed(tokens.select("doc_id", "pos", "term")).select("doc_id", "pos", F.col("stem").alias("term"))
+
+
+def stem_postings(postings: DataFrame) -> DataFrame:
+    """(term, doc_id, term_freq, positions) by stem: a document's postings of terms
+    with one stem are merged. There are fewer postings than tokens, so an index is
+    better stemmed here. ``postings`` is read twice; give a written table."""
+    merged = _stemmed(postings.select("term", "doc_id", "positions")).groupBy(F.col("stem").alias("term"), "doc_id")
+    lists = merged.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return lists.select("term", "doc_id", F.size("positions").alias("term_freq"), "positions")
 
 
 def stem_log(tokens: DataFrame, distinct: bool = False) -> DataFrame:
     """(original, stem) of the terms that stemming changes: once per document
     and term, or once per term."""
-    changed = stem_terms(tokens).where("stem <> term").select(F.col("term").alias("original"), "stem")
-    if distinct:
-        return changed
-    return tokens.select("doc_id", F.col("term").alias("original")).distinct().join(changed, "original").select("original", "stem")
+    rows = tokens.where("term IS NOT NULL").select("doc_id", "term")
+    counts = counted_terms(rows)
+    changed = stem_terms(counts).where("stem <> term")
+    if not distinct:
+        # a document's rows of a term meet before they are shuffled
+        changed = _joined(rows.distinct(), changed, counts)
+    return changed.select(F.col("term").alias("original"), "stem")

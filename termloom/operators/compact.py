@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import exists, shared_dir, write_small
 
 MARKER = "_COMMITTED.json"
 TARGET_BYTES = 128 << 20
@@ -199,21 +199,14 @@ def compact(files: DataFrame, folder: str | None = None, target_bytes: int = TAR
 
 
 def _commit(spark: SparkSession, folder: str, state: dict) -> None:
-    """Writes the marker beside its place and moves it there in one step."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(path(f"{folder}/{MARKER}.tmp"), True)
-    out.write(bytearray(json.dumps(state).encode()))
-    out.close()
-    if not fs.rename(path(f"{folder}/{MARKER}.tmp"), path(f"{folder}/{MARKER}")):
+    """Moves the marker into its place in one step."""
+    if not write_small(spark, f"{folder}/{MARKER}", json.dumps(state)):
         raise CompactionError(f"the marker could not be moved in {folder}")
 
 
 def open_compaction(spark: SparkSession, folder: str) -> Compaction:
     """A compaction by its folder; refuses one that was not committed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MARKER}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, f"{folder}/{MARKER}"):
         raise CompactionError(f"{folder} is not committed")
     return Compaction(spark, folder)
 

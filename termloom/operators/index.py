@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import document_name, folded, tokens_array
-from ..session import written
+from ..session import shared_dir, written
 from .ordering import ranked, running_total
 
 TABLES = ("postings", "vocabulary", "docids", "stats")
+SAMPLE_DOCUMENTS = 2000  # about; they only say where the files of the postings are cut
+POSTINGS = "term string, doc_id bigint, term_freq int, positions array<int>"
 
 
 @dataclass
@@ -33,15 +36,58 @@ class Index:
         it, so that a lookup touches few row groups."""
         spread = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         spread.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
-        self.vocabulary.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
-        self.docids.write.parquet(f"{path}/docids")
-        self.stats.write.parquet(f"{path}/stats")
+        _save_small(path, self.vocabulary, self.docids, self.stats)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         return Index(*(spark.read.parquet(f"{path}/{t}") for t in TABLES))
 
 
+def _save_small(path: str, vocabulary: DataFrame, docids: DataFrame, stats: DataFrame) -> None:
+    vocabulary.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+    docids.write.parquet(f"{path}/docids")
+    stats.write.parquet(f"{path}/stats")
+
+
+@dataclass
+class Layout:
+    """Where the postings of each term go: ranges of terms of about equal load; a
+    term above a range's load has several, one after another by document."""
+
+    terms: list[str]  # first term of each range, ascending
+    first: list[int]  # its first partition
+    split: list[int]  # partitions of the range; more than 1 only for one frequent term
+    n_partitions: int
+    n_documents: int
+
+    def partitions(self, terms: list[str], which: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Partition of each posting; ``which`` says which of the terms it has."""
+        at = np.array([max(bisect_right(self.terms, t) - 1, 0) for t in terms], dtype=np.int64)
+        if not len(at):
+            return np.zeros(0, np.int32)
+        first, split = np.array(self.first)[at], np.array(self.split)[at]
+        k = split[which]
+        return (first[which] + docs * k // max(self.n_documents, 1)).clip(0, self.n_partitions - 1).astype(np.int32)
+
+
+def plan_layout(loads: list[tuple[str, int]], n_partitions: int, n_documents: int) -> Layout:
+    """Cuts (term, postings) of a sample into at most 2 ``n_partitions`` ranges.
+    An empty sample gives one partition."""
+    target = max(1.0, sum(n for _, n in loads) / max(1, n_partitions))
+    terms, first, split = [""], [0], [1]
+    held, used = 0.0, 1
+    for term, n in sorted(loads):
+        several = int(n // target)
+        if several > 1 or held + n > target and held:
+            terms.append(term)
+            first.append(used)
+            split.append(max(1, several))
+            used += max(1, several)
+            held = 0.0 if several <= 1 else target  # after a split term a new range begins
+        held += n
+    return Layout(terms, first, split, used, n_documents)
+
+
 def document_numbers(documents: DataFrame, order: str = "doc_num") -> DataFrame:
     """(order, doc_id, filename): dense numbers from 0 in ascending order."""
     numbered = ranked(documents.select(order), [order], "doc_id", 0)
@@ -60,9 +106,10 @@ def build_postings(tokens: DataFrame, drop_position_zero: bool = True) -> DataFr
     return grouped.select("term", "doc_id", F.size("positions").alias("term_freq"), "positions")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], drop_position_zero: bool) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterator[pa.RecordBatch], drop_position_zero: bool, layout: Layout | None = None) -> Iterator[pa.RecordBatch]:
     """Postings of batches (key, tokens): the batch's words become numbers, and a
-    stable sort by (row, number) brings each word's ascending positions together."""
+    stable sort by (row, number) brings each word's ascending positions together.
+    With a layout each posting has its partition beside it."""
     for b in batches:
         lists = b.column(1)
         lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
@@ -78,15 +125,18 @@ def _grouped(batches: Iterator[pa.RecordBatch], drop_position_zero: bool) -> Ite
         group = group[order]
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
         offsets = np.r_[first, len(group)].astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                words.dictionary.take(pa.array(code[order][first])),
-                b.column(0).take(pa.array(row[order][first])),
-                pa.array(np.diff(offsets).astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[order].astype(np.int32))),
-            ],
-            names=["term", "doc_id", "term_freq", "positions"],
-        )
+        which, docs = code[order][first], b.column(0).take(pa.array(row[order][first]))
+        columns = [
+            words.dictionary.take(pa.array(which)),
+            docs,
+            pa.array(np.diff(offsets).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[order].astype(np.int32))),
+        ]
+        names = ["term", "doc_id", "term_freq", "positions"]
+        if layout is not None:
+            columns.append(pa.array(layout.partitions(words.dictionary.to_pylist(), which, docs.to_numpy(zero_copy_only=False))))
+            names.append("_part")
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def document_postings(
@@ -96,8 +146,19 @@ def document_postings(
     shuffle: all occurrences of a (term, document) stand in one row, so they are
     grouped where they are, by vectorised Arrow batches. ``key`` must be unique; a
     NULL or empty text has no postings."""
-    cut = documents.select(F.col(key).cast("bigint").alias("doc_id"), tokens_array(folded(F.col(text), normalise, lowercase), keep_hyphens).alias("tokens"))
-    return cut.mapInArrow(lambda batches: _grouped(batches, drop_position_zero), "term string, doc_id bigint, term_freq int, positions array<int>")
+    cut = _cut(documents, text, key, normalise=normalise, lowercase=lowercase, keep_hyphens=keep_hyphens)
+    return cut.mapInArrow(lambda batches: _grouped(batches, drop_position_zero), POSTINGS)
+
+
+def _cut(documents: DataFrame, text: str, key: str, *, normalise: bool = True, lowercase: bool = True, keep_hyphens: bool = False) -> DataFrame:
+    tokens = tokens_array(folded(F.col(text), normalise, lowercase), keep_hyphens)
+    return documents.select(F.col(key).cast("bigint").alias("doc_id"), tokens.alias("tokens"))
+
+
+def term_sums(postings: DataFrame) -> DataFrame:
+    """(term, _first document, doc_freq, _positions); term_freq is the number of
+    positions, which are not read."""
+    return postings.groupBy("term").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("doc_freq"), F.sum("term_freq").alias("_positions"))
 
 
 def build_vocabulary(postings: DataFrame) -> DataFrame:
@@ -106,23 +167,25 @@ def build_vocabulary(postings: DataFrame) -> DataFrame:
     term_id numbers the terms by their first document and then by term, from 0;
     the offset is the byte place of the term's list in term order, a list taking
     4 bytes and each posting 12 and 4 for each position."""
-    per_term = postings.groupBy("term").agg(
-        F.min("doc_id").alias("_first"),
-        F.count(F.lit(1)).alias("doc_freq"),
-        F.sum(F.lit(12) + 4 * F.size("positions")).alias("_bytes"),
-    )
-    numbered = ranked(per_term, ["_first", "term"], "term_id", 0)
-    placed = running_total(numbered.withColumn("_bytes", F.col("_bytes") + 4), ["term"], "_bytes", "postings_offset")
+    return vocabulary_of(term_sums(postings))
+
+
+def vocabulary_of(sums: DataFrame) -> DataFrame:
+    sized = sums.select("term", "_first", "doc_freq", (4 + 12 * F.col("doc_freq") + 4 * F.col("_positions")).alias("_bytes"))
+    placed = running_total(ranked(sized, ["_first", "term"], "term_id", 0), ["term"], "_bytes", "postings_offset")
     return placed.select("term", "term_id", "doc_freq", "postings_offset")
 
 
 def index_stats(postings: DataFrame, docids: DataFrame) -> DataFrame:
     """One row: num_documents (empty ones too), num_terms, total_postings, total_positions."""
-    per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("p"), F.sum(F.size("positions")).alias("n"))
-    totals = per_term.agg(
+    return stats_of(term_sums(postings), docids)
+
+
+def stats_of(sums: DataFrame, docids: DataFrame) -> DataFrame:
+    totals = sums.agg(
         F.count(F.lit(1)).alias("num_terms"),
-        F.coalesce(F.sum("p"), F.lit(0)).alias("total_postings"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_positions"),
+        F.coalesce(F.sum("doc_freq"), F.lit(0)).alias("total_postings"),
+        F.coalesce(F.sum("_positions"), F.lit(0)).alias("total_positions"),
     )
     return docids.agg(F.count(F.lit(1)).alias("num_documents")).crossJoin(totals)
 
@@ -135,19 +198,50 @@ def build_index(tokens: DataFrame, docids: DataFrame, drop_position_zero: bool =
     return index_of(build_postings(tokens, drop_position_zero), docids)
 
 
-def build_document_index(documents: DataFrame, drop_position_zero: bool = True, **options) -> Index:
-    """Index of (doc_num, text) rows; the index's own dense numbers replace doc_num."""
+def build_document_index(documents: DataFrame, drop_position_zero: bool = True, path: str | None = None, **options) -> Index:
+    """Index of (doc_num, text) rows, saved at ``path`` (or in the shared folder)
+    and loaded; the index's own dense numbers replace doc_num. Rows with a NULL
+    doc_num are left out.
+
+    Documents are numbered first, and each posting goes once, straight to the file
+    that holds its range of terms; where the ranges are cut is taken from a sample
+    of documents and has no bearing on the rows."""
+    spark = documents.sparkSession
+    path = path or shared_dir(spark, "index")
+    documents = documents.where(F.col("doc_num").isNotNull()).select("doc_num", "text")
+    numbered, docids, n = _numbered(documents)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = _cut(numbered.sample(min(1.0, SAMPLE_DOCUMENTS / max(n, 1)), seed=7), "text", "doc_id", **options)
+    loads = sample.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
+    layout = plan_layout([(r["term"], r["n"]) for r in loads], partitions, n)
+    shared = spark.sparkContext.broadcast(layout)
+    found = _cut(numbered, "text", "doc_id", **options).mapInArrow(lambda b: _grouped(b, drop_position_zero, shared.value), f"{POSTINGS}, _part int")
+    spread = found.repartitionById(layout.n_partitions, F.col("_part")).drop("_part").sortWithinPartitions("term", "doc_id")
+    spread.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    sums = written(term_sums(spark.read.schema(POSTINGS).parquet(f"{path}/postings")), "sums")
+    _save_small(path, vocabulary_of(sums), docids, stats_of(sums, docids))
+    return Index.load(spark, path)
+
+
+def _numbered(documents: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, text), (doc_id, filename) and the number of documents. Numbers that
+    follow each other already are shifted; others are ranked and joined to the
+    documents, before there are any postings."""
+    if documents.schema["doc_num"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        e = documents.agg(F.count("doc_num").alias("n"), F.count_distinct("doc_num").alias("u"), F.min("doc_num").alias("lo"), F.max("doc_num").alias("hi")).first()
+        if e["n"] == 0 or e["n"] == e["u"] == e["hi"] - e["lo"] + 1:
+            dense = (F.col("doc_num").cast("bigint") - F.lit(e["lo"] or 0)).alias("doc_id")
+            return documents.select(dense, "text"), documents.select(dense, document_name(F.col("doc_num")).alias("filename")), e["n"]
     numbers = written(document_numbers(documents.select("doc_num")), "docids")
-    found = document_postings(documents, key="doc_num", drop_position_zero=drop_position_zero, **options).withColumnRenamed("doc_id", "doc_num")
-    own = found.join(numbers.select("doc_num", "doc_id"), "doc_num")
-    return index_of(own.select("term", "doc_id", "term_freq", "positions"), numbers.select("doc_id", "filename"))
+    return documents.join(numbers, "doc_num").select("doc_id", "text"), numbers.select("doc_id", "filename"), numbers.count()
 
 
 def index_of(postings: DataFrame, docids: DataFrame) -> Index:
     """The index of these postings. They are written to the shared folder once, as
     the vocabulary and the statistics are taken from them."""
     kept = written(postings, "postings")
-    return Index(kept, build_vocabulary(kept), docids, index_stats(kept, docids))
+    sums = written(term_sums(kept), "sums")
+    return Index(kept, vocabulary_of(sums), docids, stats_of(sums, docids))
 
 
 def lookup(index: Index, term: str) -> DataFrame:

@@ -76,9 +76,11 @@ class Placement:
         return df.repartitionById(self.n_tasks, F.col(TASK))
 
 
-def key_loads(df: DataFrame, key: str) -> DataFrame:
-    """(_key, _rows) of the non-NULL keys; partial counts are combined before the shuffle."""
-    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(KEY)).agg(F.count(F.lit(1)).alias("_rows"))
+def key_loads(df: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """(_key, _rows) of the non-NULL keys; partial counts are combined before the
+    shuffle. ``weight``: a column of rows counted already."""
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(KEY)).agg(rows.alias("_rows"))
 
 
 def pack(sizes: list[tuple[int, object]], n_tasks: int) -> tuple[dict, list[int]]:
@@ -94,14 +96,14 @@ def pack(sizes: list[tuple[int, object]], n_tasks: int) -> tuple[dict, list[int]
     return chosen, loads
 
 
-def plan_placement(df: DataFrame, key: str, n_tasks: int | None = None) -> Placement:
+def plan_placement(df: DataFrame, key: str, n_tasks: int | None = None, weight: str | None = None) -> Placement:
     """Counts the load of every key of ``df`` once and chooses tasks for them.
 
     An empty ``df`` gives a placement without heavy keys."""
     spark = df.sparkSession
     n_tasks = n_tasks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n_buckets = n_tasks * BUCKETS_PER_TASK
-    loads = key_loads(df, key).withColumn("_bucket", F.pmod(F.xxhash64(KEY), F.lit(n_buckets)).cast("int"))
+    loads = key_loads(df, key, weight).withColumn("_bucket", F.pmod(F.xxhash64(KEY), F.lit(n_buckets)).cast("int"))
     total_of = loads.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_total"))
     limit = F.greatest(F.col("_total") * HEAVY_SHARE / n_tasks, F.lit(1.0))
     judged = loads.crossJoin(F.broadcast(total_of)).withColumn("_heavy", F.col("_rows") > limit)
@@ -129,11 +131,12 @@ def plan_placement(df: DataFrame, key: str, n_tasks: int | None = None) -> Place
 
 
 def fragment_replicate_join(
-    fact: DataFrame, dim: DataFrame, key: str, shard_by: str, how: str = "left", n_tasks: int | None = None, loads_of: DataFrame | None = None
+    fact: DataFrame, dim: DataFrame, key: str, shard_by: str, how: str = "left", n_tasks: int | None = None, loads_of: DataFrame | None = None, weight: str | None = None
 ) -> DataFrame:
     """Join of ``fact`` with ``dim`` on ``key``; no task holds more than a fair
     part of a heavy key. The loads are counted in ``loads_of``, a cheaper table
-    with the same keys, or else in ``fact`` itself, which is then read twice.
+    with the same keys (and their rows in ``weight``, if they are counted there), or
+    else in ``fact`` itself, which is then read twice.
 
     how: ``left`` or ``inner``. A fact row with a NULL key matches nothing: with
     ``left`` it is kept with NULLs beside it, with ``inner`` it is dropped.
@@ -141,7 +144,7 @@ def fragment_replicate_join(
     clash = (set(fact.columns) & set(dim.columns)) - {key}
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    where = plan_placement(fact if loads_of is None else loads_of, key, n_tasks)
+    where = plan_placement(fact if loads_of is None else loads_of, key, n_tasks, weight)
     left = where.place(fact, key, shard_by)
     right = where.replicate(dim, key).hint("shuffle_hash")
     joined = left.join(right, [TASK, SHARD, key], how).drop(TASK, SHARD)

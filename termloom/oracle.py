@@ -176,6 +176,9 @@ SELECT word AS original, stem FROM stemmed WHERE stem <> word""",
         "stemmed_vocabulary": f"""
 WITH {TOK}, terms AS (SELECT DISTINCT term FROM tok), {_stem('terms', 'term')}
 SELECT s.stem AS term, count(DISTINCT t.doc_id) AS doc_freq FROM tok t JOIN stemmed s ON s.word = t.term WHERE t.pos > 0 GROUP BY s.stem""",
+        "stemmed_tokens": f"""
+WITH {TOK}, terms AS (SELECT DISTINCT term FROM tok), {_stem('terms', 'term')}
+SELECT s.stem AS term, count(*) AS frequency FROM tok t JOIN stemmed s ON s.word = t.term GROUP BY s.stem""",
         "clean_docs": f"WITH {CLEANED} SELECT doc_id, word_count, sha1(body) AS sha1 FROM counted WHERE word_count >= {MIN_WORDS}",
         "dedupe_sha1": """
 WITH firsts AS (SELECT min(doc_id) AS doc_id, sha1(text) AS sha1 FROM documents WHERE text IS NOT NULL GROUP BY sha1(text))

@@ -17,7 +17,7 @@ from .functions import stem_ru, text
 from .operators import compact, crawl, index, skew, zipf
 from .plans import search as searching
 from .plans.query import parse_query
-from .session import exists, is_folder, shared_dir, table, written
+from .session import exists, fingerprint, is_folder, shared_dir, table, written
 from .sources.sinks import plot_lines, token_lines
 from .streaming import ingest
 
@@ -63,17 +63,18 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
     return index.document_numbers(documents(spark, d).select(F.col("doc_id").alias("doc_num")))
 
 
-_saved: dict[tuple[str, str], str] = {}  # folder of the index built by a session over a directory
+_saved: dict[tuple, str] = {}  # folder of the index built by an application over files
 
 
 def corpus_index(spark: SparkSession, d: str) -> index.Index:
-    """Index of the corpus, built and saved once by a session and then loaded, so
-    searches read the clustered files. Its own dense numbers replace the document
-    numbers. A folder that is gone is built again."""
-    key = (spark.sparkContext.applicationId, d)
+    """Index of the corpus, built and saved once by an application and then loaded,
+    so searches read the clustered files. Its own dense numbers replace the document
+    numbers. It is built again where the documents' files have changed or its own
+    folder is gone."""
+    key = (spark.sparkContext.applicationId, d, fingerprint(spark, f"{d}/documents.parquet"))
     if key not in _saved or not exists(spark, f"{_saved[key]}/stats/_SUCCESS"):
         folder = shared_dir(spark, "index")
-        index.build_document_index(documents(spark, d).withColumnRenamed("doc_id", "doc_num"), normalise=False).save(folder)
+        index.build_document_index(documents(spark, d).withColumnRenamed("doc_id", "doc_num"), path=folder, normalise=False)
         _saved[key] = folder
     return index.Index.load(spark, _saved[key])
 
@@ -167,8 +168,13 @@ def verify_index(spark, d):
 
 
 def stemmed_vocabulary(spark, d):
-    stems = stem_ru.stem_tokens(plain_tokens(spark, d))
-    return index.build_postings(stems).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    own = written(index.document_postings(documents(spark, d), normalise=False), "postings")
+    return stem_ru.stem_postings(own).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+
+
+def stemmed_tokens(spark, d):
+    """Occurrences of each stem, over the stemmed token rows."""
+    return stem_ru.stem_tokens(plain_tokens(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 # ------------------------------------------------------------------ search
@@ -341,7 +347,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 ALL: tuple[Query, ...] = (
     tokens, tokens_nfkc, tokens_no_lowercase, tokens_keep_hyphens, tokens_remove_numbers, tokens_strict_numbers, tokens_stopwords,
     ascii_tokens, doc_term_positions, postings, postings_all_positions, postings_of_tokens, vocabulary, posting_bytes, docids, index_stats, term_lookup,
-    verify_index, stemmed_vocabulary, *map(_search, SEARCHES), bool_with_titles, bool_by_sets, search_many, zipf_rank, zipf_top_n,
+    verify_index, stemmed_vocabulary, stemmed_tokens, *map(_search, SEARCHES), bool_with_titles, bool_by_sets, search_many, zipf_rank, zipf_top_n,
     zipf_regression, zipf_regression_top_n, zipf_fit, stem_words, stem_log, stem_log_distinct, clean_docs, dedupe_sha1,
     document_titles, status_histogram, crawl_stats, page_queue_top, page_claim, requeued_pages, event_counts, category_bfs,
     category_pages, category_depth, stream_dedupe, p2_found, p2_compact, p3_totals, p3_found,
