@@ -62,7 +62,7 @@ def register_functions(spark: SparkSession) -> None:
     """Makes the functions known to the session's SQL."""
     spark.udf.register("nfkc", nfkc)
     spark.udf.register("boolean_match", boolean_match)
-    _define(spark, "tokenize(txt STRING)", "ARRAY<STRING>", f"regexp_extract_all(lower(txt), {_quoted(token_pattern())}, 0)")
+    _define(spark, "tokenize(txt STRING)", "ARRAY<STRING>", f"regexp_extract_all(lower(nfkc(txt)), {_quoted(token_pattern())}, 0)")
     _define(spark, "word_count_of(txt STRING)", "INT", f"regexp_count(txt, {_quoted(WORDS)})")
     wanted = " AND ".join(["x <> ''", *(f"NOT startswith(x, {_quoted(p)})" for p in DROPPED_PREFIXES)])
     lines = f"transform(split(txt, {_quoted(LINE_END)}), x -> regexp_replace(x, {_quoted(OUTER_SPACE)}, ''))"

@@ -92,21 +92,22 @@ def _joined(rows: DataFrame, stems: DataFrame, counts: DataFrame) -> DataFrame:
     return fragment_replicate_join(rows, stems, "term", "doc_id", "inner", loads_of=counts, weight="n")
 
 
-def _stemmed(rows: DataFrame) -> DataFrame:
+def stemmed(rows: DataFrame) -> DataFrame:
+    """Rows (term, doc_id, …) with the stem of their term."""
     counts = counted_terms(rows)
     return _joined(rows, stem_terms(counts), counts)
 
 
 def stem_tokens(tokens: DataFrame) -> DataFrame:
     """(doc_id, pos, term) with stems for terms."""
-    return _stemmed(tokens.select("doc_id", "pos", "term")).select("doc_id", "pos", F.col("stem").alias("term"))
+    return stemmed(tokens.select("doc_id", "pos", "term")).select("doc_id", "pos", F.col("stem").alias("term"))
 
 
 def stem_postings(postings: DataFrame) -> DataFrame:
     """(term, doc_id, term_freq, positions) by stem: a document's postings of terms
     with one stem are merged. There are fewer postings than tokens, so an index is
     better stemmed here. ``postings`` is read twice; give a written table."""
-    merged = _stemmed(postings.select("term", "doc_id", "positions")).groupBy(F.col("stem").alias("term"), "doc_id")
+    merged = stemmed(postings.select("term", "doc_id", "positions")).groupBy(F.col("stem").alias("term"), "doc_id")
     lists = merged.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return lists.select("term", "doc_id", F.size("positions").alias("term_freq"), "positions")
 

@@ -7,11 +7,17 @@ queued again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clean import strip_category
-from ..session import empty, written
+from ..schemas import EVENTS
+from ..session import hadoop_path, read_small, write_small, written_path
 
 NEW, DONE, IN_PROGRESS, FAILED = 0, 1, 2, 3
 MAX_ATTEMPTS = 3
@@ -31,22 +37,23 @@ def discover(members: DataFrame, roots: list[str], max_depth: int | None = None)
 
     Returns pages (title) and categories (cat, depth) reached from ``roots``, which
     have depth 0; with ``max_depth`` subcategories of that depth are the last whose
-    members are taken. Each round's frontier is written to the shared folder; cycles
-    end by the anti-join with what was visited."""
+    members are taken. Each round's frontier is written once, a table for each depth;
+    together they are what was visited, and cycles end by the anti-join with them."""
     spark = members.sparkSession
     articles, subs = split_members(members)
-    frontier = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "cat string")
-    visited = empty(spark, "cat string, depth int")
+    schema = "cat string, depth int"
+    frontier = spark.createDataFrame([(r, 0) for r in dict.fromkeys(roots)], schema)
+    paths: list[str] = []
     depth = 0
     while True:
-        visited = written(visited.unionByName(frontier.select("cat", F.lit(depth).alias("depth"))), "visited")
-        if max_depth is not None and depth >= max_depth:
-            break
-        following = subs.join(frontier, "cat", "left_semi").where("sub IS NOT NULL").select(F.col("sub").alias("cat")).distinct()
-        frontier = written(following.join(visited, "cat", "left_anti"), "frontier")
-        if frontier.isEmpty():
+        paths.append(written_path(frontier, "frontier"))
+        frontier = spark.read.schema(schema).parquet(paths[-1])
+        visited = spark.read.schema(schema).parquet(*paths)
+        if frontier.isEmpty() or max_depth is not None and depth >= max_depth:
             break
         depth += 1
+        following = subs.join(frontier, "cat", "left_semi").where("sub IS NOT NULL").select(F.col("sub").alias("cat")).distinct()
+        frontier = following.join(visited, "cat", "left_anti").select("cat", F.lit(depth).alias("depth"))
     pages = articles.join(visited, "cat", "left_semi").where("title IS NOT NULL").select("title").distinct()
     return pages, visited
 
@@ -54,13 +61,21 @@ def discover(members: DataFrame, roots: list[str], max_depth: int | None = None)
 def enqueue(state: DataFrame, titles: DataFrame) -> DataFrame:
     """The queue with new pages for titles it does not hold; ids go on from the
     greatest one. Repeated and NULL titles are ignored."""
+    return state.unionByName(new_pages(state, titles), allowMissingColumns=True)
+
+
+def new_pages(state: DataFrame, titles: DataFrame) -> DataFrame:
+    """The rows that ``enqueue`` adds; their ids have the queue's type, which must
+    hold them (BIGINT beyond 2^31 pages): a greater one is an error, not another page."""
     from .ordering import ranked
 
     fresh = titles.where("title IS NOT NULL").select("title").distinct().join(state.select("title"), "title", "left_anti")
     top = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     numbered = ranked(fresh, ["title"], "_n").crossJoin(F.broadcast(top))
-    rows = numbered.select((F.col("_top") + F.col("_n")).cast("int").alias("id"), "title", F.lit(NEW).alias("status"), F.lit(0).alias("attempts"), F.current_timestamp().alias("discovered_at"))
-    return state.unionByName(rows, allowMissingColumns=True)
+    number = F.col("_top").cast("bigint") + F.col("_n")
+    kind = state.schema["id"].dataType
+    fits = F.when(number.cast(kind) == number, number.cast(kind)).otherwise(F.raise_error(F.lit("the queue's ids are too narrow")).cast(kind))
+    return numbered.select(fits.alias("id"), "title", F.lit(NEW).alias("status"), F.lit(0).alias("attempts"), F.current_timestamp().alias("discovered_at"))
 
 
 def eligible(state: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
@@ -95,9 +110,107 @@ def requeue(state: DataFrame) -> DataFrame:
     return state.withColumn("status", F.when(F.col("status") == IN_PROGRESS, NEW).otherwise(F.col("status")))
 
 
-def status_histogram(state: DataFrame) -> DataFrame:
-    """(status, pages) of the statuses that occur."""
-    return state.groupBy("status").agg(F.count(F.lit(1)).alias("pages"))
+class ConflictError(RuntimeError):
+    """Another writer has taken the step first; nothing was changed."""
+
+
+@dataclass
+class StoredQueue:
+    """A queue kept in a folder: a base table, tables of the rows that each step
+    changed, and a log of small files that says which of them count. A step writes
+    its rows and then its log entry, whose number only one writer can take, so it is
+    there whole or not at all; a reader follows the log."""
+
+    spark: SparkSession
+    path: str
+
+    @staticmethod
+    def create(state: DataFrame, path: str) -> StoredQueue:
+        """A new queue with these pages; raises ConflictError if there is one."""
+        queue = StoredQueue(state.sparkSession, path)
+        queue._commit(0, state, base=True)
+        return queue
+
+    def _entry(self, number: int) -> str:
+        return f"{self.path}/log/{number:08d}.json"
+
+    def log(self) -> list[dict]:
+        """Entries of the log from the last base on: number, folder, base, schema."""
+        fs, folder = hadoop_path(self.spark, f"{self.path}/log")
+        if not fs.exists(folder):
+            return []
+        numbers = sorted(int(n[:8]) for f in fs.listStatus(folder) if (n := f.getPath().getName()).endswith(".json"))
+        entries: list[dict] = []
+        for n in reversed(numbers):
+            entries.append(json.loads(read_small(self.spark, self._entry(n))))
+            if entries[-1]["base"]:
+                break
+        return entries[::-1]
+
+    def _commit(self, number: int, rows: DataFrame, base: bool = False) -> None:
+        folder = f"rows-{number:08d}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        entry = {"number": number, "folder": folder, "base": base, "schema": rows.schema.json()}
+        if not write_small(self.spark, self._entry(number), json.dumps(entry)):
+            raise ConflictError(f"step {number} of {self.path} was taken")
+
+    def _read(self, entry: dict) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(entry["schema"]))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{entry['folder']}")
+
+    def state(self) -> DataFrame:
+        """The queue as it is now. Only the changed rows are looked up in the base."""
+        return self._at()[1]
+
+    def _at(self) -> tuple[int, DataFrame]:
+        entries = self.log()
+        if not entries:
+            raise FileNotFoundError(f"no queue in {self.path}")
+        base = self._read(entries[0])
+        if len(entries) == 1:
+            return entries[-1]["number"], base
+        steps = None
+        for e in entries[1:]:
+            rows = self._read(e).select(*base.columns).withColumn("_step", F.lit(e["number"]))
+            steps = rows if steps is None else steps.unionByName(rows)
+        last = steps.groupBy("id").agg(F.max_by(F.struct(*base.columns), "_step").alias("_p")).select("_p.*")
+        return entries[-1]["number"], base.join(steps.select("id"), "id", "left_anti").select(*base.columns).unionByName(last)
+
+    def claim(self, n: int, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+        """Takes the next ``n`` pages in one step and returns them as they now are."""
+        number, state = self._at()
+        chosen = next_pages(state, n, max_attempts)
+        self._commit(number + 1, claim(chosen, chosen))
+        return self._read(self.log()[-1])
+
+    def apply(self, results: DataFrame) -> None:
+        """Results of claimed pages, in one step; results of unknown pages are ignored."""
+        number, state = self._at()
+        self._commit(number + 1, apply_results(state.join(results.select("id"), "id", "left_semi"), results))
+
+    def requeue(self) -> None:
+        """Pages left in progress are new again."""
+        number, state = self._at()
+        self._commit(number + 1, requeue(state.where(F.col("status") == IN_PROGRESS)))
+
+    def enqueue(self, titles: DataFrame) -> None:
+        number, state = self._at()
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema if f.name not in ("id", "title", "status", "attempts", "discovered_at")]
+        self._commit(number + 1, new_pages(state, titles).select("*", *nulls).select(*state.columns))
+
+    def compact(self) -> None:
+        """A new base of all rows; readers of the old one are not disturbed."""
+        number, state = self._at()
+        self._commit(number + 1, state, base=True)
+
+
+def status_histogram(state: DataFrame, all_statuses: bool = False) -> DataFrame:
+    """(status, pages) of the statuses that occur, or of all of them, with 0."""
+    counts = state.groupBy("status").agg(F.count(F.lit(1)).alias("pages"))
+    if not all_statuses:
+        return counts
+    known = state.sparkSession.createDataFrame([(s,) for s in STATUS_NAMES], "status int")
+    return known.join(counts, "status", "full").select("status", F.coalesce("pages", F.lit(0)).cast("bigint").alias("pages"))
 
 
 def crawl_stats(state: DataFrame) -> DataFrame:
@@ -117,6 +230,27 @@ def log_events(rows: DataFrame, event_type: str, message: str) -> DataFrame:
     return rows.select(F.current_timestamp().alias("timestamp"), F.lit(event_type).alias("event_type"), F.lit(message).alias("message"), F.to_json(F.struct(*rows.columns)).alias("details"))
 
 
+def event_counts(events: DataFrame, flag: Column) -> DataFrame:
+    """(event_type, events, flagged): events of each type and for how many ``flag`` holds."""
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_if(flag).alias("flagged"))
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Appends events to the log at ``path``; ids go on from its greatest. One
+    writer at a time."""
+    from .ordering import ranked
+
+    spark = events.sparkSession
+    fs, folder = hadoop_path(spark, path)
+    last = read_events(spark, path).agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first()["n"] if fs.exists(folder) else 0
+    ranked(events, ["timestamp", "event_type", "details"], "id", last + 1).select("id", "timestamp", "event_type", "message", "details").write.mode("append").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """(id, timestamp, event_type, message, details) of an event log."""
+    return spark.read.schema(EVENTS).parquet(path)
+
+
 def backoff_seconds(attempts, retry_after=None, base: float = 1.0, most: float = 60.0):
     """Column of seconds to wait after so many attempts; ``retry_after`` counts where it is a number."""
     wait = F.least(F.lit(base) * F.pow(F.lit(2.0), attempts), F.lit(most))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import document_name, folded, tokens_array
@@ -265,7 +265,7 @@ def verify_index(index: Index) -> DataFrame:
     ascending = F.coalesce(F.forall(F.zip_with(F.slice("positions", 2, F.greatest(F.size("positions") - 1, F.lit(0))), F.slice("positions", 1, F.greatest(F.size("positions") - 1, F.lit(0))), lambda b, a: b > a), lambda x: x), F.lit(True))
     extent = d.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.countDistinct("doc_id").alias("u"))
     offsets = running_total(both.where("n IS NOT NULL").select("term", "postings_offset", (F.col("b") + 4).alias("b")), ["term"], "b", "want")
-    found = index_stats(p, d)
+    found = index_stats(p.withColumn("term_freq", F.size("positions")), d)
     stats = index.stats.select(*[F.col(c).cast("bigint") for c in found.columns])
     return (
         broken("doc_freq", both.where("n IS NOT NULL AND doc_freq IS NOT NULL AND n <> doc_freq"), F.col("term"))
@@ -282,3 +282,20 @@ def verify_index(index: Index) -> DataFrame:
 def posting_bytes(postings: DataFrame) -> DataFrame:
     """(term, bytes) of each term's list."""
     return postings.groupBy("term").agg((F.lit(4) + F.sum(F.lit(12) + 4 * F.size("positions"))).alias("bytes"))
+
+
+def probe_terms(index: Index, terms: list[str] | None = None, n_terms: int = 10, n_postings: int = 3) -> DataFrame:
+    """A look into the index: (term, doc_freq, nth, doc_id, term_freq, n_positions) of
+    the first postings of some terms, by default the first terms. A term that is not
+    known has doc_freq 0 and no posting."""
+    spark = index.vocabulary.sparkSession
+    if terms is None:
+        terms = [r["term"] for r in index.vocabulary.orderBy("term").limit(n_terms).collect()]
+    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
+    held = index.postings.where(F.col("term").isin(terms)).select("term", "doc_id", "term_freq", F.size("positions").alias("n_positions"))
+    # rank limits are pushed below the shuffle, so a frequent term sends a few rows of each task
+    nth = Window.partitionBy("term").orderBy("doc_id")
+    numbered = held.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= n_postings)
+    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    known = asked.join(F.broadcast(counts), "term", "left").withColumn("doc_freq", F.coalesce("doc_freq", F.lit(0)).cast("bigint"))
+    return known.join(numbered, "term", "left").select("term", "doc_freq", "nth", "doc_id", "term_freq", "n_positions")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from .functions.stem_ru import ENDINGS, LATER, VOWELS
 from .operators.crawl import MAX_ATTEMPTS
 from .queries import MIN_WORDS, ROOTS, SEARCHES, STOPWORDS, WORDS
@@ -123,6 +125,19 @@ stated AS (
 )"""
 
 
+def _unfolded() -> str:
+    """Tokens after compatibility composition. DuckDB composes but does not unfold
+    compatibility forms: a table of them, made by Unicode's rule, does."""
+    forms = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, (*range(0xA0, 0x3400), *range(0xF900, 0xFFFF))) if unicodedata.normalize("NFKC", c) != unicodedata.normalize("NFC", c)]
+    values = ", ".join("('{}', '{}')".format(c, n.replace("'", "''")) for c, n in forms)
+    return f"""
+forms AS (SELECT * FROM (VALUES {values}) t(c, n)),
+signs AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS place FROM documents),
+unfolded AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(n, s.c), '' ORDER BY place)) AS text FROM signs s LEFT JOIN forms f ON f.c = s.c GROUP BY doc_id),
+cut AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM unfolded),
+tok AS (SELECT doc_id, unnest(range(len(t)))::BIGINT AS pos, unnest(t) AS term FROM cut)"""
+
+
 def oracle_sql() -> dict[str, str]:
     select = "SELECT doc_id, pos, term FROM tok"
     pair = lambda g: f"regexp_extract_all(lower(text), '(?s)({WORD})(.?)', {g})"
@@ -154,6 +169,58 @@ SELECT (SELECT count(*) FROM documents) AS num_documents, count(DISTINCT term) A
        sum(tf)::BIGINT AS total_positions FROM post""",
         "term_lookup": f"WITH {INDEX} SELECT doc_id, tf AS term_freq, tf AS n_positions FROM post WHERE term = 'the'",
         "verify_index": "SELECT '' AS rule, '' AS subject WHERE false",
+        "verify_damaged": f"""
+WITH {INDEX}, last AS (SELECT max(doc_id) AS last FROM docs)
+SELECT 'doc_freq' AS rule, 'the' AS subject UNION ALL SELECT 'offset', 'und' UNION ALL SELECT 'term_known', 'der'
+UNION ALL SELECT 'term_freq', 'of/' || min(doc_id) FROM post WHERE term = 'of'
+UNION ALL SELECT 'document_known', term || '/' || doc_id FROM post, last WHERE doc_id = last
+UNION ALL SELECT 'stats', '{{"num_documents":' || (SELECT count(*) FROM docs) || ',"num_terms":' || count(DISTINCT term) || ',"total_postings":' || count(*) || ',"total_positions":' || sum(tf)::BIGINT || '}}' FROM post""",
+        "probe_terms": f"""
+WITH {INDEX},
+asked AS (SELECT unnest(['the', 'und', 'zzzzqq']) AS term),
+held AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS nth, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN (SELECT term FROM asked))
+SELECT term, coalesce(df, 0) AS doc_freq, nth, doc_id, tf AS term_freq, tf AS n_positions FROM asked LEFT JOIN (SELECT * FROM held WHERE nth <= 3) USING (term)""",
+        "printed_results": f"""
+WITH {SEARCH},
+found AS (
+  SELECT d.doc_id, d.filename, split_part(t.text, chr(10), 1) AS title FROM docs d JOIN documents t ON t.doc_id = d.doc_num
+  WHERE d.doc_id IN ((({_HAS['the']}) INTERSECT ({_HAS['of']})) EXCEPT ({_HAS['der']}))
+)
+SELECT 0::BIGINT AS n, 'Найдено документов: ' || count(*) AS line FROM found UNION ALL SELECT 1, ''
+UNION ALL SELECT row_number() OVER (ORDER BY doc_id) + 1, doc_id || chr(9) || filename || chr(9) || title FROM found""",
+        "query_probes": """
+SELECT * FROM (VALUES ('a AND b', '(a AND b)', '1'), ('a OR b AND c', '(a OR (b AND c))', '0,1'), ('(a OR b) AND NOT c', '((a OR b) AND NOT c)', '0,1,2'),
+  ('NOT NOT a', 'NOT NOT a', '0,1'), ('NOT a AND b', '(NOT a AND b)', '2'), ('a b', 'a', '0,1'), ('a && b', 'a', '0,1'), ('!a', 'a', '0,1'),
+  ('AND a', '(() AND a)', ''), ('a OR', '(a OR ())', '0,1'), ('NOT', 'NOT ()', '0,1,2,3'), ('(a OR b', '(a OR b)', '0,1,2'), ('(a b) AND c', 'a', '0,1'),
+  ('zzz', 'zzz', ''), ('NOT zzz', 'NOT zzz', '0,1,2,3'), ('A and B', '(a AND b)', '1'), ('(((c)))', 'c', '3')) t(query, tree, docs)""",
+        "token_probes": """
+SELECT probe, pos::BIGINT AS pos, term FROM (VALUES ('plain', 0, 'hello'), ('plain', 1, 'world'), ('hyphens', 0, 'state'), ('hyphens', 1, 'of'), ('hyphens', 2, 'the'), ('hyphens', 3, 'art'),
+  ('kept', 0, 'state-of-the-art'), ('kept', 1, 'a'), ('kept', 2, 'b'), ('quotes', 0, 'rock’n''roll'), ('quotes', 1, 'dogs' || chr(39)), ('quotes', 2, 'x'),
+  ('forms', 0, 'fi'), ('forms', 1, 'iv'), ('forms', 2, '1'), ('forms', 3, '2'), ('forms', 4, 'ab'), ('numbers', 1, 'cats'), ('numbers', 2, '8'),
+  ('flushed', 0, '7'), ('flushed', 1, 'up'), ('strict', 1, 'up'), ('case', 0, 'The'), ('case', 1, 'Ёж')) t(probe, pos, term)""",
+        "corpus_files": r"""
+SELECT doc_id AS doc_num, printf('doc%05d.txt', doc_id) AS filename, split_part(text, chr(10), 1) AS title,
+       sha1(split_part(text, chr(10), 1) || chr(10) || chr(10) || regexp_replace(substr(text, length(split_part(text, chr(10), 1)) + 2), '\A\n', '')) AS sha1
+FROM documents""",
+        "token_files": f"WITH {TOK} SELECT doc_id AS doc_num, term AS token, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok GROUP BY doc_id, term",
+        "token_file_postings": f"WITH {TOK} SELECT term, doc_id, count(*) AS term_freq FROM tok WHERE pos > 0 GROUP BY term, doc_id",
+        "token_file_ranks": f"WITH {RANKS} SELECT rank, token, frequency FROM ranks",
+        "stemmed_token_files": f"""
+WITH {TOK}, terms AS (SELECT DISTINCT term FROM tok), {_stem('terms', 'term')},
+lists AS (SELECT doc_id, term, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok GROUP BY doc_id, term)
+SELECT doc_id AS doc_num, stem, positions FROM lists JOIN stemmed ON word = term""",
+        "metadata_file": rf"""
+SELECT doc_id, '"' || split_part(text, chr(10), 1) || '", a' AS title, NULL::VARCHAR AS source_url, len(regexp_extract_all(text, '[^{_SPACE}]+'))::BIGINT AS word_count FROM documents""",
+        "stopword_file": f"SELECT unnest([{_list(STOPWORDS)}]) AS word",
+        "docids_file": f"WITH {NUMBERED} SELECT doc_id, filename FROM docs",
+        "postings_file": f"WITH {INDEX} SELECT term, doc_id, count(*) AS term_freq, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM own WHERE pos > 0 GROUP BY term, doc_id",
+        "postings_file_lookup": f"WITH {INDEX} SELECT doc_id, tf AS term_freq, tf AS n_positions FROM post WHERE term = 'the'",
+        "zipf_file": f"WITH {RANKS} SELECT rank, token, frequency FROM ranks",
+        "tokens_nfkc": f"WITH {_unfolded()} SELECT doc_id, pos, term FROM tok",
+        "sql_tokenize": f"WITH {_unfolded()} SELECT doc_id, pos, term FROM tok",
+        "sql_clean_text": f"WITH {CLEANED} SELECT doc_id, sha1(body) AS sha1, word_count FROM counted",
+        "sql_stem": f"WITH {TOK}, terms AS (SELECT DISTINCT term FROM tok), {_stem('terms', 'term')} SELECT word, stem FROM stemmed",
+        "sql_boolean_match": f"WITH {SEARCH} SELECT doc_num AS doc_id FROM docs WHERE doc_id IN ({FOUND['bool_nested']})",
         "bool_with_titles": f"""
 WITH {SEARCH}
 SELECT d.doc_id, d.filename, split_part(t.text, chr(10), 1) AS title
@@ -188,6 +255,19 @@ WITH {QUEUE}
 SELECT d.doc_id, split_part(d.text, chr(10), 1) AS title, p.page_title
 FROM documents d LEFT JOIN (SELECT doc_id, min(title) AS page_title FROM queue WHERE doc_id IS NOT NULL GROUP BY doc_id) p ON p.doc_id = d.doc_id""",
         "status_histogram": f"WITH {QUEUE} SELECT status::BIGINT AS status, count(*) AS pages FROM queue GROUP BY status",
+        "status_all": f"""
+WITH {QUEUE} SELECT s::BIGINT AS status, count(id) AS pages FROM (SELECT unnest([0, 1, 2, 3]) AS s) LEFT JOIN (SELECT * FROM queue WHERE status <> 2) ON status = s GROUP BY s
+UNION ALL SELECT NULL, count(*) FROM queue WHERE status IS NULL HAVING count(*) > 0""",
+        "queue_steps": f"""
+WITH {QUEUE}, chosen AS (SELECT id FROM queue WHERE status IN (0, 3) AND attempts < {MAX_ATTEMPTS} ORDER BY attempts, id LIMIT 50),
+tried AS (SELECT *, attempts + 1 AS tries FROM queue WHERE id IN (SELECT id FROM chosen))
+SELECT id::BIGINT AS id, title, (CASE tries WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END)::BIGINT AS status, tries::BIGINT AS attempts, CASE tries WHEN 1 THEN NULL WHEN 2 THEN 'lost' ELSE last_error END AS last_error FROM tried
+UNION ALL SELECT id, title, CASE status WHEN 2 THEN 0 ELSE status END, attempts, last_error FROM queue WHERE id NOT IN (SELECT id FROM chosen)
+UNION ALL SELECT max(id) + 1, 'a title that no page has', 0, 0, NULL FROM queue""",
+        "event_log": f"""
+WITH {QUEUE}, failed AS (SELECT '{{"id":' || id || '}}' AS details FROM queue WHERE status = 3), waiting AS (SELECT '{{"id":' || id || '}}' AS details FROM queue WHERE status = 0)
+SELECT row_number() OVER (ORDER BY details) AS id, 'failed' AS event_type, 'a page failed' AS message, details FROM failed
+UNION ALL SELECT (SELECT count(*) FROM failed) + row_number() OVER (ORDER BY details), 'new', 'a page waits', details FROM waiting""",
         "requeued_pages": f"WITH {QUEUE} SELECT (CASE status WHEN 2 THEN 0 ELSE status END)::BIGINT AS status, count(*) AS pages FROM queue GROUP BY 1",
         "crawl_stats": f"""
 WITH {QUEUE}
@@ -204,7 +284,7 @@ SELECT id::BIGINT AS id, (CASE WHEN id IN (SELECT id FROM chosen) THEN 2 ELSE st
         "event_counts": "SELECT event_type, count(*) AS events, count(*) FILTER ((props::JSON->>'$.k')::INT >= 50) AS upper_half FROM events GROUP BY event_type",
         "category_bfs": f"WITH RECURSIVE {MEMBERS},{REACHED} SELECT cat, depth FROM reached",
         "category_pages": f"WITH RECURSIVE {MEMBERS},{REACHED} SELECT DISTINCT title FROM named JOIN reached USING (cat)",
-        "category_depth": f"SELECT unnest([{_list(ROOTS)}]) AS cat, 0::BIGINT AS depth",
+        "category_depth": f"WITH RECURSIVE {MEMBERS},{REACHED} SELECT cat, depth FROM reached WHERE depth <= 1",
         "stream_dedupe": f"WITH {CLEANED} SELECT DISTINCT sha1(body) AS sha1, word_count FROM counted WHERE word_count >= {MIN_WORDS}",
         "p2_found": f"WITH {RECORDS} SELECT a.file_no AS file_a, b.file_no AS file_b FROM held a JOIN held b ON a.record = b.record AND a.file_no < b.file_no",
         "p2_compact": f"WITH {RECORDS} SELECT file_no, name, record FROM held h WHERE file_no IN (SELECT min(file_no) FROM held GROUP BY record)",
@@ -217,6 +297,8 @@ FROM per LEFT JOIN stated USING (term)""",
     for name, where in (("zipf_regression", ""), ("zipf_regression_top_n", "WHERE rank <= 100")):
         regr = ", ".join(f"round(regr_{f}(ln(frequency), ln(rank)), 6) AS {c}" for f, c in (("slope", "slope"), ("intercept", "intercept"), ("r2", "r_squared")))
         sql[name] = f"WITH {RANKS} SELECT {regr} FROM ranks {where}"
+    for name in ("vocabulary", "index_stats"):
+        sql[{"vocabulary": "vocabulary_file", "index_stats": "stats_file"}[name]] = sql[name]
     for name, found in FOUND.items():
         sql[name] = f"WITH {SEARCH} SELECT doc_id, filename FROM docs WHERE doc_id IN ({found})"
     return sql

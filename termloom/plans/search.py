@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.index import Index
 from .query import And, Node, Not, Or, Term, holds, parse_query, terms_of, to_column
 
+FOUND = "Найдено документов: "  # fixed value: begins the line with the number of documents
 NO_TITLE = "(не удалось прочитать заголовок)"  # fixed value: shown for a document whose title is unknown
 
 
@@ -89,3 +90,12 @@ def search_many(index: Index, queries: dict[str, str], strict: bool = False, fol
     return base.select(F.explode(hit).alias("query_id"), "doc_id")
 
 
+def result_lines(found: DataFrame) -> DataFrame:
+    """(n, line): what is printed for the rows of ``search``: the number of documents,
+    a blank line, then document, file name and title of each, set apart by tabs."""
+    from ..operators.ordering import ranked
+
+    rows = ranked(found, ["doc_id"], "_n", 2)
+    lines = rows.select(F.col("_n").alias("n"), F.concat_ws("\t", F.col("doc_id").cast("string"), F.coalesce("filename", F.lit("")), F.coalesce("title", F.lit(""))).alias("line"))
+    head = found.agg(F.concat(F.lit(FOUND), F.count(F.lit(1)).cast("string"), F.lit("\n")).alias("h")).select(F.posexplode(F.split("h", "\n")).alias("n", "line"))
+    return head.select(F.col("n").cast("bigint").alias("n"), "line").unionByName(lines)

@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import schemas
 from .functions import clean as cleaning
 from .functions import stem_ru, text
+from .functions.sql import register_functions
 from .operators import compact, crawl, index, skew, zipf
 from .plans import search as searching
-from .plans.query import parse_query
+from .plans.query import parse_query, print_query
 from .session import exists, fingerprint, is_folder, shared_dir, table, written
+from .sources import files, sinks
 from .sources.sinks import plot_lines, token_lines
 from .streaming import ingest
 
@@ -36,6 +39,7 @@ SEARCHES = {
 }
 MIN_WORDS = 150
 ROOTS = ("Списки", "Понятия", "История")
+# Probes of the stemmer, its own sample words among them.
 WORDS = (
     "программирование программа программист обучение обучать обученный книга книги книгой большой большая большие делать делал "
     "делающий красивый красивая красиво быстро быстрый быстрее машина машины машинный python я новейшего новейше новость"
@@ -167,6 +171,26 @@ def verify_index(spark, d):
     return index.verify_index(corpus_index(spark, d))
 
 
+def verify_damaged(spark, d):
+    """What is found in an index with planted faults: a wrong doc_freq, offset and
+    term_freq, a missing term and a missing document."""
+    sound = corpus_index(spark, d)
+    last = sound.docids.agg(F.max("doc_id").alias("_last"))
+    first = sound.postings.where("term = 'of'").agg(F.min("doc_id").alias("_first"))
+    vocabulary = sound.vocabulary.where("term <> 'der'").withColumns(
+        {"doc_freq": F.col("doc_freq") + (F.col("term") == "the").cast("int"), "postings_offset": F.col("postings_offset") + 4 * (F.col("term") == "und").cast("int")}
+    )
+    wrong = ((F.col("term") == "of") & (F.col("doc_id") == F.col("_first"))).cast("int")
+    postings = sound.postings.crossJoin(F.broadcast(first)).withColumn("term_freq", F.col("term_freq") + wrong).drop("_first")
+    docids = sound.docids.crossJoin(F.broadcast(last)).where("doc_id < _last").drop("_last")
+    return index.verify_index(index.Index(postings, vocabulary, docids, sound.stats))
+
+
+def probe_terms(spark, d):
+    probes = index.probe_terms(corpus_index(spark, d), ["the", "und", "zzzzqq"])
+    return probes.select("term", "doc_freq", *[_long(c) for c in ("nth", "doc_id", "term_freq", "n_positions")])
+
+
 def stemmed_vocabulary(spark, d):
     own = written(index.document_postings(documents(spark, d), normalise=False), "postings")
     return stem_ru.stem_postings(own).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
@@ -199,6 +223,25 @@ def search_many(spark, d):
     return searching.search_many(corpus_index(spark, d), SEARCHES)
 
 
+def printed_results(spark, d):
+    return searching.result_lines(entry(spark, d))
+
+
+QUERY_PROBES = (
+    "a AND b", "a OR b AND c", "(a OR b) AND NOT c", "NOT NOT a", "NOT a AND b", "a b", "a && b", "!a", "AND a", "a OR", "NOT", "(a OR b", "(a b) AND c", "zzz", "NOT zzz", "A and B", "(((c)))",
+)
+
+
+def query_probes(spark, d):
+    """Trees and results of lenient queries over four documents: a in 0 and 1, b in 1 and 2, c in 3."""
+    tokens = spark.createDataFrame([(0, 1, "a"), (1, 1, "a"), (1, 2, "b"), (2, 1, "b"), (3, 1, "c")], "doc_id bigint, pos int, term string")
+    small = index.build_index(tokens, spark.range(4).select(F.col("id").alias("doc_id"), text.document_name(F.col("id")).alias("filename")))
+    found = searching.search_many(small, {q: q for q in QUERY_PROBES})
+    docs = found.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), ",").alias("docs"))
+    trees = spark.createDataFrame([(q, print_query(parse_query(q))) for q in QUERY_PROBES], "query string, tree string")
+    return trees.join(docs, F.col("query") == F.col("query_id"), "left").select("query", "tree", F.coalesce("docs", F.lit("")).alias("docs"))
+
+
 # -------------------------------------------------------------------- zipf
 def _ranks(spark, d) -> DataFrame:
     return zipf.zipf_rank(zipf.term_frequency(plain_tokens(spark, d)))
@@ -241,6 +284,148 @@ def stem_log_distinct(spark, d):
     return stem_ru.stem_log(plain_tokens(spark, d), distinct=True)
 
 
+TOKEN_PROBES = (
+    ("plain", "Hello, World", {}), ("hyphens", "state-of–the—art", {}), ("kept", "state-of-the-art a–b", {"keep_hyphens": True}), ("quotes", "Rock’n'roll dogs' 'x", {}),
+    ("forms", "ﬁ Ⅳ ½ Ａｂ", {}), ("numbers", "7 cats 8", {"keep_numbers": False}), ("flushed", "7-up", {"keep_numbers": False}), ("strict", "7-up 8", {"keep_numbers": False, "strict_numbers": True}),
+    ("case", "The Ёж", {"lowercase": False}), ("nothing", "", {}),
+)
+
+
+def token_probes(spark, d):
+    """The tokenizer's rules on texts made for them."""
+    out = None
+    for name, probe, options in TOKEN_PROBES:
+        one = text.tokenize(spark.createDataFrame([(name, probe)], "probe string, text string"), key="probe", **options)
+        out = one if out is None else out.unionByName(one)
+    return out.select("probe", _long("pos"), "term")
+
+
+# --------------------------------------------------------------------- files
+_exported: dict[str, str] = {}  # folder of the files of a saved index
+
+
+def exported(spark: SparkSession, d: str) -> tuple[index.Index, str]:
+    own = corpus_index(spark, d)
+    saved = next(f for k, f in reversed(_saved.items()) if k[:2] == (spark.sparkContext.applicationId, d))
+    if saved not in _exported:
+        _exported[saved] = shared_dir(spark, "export")
+        sinks.export_text(own, _exported[saved])
+    return own, _exported[saved]
+
+
+def corpus_files(spark, d):
+    """Documents written as one text file each, and read again."""
+    folder = shared_dir(spark, "corpus")
+    rest = F.regexp_replace(F.substring(F.col("text"), F.length(text.title_of(F.col("text"))) + 2, F.length("text")), r"\A\n", "")
+    named = documents(spark, d).select(text.document_name(F.col("doc_id").cast("int")).alias("filename"), text.title_of(F.col("text")).alias("title"), rest.alias("text"))
+    sinks.write_documents(named, folder)
+    return files.read_corpus(spark, folder).select(_long("doc_num"), "filename", "title", F.sha1("text").alias("sha1"))
+
+
+def _token_files(spark: SparkSession, d: str) -> str:
+    folder = shared_dir(spark, "tokens")
+    sinks.write_tokens(plain_tokens(spark, d), folder)
+    return folder
+
+
+def _joined(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+
+
+def token_files(spark, d):
+    """Token files with their positions, written and read again."""
+    return files.read_tokens(spark, _token_files(spark, d), positive=False).select(_long("doc_num"), "token", _joined("positions"))
+
+
+def token_file_postings(spark, d):
+    """The index of token files, which leaves position 0 out."""
+    lists = files.explode_token_lists(files.read_tokens(spark, _token_files(spark, d)))
+    return index.build_postings(lists).select("term", "doc_id", _long("term_freq"))
+
+
+def token_file_ranks(spark, d):
+    """Ranks by the positions of token files."""
+    return zipf.zipf_rank(zipf.frequency_of_lists(files.read_tokens(spark, _token_files(spark, d), positive=False)))
+
+
+def stemmed_token_files(spark, d):
+    folder = shared_dir(spark, "stems")
+    sinks.write_stemmed_tokens(files.read_token_lines(spark, _token_files(spark, d)), folder)
+    return files.read_token_lines(spark, folder).select(_long("doc_num"), F.col("token").alias("stem"), F.col("rest").alias("positions"))
+
+
+def metadata_file(spark, d):
+    folder = shared_dir(spark, "metadata")
+    own = documents(spark, d).select(F.col("doc_id").cast("int").alias("doc_id"), F.concat(F.lit('"'), text.title_of(F.col("text")), F.lit('", a')).alias("title"),
+                                     F.lit(None).cast("string").alias("source_url"), text.word_count(F.col("text")).alias("word_count"))
+    sinks.write_metadata(own, folder)
+    return files.read_metadata(spark, folder).select(_long("doc_id"), "title", "source_url", _long("word_count"))
+
+
+def stopword_file(spark, d):
+    folder = shared_dir(spark, "stopwords")
+    lines = spark.createDataFrame([("words.txt", "# function words\n" + "\n".join(f" {w} # {w}\t" for w in STOPWORDS) + "\n\n")], "filename string, value string")
+    sinks.write_named(lines, folder)
+    return files.read_stopwords(spark, f"{folder}/words.txt")
+
+
+def vocabulary_file(spark, d):
+    return files.read_vocabulary(spark, f"{exported(spark, d)[1]}/vocab.txt")
+
+
+def docids_file(spark, d):
+    return files.read_docids(spark, f"{exported(spark, d)[1]}/docids.txt")
+
+
+def stats_file(spark, d):
+    return files.read_index_stats(spark, f"{exported(spark, d)[1]}/index_stats.json")
+
+
+def postings_file(spark, d):
+    """All binary posting lists, written and read again."""
+    own, folder = exported(spark, d)
+    found = files.read_postings(spark, f"{folder}/postings.bin", files.read_vocabulary(spark, f"{folder}/vocab.txt"))
+    return found.select("term", "doc_id", _long("term_freq"), _joined("positions"))
+
+
+def postings_file_lookup(spark, d):
+    """One term's list by its place in the binary file."""
+    own, folder = exported(spark, d)
+    one = files.read_vocabulary(spark, f"{folder}/vocab.txt").where("term = 'the'")
+    return files.read_postings(spark, f"{folder}/postings.bin", one).select("doc_id", _long("term_freq"), F.size("positions").cast("bigint").alias("n_positions"))
+
+
+def zipf_file(spark, d):
+    folder = shared_dir(spark, "zipf")
+    sinks.write_csv(_ranks(spark, d), folder, ["rank"])
+    return spark.read.csv(folder, header=True, schema=schemas.RANKED)
+
+
+# ----------------------------------------------------------------------- SQL
+def sql_tokenize(spark, d):
+    register_functions(spark)
+    documents(spark, d).createOrReplaceTempView("sql_documents")
+    return spark.sql("SELECT doc_id, CAST(pos AS BIGINT) AS pos, term FROM (SELECT doc_id, tokenize(text) AS terms FROM sql_documents) LATERAL VIEW posexplode(terms) t AS pos, term")
+
+
+def sql_clean_text(spark, d):
+    register_functions(spark)
+    documents(spark, d).createOrReplaceTempView("sql_documents")
+    return spark.sql("SELECT doc_id, sha1(body) AS sha1, CAST(word_count_of(body) AS BIGINT) AS word_count FROM (SELECT doc_id, clean_text(text) AS body FROM sql_documents)")
+
+
+def sql_stem(spark, d):
+    register_functions(spark)
+    plain_tokens(spark, d).select("term").distinct().createOrReplaceTempView("sql_terms")
+    return spark.sql("SELECT term AS word, stem_ru(term) AS stem FROM sql_terms")
+
+
+def sql_boolean_match(spark, d):
+    register_functions(spark)
+    documents(spark, d).select("doc_id", text.tokens_array(F.lower("text")).alias("terms")).createOrReplaceTempView("sql_token_lists")
+    return spark.sql(f"SELECT doc_id FROM sql_token_lists WHERE boolean_match(slice(terms, 2, greatest(size(terms) - 1, 0)), '{SEARCHES['bool_nested']}')")
+
+
 # ------------------------------------------------------------ cleaning, queue
 def clean_docs(spark, d):
     return cleaning.clean(documents(spark, d), min_words=MIN_WORDS).select("doc_id", _long("word_count"), "sha1")
@@ -268,6 +453,10 @@ def status_histogram(spark, d):
     return crawl.status_histogram(queue(spark, d)).select(_long("status"), "pages")
 
 
+def status_all(spark, d):
+    return crawl.status_histogram(queue(spark, d).where("status IS NULL OR status <> 2"), all_statuses=True).select(_long("status"), "pages")
+
+
 def crawl_stats(spark, d):
     return crawl.crawl_stats(queue(spark, d))
 
@@ -285,8 +474,33 @@ def requeued_pages(spark, d):
     return crawl.status_histogram(crawl.requeue(queue(spark, d))).select(_long("status"), "pages")
 
 
+def queue_steps(spark, d):
+    """A stored queue after its steps: 50 pages are claimed; those tried for the first
+    time are done, for the second time failed, the others are lost and queued again;
+    two titles come in, one of them known."""
+    stored = crawl.StoredQueue.create(queue(spark, d), shared_dir(spark, "queue"))
+    claimed = stored.claim(50)
+    status = F.when(F.col("attempts") == 1, crawl.DONE).otherwise(crawl.FAILED)
+    error = F.when(F.col("attempts") > 1, "lost")
+    columns = [status.alias("status"), *[F.lit(None).cast(t).alias(c) for c, t in (("sha1", "string"), ("word_count", "int"), ("source_url", "string"), ("doc_id", "int"))], error.alias("last_error")]
+    stored.apply(claimed.where("attempts <= 2").select("id", *columns))
+    stored.requeue()
+    known = queue(spark, d).agg(F.min("title").alias("title"))
+    stored.enqueue(known.union(spark.createDataFrame([("a title that no page has",)], "title string")))
+    return stored.state().select(_long("id"), "title", _long("status"), _long("attempts"), "last_error")
+
+
+def event_log(spark, d):
+    """Two appends to an event log."""
+    folder = shared_dir(spark, "events")
+    pages = queue(spark, d)
+    crawl.append_events(crawl.log_events(pages.where(F.col("status") == crawl.FAILED).select("id"), "failed", "a page failed"), folder)
+    crawl.append_events(crawl.log_events(pages.where(F.col("status") == crawl.NEW).select("id"), "new", "a page waits"), folder)
+    return crawl.read_events(spark, folder).select("id", "event_type", "message", "details")
+
+
 def event_counts(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.get_json_object("props", "$.k").cast("int") >= 50).alias("upper_half"))
+    return crawl.event_counts(table(spark, d, "events"), F.get_json_object("props", "$.k").cast("int") >= 50).withColumnRenamed("flagged", "upper_half")
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
@@ -310,7 +524,7 @@ def category_pages(spark, d):
 
 
 def category_depth(spark, d):
-    return crawl.discover(members(spark, d), list(ROOTS), max_depth=0)[1].select("cat", _long("depth"))
+    return crawl.discover(members(spark, d), list(ROOTS), max_depth=1)[1].select("cat", _long("depth"))
 
 
 # --------------------------------------------------------------- streaming
@@ -347,9 +561,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 ALL: tuple[Query, ...] = (
     tokens, tokens_nfkc, tokens_no_lowercase, tokens_keep_hyphens, tokens_remove_numbers, tokens_strict_numbers, tokens_stopwords,
     ascii_tokens, doc_term_positions, postings, postings_all_positions, postings_of_tokens, vocabulary, posting_bytes, docids, index_stats, term_lookup,
-    verify_index, stemmed_vocabulary, stemmed_tokens, *map(_search, SEARCHES), bool_with_titles, bool_by_sets, search_many, zipf_rank, zipf_top_n,
+    verify_index, verify_damaged, probe_terms, stemmed_vocabulary, stemmed_tokens, printed_results, query_probes, token_probes, corpus_files, token_files,
+    token_file_postings, token_file_ranks, stemmed_token_files, metadata_file, stopword_file, vocabulary_file, docids_file, stats_file, postings_file,
+    postings_file_lookup, zipf_file, sql_tokenize, sql_clean_text, sql_stem, sql_boolean_match, *map(_search, SEARCHES), bool_with_titles, bool_by_sets, search_many, zipf_rank, zipf_top_n,
     zipf_regression, zipf_regression_top_n, zipf_fit, stem_words, stem_log, stem_log_distinct, clean_docs, dedupe_sha1,
-    document_titles, status_histogram, crawl_stats, page_queue_top, page_claim, requeued_pages, event_counts, category_bfs,
+    document_titles, status_histogram, status_all, queue_steps, event_log, crawl_stats, page_queue_top, page_claim, requeued_pages, event_counts, category_bfs,
     category_pages, category_depth, stream_dedupe, p2_found, p2_compact, p3_totals, p3_found,
 )
 

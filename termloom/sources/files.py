@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import document_number, title_of
 from ..session import empty, exists
+from .named import file_system
 
 log = logging.getLogger("termloom.sources")
 
@@ -85,6 +90,91 @@ def read_docids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schemas.DOCIDS, mode="DROPMALFORMED", quote="")
 
 
+def read_index_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.STATS).json(path)
+
+
+FIRST_READ, MOST_READ = 4 << 10, 16 << 20  # bytes of a posting list read at a time
+
+
+def _numbers(parts: list[tuple[str, int, int]], start: int, opened: dict) -> Iterator[np.ndarray]:
+    """The 32-bit numbers from a place on of files that follow each other, (path,
+    start, size) each; more is read at a time the longer it goes on."""
+    step = FIRST_READ
+    for path, at, size in parts:
+        if at + size <= start:
+            continue
+        if path not in opened:
+            where, name = file_system(path)
+            opened[path] = where.open_input_file(name)
+        place = max(start, at)
+        while place < at + size:
+            opened[path].seek(place - at)
+            block = opened[path].read(min(step, at + size - place))
+            yield np.frombuffer(block, dtype="<i4")
+            place += len(block)
+            step = min(4 * step, MOST_READ)
+
+
+def _list_of(chunks: Iterator[np.ndarray]) -> Iterator[tuple[int, int, list[int]]]:
+    """Postings of one list, read as they come."""
+    held = np.zeros(0, dtype="<i4")
+    at = 0
+
+    def more(n: int) -> bool:
+        nonlocal held, at
+        while len(held) - at < n:
+            block = next(chunks, None)
+            if block is None:
+                return False
+            held, at = np.concatenate([held[at:], block]), 0
+        return True
+
+    if not more(1):
+        return
+    left, at = int(held[0]), 1
+    for _ in range(left):
+        if not more(3):
+            raise ValueError("a posting list ends too early")
+        d, f, n = held[at : at + 3].tolist()
+        if not more(3 + n):
+            raise ValueError("a posting list ends too early")
+        yield d, f, held[at + 3 : at + 3 + n].tolist()
+        at += 3 + n
+
+
+def read_postings(spark: SparkSession, path: str, vocabulary: DataFrame) -> DataFrame:
+    """(term, doc_id, term_freq, positions) of binary posting lists: one file, or a
+    folder of parts that follow each other. ``vocabulary`` (term, postings_offset)
+    says where lists begin; with a few of its rows only their lists are read."""
+    where, base = file_system(path)
+    info = where.get_file_info(base)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = sorted((f for f in where.get_file_info(fs.FileSelector(base)) if f.base_name.endswith(".bin")), key=lambda f: f.base_name) if info.type == fs.FileType.Directory else [info]
+    prefix = path[: len(path) - len(base)] if path.endswith(base) else "file://"
+    parts, at = [], 0
+    for f in found:
+        parts.append((prefix + f.path, at, f.size))
+        at += f.size
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["term", "doc_id", "term_freq", "positions"]
+        opened: dict = {}
+        rows: list[tuple] = []
+        for b in batches:
+            for term, offset in zip(b["term"], b["postings_offset"]):
+                for posting in _list_of(_numbers(parts, int(offset), opened)):
+                    rows.append((term, *posting))
+                    if len(rows) >= 20_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    return vocabulary.select("term", "postings_offset").mapInPandas(run, schemas.POSTINGS)
+
+
 def read_category_members(spark: SparkSession, path: str) -> DataFrame:
     """(cat, ns, title, next) of recorded API pages, one file a page; cat is the
     file's name up to the first dot, next the token of the following page."""

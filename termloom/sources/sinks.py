@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import stem_ru
 from ..operators.index import Index
+from ..operators.skew import fragment_replicate_join
+from ..operators.zipf import zipf_regression
+from .named import WRITTEN, file_system, put, write_named
 
 
 def document_text(documents: DataFrame) -> DataFrame:
@@ -16,14 +24,14 @@ def document_text(documents: DataFrame) -> DataFrame:
     return documents.select("filename", F.concat_ws("\n\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("value"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder per document name, a text file in it."""
-    document_text(documents).repartition("filename").write.partitionBy("filename").option("lineSep", "\0").text(path)
+def write_documents(documents: DataFrame, path: str) -> int:
+    """One text file for each (filename, title, text); ``read_corpus`` reads them."""
+    return write_named(document_text(documents), path)
 
 
-def write_metadata(documents: DataFrame, path: str) -> None:
+def write_metadata(documents: DataFrame, path: str, append: bool = False) -> None:
     columns = ["doc_id", "title", "source_url", "word_count"]
-    documents.select(*columns).write.csv(path, header=True, quote='"', escape='"')
+    documents.select(*columns).write.mode("append" if append else "errorifexists").csv(path, header=True, quote='"', escape='"')
 
 
 def token_lines(tokens: DataFrame, positions: bool = True) -> DataFrame:
@@ -33,10 +41,22 @@ def token_lines(tokens: DataFrame, positions: bool = True) -> DataFrame:
     return lists.select("doc_id", "term", value.alias("value"))
 
 
-def write_tokens(tokens: DataFrame, path: str, positions: bool = True) -> None:
-    """A folder per document, its lines in term order."""
-    lines = token_lines(tokens, positions)
-    lines.repartition("doc_id").sortWithinPartitions("doc_id", "term").select("doc_id", "value").write.partitionBy("doc_id").text(path)
+def _token_files(lines: DataFrame) -> DataFrame:
+    """(filename, value) of (doc_id, term, value) lines: a document's lines in the order of their terms."""
+    lists = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "value"))).alias("l"))
+    return lists.select(F.format_string("doc%05d.tokens", "doc_id").alias("filename"), F.concat(F.array_join("l.value", "\n"), F.lit("\n")).alias("value"))
+
+
+def write_tokens(tokens: DataFrame, path: str, positions: bool = True) -> int:
+    """A ``.tokens`` file for each document; ``read_tokens`` reads them."""
+    return write_named(_token_files(token_lines(tokens, positions)), path)
+
+
+def write_stemmed_tokens(lines: DataFrame, path: str) -> int:
+    """``.tokens`` files of token lines (doc_num, token, rest) with stems for tokens.
+    The lines keep their order, so a stem may stand on several of them."""
+    stems = stem_ru.stemmed(lines.select(F.col("doc_num").cast("bigint").alias("doc_id"), F.col("token").alias("term"), "rest"))
+    return write_named(_token_files(stems.select("doc_id", "term", F.rtrim(F.concat_ws(" ", "stem", "rest")).alias("value"))), path)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
@@ -54,41 +74,67 @@ def write_plot_data(ranked: DataFrame, path: str, top_n: int = 1000) -> None:
     named.coalesce(1).write.csv(path, sep="\t", header=True, quote="")
 
 
+def write_plot(ranked: DataFrame, path: str, top_n: int = 1000) -> None:
+    """The log-log picture as SVG: the first ranks and the line fitted to all of
+    them. At most ``top_n`` points come to the driver."""
+    line = zipf_regression(ranked).first()
+    points = [(math.log(x["rank"]), math.log(x["frequency"])) for x in plot_lines(ranked, top_n).orderBy("rank").collect()]
+    width, height, edge = 640, 480, 40
+    right = max([x for x, _ in points] + [1.0])
+    top = max([y for _, y in points] + [line["intercept"] or 0.0, 1.0])
+
+    def place(x: float, y: float) -> str:
+        return f"{edge + x / right * (width - 2 * edge):.1f},{height - edge - y / top * (height - 2 * edge):.1f}"
+
+    dots = "".join('<circle cx="{}" cy="{}" r="2"/>'.format(*place(x, y).split(",")) for x, y in points)
+    fitted = ""
+    if line["slope"] is not None:
+        a, b = line["slope"], line["intercept"]
+        end = right if a >= 0 else min(right, -b / a)
+        fitted = f'<polyline points="{place(0, b)} {place(end, a * end + b)}" fill="none" stroke="red"/>'
+        fitted += f'<text x="{width // 2}" y="{edge // 2}">slope {a:.4f}, intercept {b:.4f}, R² {line["r_squared"]:.4f}</text>'
+    axes = f'<polyline points="{place(0, top)} {place(0, 0)} {place(right, 0)}" fill="none" stroke="black"/><text x="{width // 2}" y="{height - 10}">ln rank</text><text x="2" y="{edge // 2}">ln frequency</text>'
+    where, at = file_system(path)
+    put(where, at, f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{axes}{fitted}{dots}</svg>'.encode())
+
+
 def export_text(index: Index, path: str) -> None:
-    """vocab and docids as tab-separated text, stats as JSON, posting lists as Parquet with their bytes."""
+    """vocab and docids as tab-separated text, stats as JSON, and the posting lists in binary parts."""
     index.vocabulary.orderBy("term").write.csv(f"{path}/vocab.txt", sep="\t", quote="")
     index.docids.orderBy("doc_id").write.csv(f"{path}/docids.txt", sep="\t", quote="")
     index.stats.write.json(f"{path}/index_stats.json")
-    encoded_postings(index).write.parquet(f"{path}/postings.bin")
-
-
-@F.pandas_udf(T.BinaryType())
-def _encode(doc: pd.Series, freq: pd.Series, positions: pd.Series) -> pd.Series:
-    out = []
-    for d, f, p in zip(doc, freq, positions):
-        flat = [len(d)]
-        for one, n, at in zip(d, f, p):
-            flat += [one, n, len(at), *at]
-        out.append(np.asarray(flat, dtype="<i4").tobytes())
-    return pd.Series(out)
-
-
-def encoded_postings(index: Index) -> DataFrame:
-    """(term, postings_offset, payload): each list as 32-bit little-endian numbers
-    n, then n times (doc_id, term_freq, number of positions, positions).
-
-    For export only: a term's whole list becomes one value."""
-    lists = index.postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").cast("int").alias("d"), F.col("term_freq").alias("f"), F.col("positions").alias("p")))).alias("l"))
-    payload = lists.select("term", _encode("l.d", "l.f", "l.p").alias("payload"))
-    return index.vocabulary.select("term", "postings_offset").join(payload, "term")
-
-
-def decode_postings(payload: bytes) -> list[tuple[int, int, list[int]]]:
-    """Postings of one encoded list."""
-    flat = np.frombuffer(payload, dtype="<i4").tolist()
-    out, at = [], 1
-    for _ in range(flat[0]):
-        d, f, n = flat[at : at + 3]
-        out.append((d, f, flat[at + 3 : at + 3 + n]))
-        at += 3 + n
-    return out
+    write_postings(index, f"{path}/postings.bin")
+
+
+def write_postings(index: Index, path: str) -> None:
+    """The binary posting lists, in parts that follow each other as one file would.
+
+    A list is 32-bit numbers: how many postings, then for each its document,
+    frequency, number of positions and positions; lists follow in term order, so a
+    term's begins at its ``postings_offset``. A task writes its range of (term,
+    document) as it comes; a frequent term may go on in the next part."""
+    target, folder = file_system(path)
+    target.create_dir(folder, recursive=True)
+    sums = index.postings.groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("_n"), F.min("doc_id").alias("_first"))
+    rows = fragment_replicate_join(index.postings.select("term", "doc_id", "term_freq", "positions"), sums, "term", "doc_id", "inner")
+    # the first posting of a list has the length before it
+    rows = rows.withColumn("_n", F.when(F.col("doc_id") == F.col("_first"), F.col("_n"))).drop("_first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, base = file_system(path)
+        name = f"{base}/part-{TaskContext.get().partitionId():05d}.bin"
+        beside = f"{name}.{uuid.uuid4().hex}.tmp"
+        size = 0
+        with where.open_output_stream(beside) as out:
+            for b in batches:
+                flat: list[int] = []
+                for n, d, f, p in zip(b["_n"], b["doc_id"], b["term_freq"], b["positions"]):
+                    if n == n:
+                        flat.append(int(n))
+                    flat += [d, f, len(p), *p]
+                size += out.write(np.asarray(flat, dtype="<i4").tobytes())
+        where.move(beside, name)
+        yield pd.DataFrame({"filename": [name], "n_bytes": [size]})
+
+    spread = rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    spread.select("_n", "doc_id", "term_freq", "positions").mapInPandas(run, WRITTEN).agg(F.sum("n_bytes")).collect()

@@ -4,6 +4,7 @@ Python data source over it. Needs a network; nothing else in the engine does."""
 from __future__ import annotations
 
 import json
+import math
 import threading
 import time
 import urllib.error
@@ -14,8 +15,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# Delays and limits of the crawl.
+# Delays and limits of the crawl, and below the service's parameter names.
 MAX_BACKOFF = 60.0
+MAX_RETRY_AFTER = 600.0  # a server that asks for more is asked again after so long
 DELAY = 0.5
 MAX_ATTEMPTS = 3
 PAGE_SIZE = 500
@@ -24,12 +26,15 @@ CATEGORY = 14
 
 def backoff(attempt: int, retry_after: str | None = None) -> float:
     """Seconds to wait after a failed attempt (from 0): what the server asks for
-    if it is a number, else 2 to the power of the attempt, at most MAX_BACKOFF."""
+    if it is a finite number, at most MAX_RETRY_AFTER, else 2 to the power of the
+    attempt, at most MAX_BACKOFF."""
     if retry_after is not None:
         try:
-            return max(0.0, float(retry_after))
+            asked = float(retry_after)
         except ValueError:
-            pass
+            asked = math.nan
+        if math.isfinite(asked):
+            return min(max(0.0, asked), MAX_RETRY_AFTER)
     return min(2.0**attempt, MAX_BACKOFF)
 
 
@@ -39,6 +44,10 @@ def _open(url: str, timeout: float) -> bytes:
         return answer.read()
 
 
+class LostPageError(RuntimeError):
+    """An answer that could not be had after all attempts; what came before it is incomplete."""
+
+
 class PoliteClient:
     """Fetches JSON; requests of all threads keep ``delay`` seconds apart."""
 
@@ -67,12 +76,13 @@ class PoliteClient:
         return None
 
     def members(self, category: str) -> Iterator[tuple[int, str]]:
-        """(namespace, title) of a category's members, page after page."""
+        """(namespace, title) of a category's members, page after page. Raises
+        LostPageError if a page can't be had: a part is never taken for the whole."""
         params = {"action": "query", "list": "categorymembers", "cmtitle": f"Category:{category}", "cmlimit": str(PAGE_SIZE)}
         while True:
             answer = self.get(params)
-            if not answer:
-                return
+            if answer is None:
+                raise LostPageError(f"category {category!r}: no answer to {params}")
             for m in answer.get("query", {}).get("categorymembers", []):
                 yield int(m.get("ns", 0)), m["title"]
             following = answer.get("continue")
@@ -81,15 +91,18 @@ class PoliteClient:
             params = params | {k: str(v) for k, v in following.items()}
 
     def extract(self, title: str) -> tuple[str | None, str | None]:
-        """(extract, url) of an article."""
+        """(extract, url) of an article, (None, None) if there is none. Raises
+        LostPageError if there is no answer."""
         answer = self.get({"action": "query", "prop": "extracts|info", "inprop": "url", "explaintext": "1", "titles": title})
-        page = next(iter((answer or {}).get("query", {}).get("pages", {}).values()), {})
+        if answer is None:
+            raise LostPageError(f"article {title!r}: no answer")
+        page = next(iter(answer.get("query", {}).get("pages", {}).values()), {})
         return page.get("extract"), page.get("fullurl")
 
 
 class _Share(InputPartition):
-    def __init__(self, items: list[str]):
-        self.items = items
+    def __init__(self, items: list[str], workers: int):
+        self.items, self.workers = items, workers
 
 
 class _Reader(DataSourceReader):
@@ -99,27 +112,38 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         items = json.loads(self.options.get("items", "[]"))
         n = max(1, int(self.options.get("workers", "4")))
-        return [_Share(items[i::n]) for i in range(n) if items[i::n]] or [_Share([])]
+        shares = [items[i::n] for i in range(n) if items[i::n]]
+        return [_Share(own, len(shares)) for own in shares] or [_Share([], 1)]
 
     def read(self, share: _Share) -> Iterator[tuple]:
-        client = PoliteClient(self.options["url"], float(self.options.get("delay", DELAY)))
+        """Rows (item, …, error). All workers together keep ``delay`` between two
+        requests: each waits that long for every one of them. An item that is lost
+        gives, after what it had, a row with the error; ``on_error=fail`` ends the scan."""
+        client = PoliteClient(self.options["url"], share.workers * float(self.options.get("delay", DELAY)))
+        members = self.options.get("what", "members") == "members"
         for item in share.items:
-            if self.options.get("what", "members") == "members":
-                for ns, title in client.members(item):
-                    yield item, ns, title
-            else:
-                yield item, *client.extract(item)
+            try:
+                if members:
+                    for ns, title in client.members(item):
+                        yield item, ns, title, None
+                else:
+                    yield item, *client.extract(item), None
+            except LostPageError as e:
+                if self.options.get("on_error", "row") == "fail":
+                    raise
+                yield item, None, None, str(e)
 
 
 class WikiApi(DataSource):
-    """format("wiki_api"), options url, what (members or extracts), items (JSON list), workers, delay."""
+    """format("wiki_api"), options url, what (members or extracts), items (JSON list),
+    workers, delay (between two requests of all workers), on_error (row or fail)."""
 
     @classmethod
     def name(cls) -> str:
         return "wiki_api"
 
     def schema(self) -> str:
-        return "cat string, ns int, title string" if self.options.get("what", "members") == "members" else "title string, extract string, source_url string"
+        return "cat string, ns int, title string, error string" if self.options.get("what", "members") == "members" else "title string, extract string, source_url string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

@@ -6,12 +6,15 @@ sink what it has committed.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.clean import MIN_WORDS, assign_ids, clean, dedupe
+from ..functions.clean import MIN_WORDS, assign_ids, clean
 from ..functions.text import document_name
+from ..session import hadoop_path, read_small, write_small
 
 ARTICLES = "title string, text string, source_url string, fetched_at timestamp"
 
@@ -50,28 +53,35 @@ def stream_ingest(
 
 def stream_numbered(
     spark: SparkSession, source: str, target: str, checkpoint: str, *, fmt: str = "json", schema: str = ARTICLES, min_words: int = MIN_WORDS,
-    max_documents: int | None = None, max_files: int | None = None,
+    max_documents: int | None = None, max_files: int | None = None, watermark: str | None = None,
 ) -> StreamingQuery:
     """Like ``stream_ingest``, but numbers the documents from 1 without gaps.
 
-    Each micro-batch is cleaned, deduplicated in itself and against the target,
-    numbered after the target's last number and written to a folder of its own
-    batch number, so a repeated batch replaces itself. ``max_documents`` is exact."""
+    Contents seen before are kept as the stream's own state, so a micro-batch does
+    not read what earlier ones wrote; of equal contents that come together any one is
+    taken. A batch is numbered after the last number, which stands in a small file for
+    each batch, and written to a folder of its own batch number, so a repeated batch
+    replaces itself. ``max_documents`` is exact."""
+
+    def last_before(number: int) -> int:
+        for n in range(number - 1, -1, -1):
+            text = read_small(spark, f"{checkpoint}/numbered/{n}.json")
+            if text is not None:
+                return json.loads(text)["last"]
+        return 0
 
     def take(batch: DataFrame, number: int) -> None:
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        known = None
-        if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-            known = spark.read.parquet(target).where(F.col("batch") < number)
-        last = known.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0] if known is not None else 0
-        rows = clean(batch, min_words=min_words)
-        rows = rows.withColumn("_order", F.concat_ws("\0", F.coalesce("title", F.lit("")), F.col("sha1"))).dropDuplicates(["_order"])
-        fresh = dedupe(rows, known, order="_order")
-        numbered = assign_ids(fresh, "_order", last + 1, "doc_id").drop("_order")
+        last = last_before(number)
+        ordered = batch.withColumn("_order", F.concat_ws("\0", F.coalesce("title", F.lit("")), F.col("sha1")))
+        numbered = assign_ids(ordered, "_order", last + 1, "doc_id").drop("_order")
         if max_documents is not None:
             numbered = numbered.where(F.col("doc_id") <= max_documents)
         named = numbered.withColumn("filename", document_name(F.col("doc_id")))
         named.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        taken = spark.read.schema(named.schema).parquet(f"{target}/batch={number}").count()
+        fs, marker = hadoop_path(spark, f"{checkpoint}/numbered/{number}.json")
+        fs.delete(marker, False)
+        write_small(spark, f"{checkpoint}/numbered/{number}.json", json.dumps({"last": last + taken}))
 
-    articles = read_articles(spark, source, fmt, max_files, schema)
-    return articles.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = cleaned_stream(read_articles(spark, source, fmt, max_files, schema), min_words, watermark)
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import crawl
+from termloom.functions import text
+from termloom.operators import crawl, index, zipf
 from termloom.sources import files, sinks, wiki_api
 from termloom.streaming import ingest
 
@@ -27,11 +30,62 @@ def test_corpus_and_tokens(spark, tmp_path):
     assert files.explode_token_lists(files.read_tokens(spark, str(tmp_path))).count() == 5
 
 
-def test_token_export_round_trip(spark, tmp_path):
-    tokens = spark.createDataFrame([(1, 0, "b"), (1, 2, "a"), (1, 1, "a")], "doc_id bigint, pos int, term string")
-    sinks.write_tokens(tokens, f"{tmp_path}/out")
-    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/out").select("value").collect()) == ["a 1 2", "b 0"]
-    assert rows(sinks.token_lines(tokens, positions=False), "value") == [("a",), ("b",)]
+def test_token_files_round_trip(spark, tmp_path):
+    tokens = spark.createDataFrame([(1, 0, "b"), (1, 2, "a"), (1, 1, "a"), (2, 0, "книгой"), (2, 1, "книги"), (2, 2, "a")], "doc_id bigint, pos int, term string")
+    assert sinks.write_tokens(tokens, f"{tmp_path}/out") == 2 and (tmp_path / "out" / "doc00001.tokens").read_text() == "a 1 2\nb 0\n"
+    assert sinks.write_tokens(tokens, f"{tmp_path}/out") == 2 and len(list((tmp_path / "out").iterdir())) == 2
+    assert rows(files.read_tokens(spark, f"{tmp_path}/out", positive=False)) == [(1, "a", [1, 2]), (1, "b", [0]), (2, "a", [2]), (2, "книги", [1]), (2, "книгой", [0])]
+    sinks.write_stemmed_tokens(files.read_token_lines(spark, f"{tmp_path}/out"), f"{tmp_path}/stems")
+    assert (tmp_path / "stems" / "doc00002.tokens").read_text() == "a 2\nкниг 1\nкниг 0\n"
+    sinks.write_tokens(tokens, f"{tmp_path}/bare", positions=False)
+    assert (tmp_path / "bare" / "doc00001.tokens").read_text() == "a\nb\n"
+    assert sinks.write_tokens(tokens.limit(0), f"{tmp_path}/none") == 0
+
+
+def test_postings_file(spark, tmp_path):
+    import struct
+
+    docids = spark.range(3).select(F.col("id").alias("doc_id"), F.format_string("doc%05d.txt", "id").alias("filename"))
+    tokens = spark.createDataFrame([(d, p, t) for d in range(3) for p, t in enumerate(["x", "hot", "hot", f"t{d}"])], "doc_id bigint, pos int, term string")
+    ix = index.build_index(tokens, docids)
+    sinks.write_postings(ix, f"{tmp_path}/p")
+    whole = b"".join(f.read_bytes() for f in sorted((tmp_path / "p").iterdir()))
+    assert struct.unpack(f"<{len(whole) // 4}i", whole)[:6] == (3, 0, 2, 2, 1, 2) and len(whole) == 4 * (1 + 3 * 5 + 3 * 5)
+    (tmp_path / "postings.bin").write_bytes(whole)
+    for path in ("p", "postings.bin"):
+        assert rows(files.read_postings(spark, f"{tmp_path}/{path}", ix.vocabulary)) == rows(ix.postings)
+    assert rows(files.read_postings(spark, f"file://{tmp_path}/p", ix.vocabulary.where("term = 't1'")), "doc_id", "positions") == [(1, [3])]
+    (tmp_path / "cut.bin").write_bytes(whole[:-4])
+    with pytest.raises(Exception, match="ends too early"):
+        files.read_postings(spark, f"{tmp_path}/cut.bin", ix.vocabulary).count()
+    empty = index.build_index(tokens.limit(0), docids)
+    sinks.write_postings(empty, f"{tmp_path}/e")
+    assert files.read_postings(spark, f"{tmp_path}/e", empty.vocabulary).count() == 0
+    sinks.write_plot(zipf.zipf_rank(zipf.term_frequency(tokens)), f"{tmp_path}/plot.svg")
+    assert (tmp_path / "plot.svg").read_text().count("<circle") == 5
+    sinks.write_plot(zipf.zipf_rank(zipf.term_frequency(tokens.limit(0))), f"{tmp_path}/none.svg")
+
+
+def test_layout():
+    lay = index.plan_layout([("a", 1), ("hot", 50), ("m", 3), ("z", 6)], 6, 100)
+    assert lay.n_partitions >= sum(lay.split[1:]) + 1 and max(lay.split) >= 4
+    terms = ["", "a", "hot", "m", "zz"]
+    parts = [lay.partitions(terms, np.full(100, i), np.arange(100)) for i in range(5)]
+    assert len(set(parts[2])) == max(lay.split) and all((np.diff(p) >= 0).all() for p in parts) and all(a.max() <= b.min() for a, b in zip(parts, parts[1:]))
+    assert index.plan_layout([], 4, 0).n_partitions == 1
+
+
+def test_document_index_of_any_numbers(spark):
+    texts = [(7, "x b a b"), (3, "x a"), (None, "x lost"), (9, None), (4, "")]
+    df = spark.createDataFrame(texts, "doc_num int, text string")
+    got = index.build_document_index(df)
+    tokens = text.tokenize(df.where("doc_num IS NOT NULL").withColumn("doc_id", F.expr("CASE doc_num WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 7 THEN 2 ELSE 3 END")))
+    want = index.build_index(tokens, got.docids)
+    assert rows(got.postings) == rows(want.postings) and rows(got.vocabulary) == rows(want.vocabulary) and rows(got.stats) == rows(want.stats)
+    assert rows(got.docids) == [(0, "doc00003.txt"), (1, "doc00004.txt"), (2, "doc00007.txt"), (3, "doc00009.txt")] and index.verify_index(got).count() == 0
+    dense = index.build_document_index(df.where("doc_num IS NOT NULL").selectExpr("CASE doc_num WHEN 7 THEN 11 WHEN 3 THEN 12 WHEN 9 THEN 13 ELSE 14 END AS doc_num", "text"))
+    assert rows(dense.postings, "term", "doc_id") == [("a", 0), ("a", 1), ("b", 0)] and dense.docids.count() == 4
+    assert index.build_document_index(df.limit(0)).stats.first()["num_documents"] == 0
 
 
 def test_stopwords_and_metadata(spark, tmp_path):
@@ -44,10 +98,10 @@ def test_stopwords_and_metadata(spark, tmp_path):
     assert ("doc00001.txt", 'a "b", c') in rows(files.titles_by_filename(docs))
 
 
-def test_documents_text(spark, tmp_path):
-    docs = spark.createDataFrame([("doc00001.txt", "T", "body\nmore")], "filename string, title string, text string")
-    sinks.write_documents(docs, f"{tmp_path}/d")
-    assert files.read_corpus(spark, f"{tmp_path}/d/*", pattern="part*").first()["text"].rstrip("\0") == "T\n\nbody\nmore"
+def test_documents_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([("doc00001.txt", "T", "body\nmore"), ("doc00002.txt", None, None), (None, "x", "y")], "filename string, title string, text string")
+    assert sinks.write_documents(docs, f"{tmp_path}/d") == 2
+    assert rows(files.read_corpus(spark, f"{tmp_path}/d"), "doc_num", "title", "text") == [(1, "T", "T\n\nbody\nmore"), (2, "", "\n\n")]
 
 
 def test_api_answers(spark, tmp_path):
@@ -73,9 +127,32 @@ def test_client_retries_and_pages():
     client = wiki_api.PoliteClient("http://x", delay=0, fetch=fetch, sleep=slept.append)
     assert list(client.members("Root")) == [(0, "A"), (14, "B")]
     assert "cmcontinue=t" in asked[-1] and slept == [1.0, 2.0]
+    with pytest.raises(wiki_api.LostPageError):
+        list(wiki_api.PoliteClient("http://x", delay=0, fetch=lambda u, t: b"no json", sleep=slept.append).members("Root"))
+    assert [wiki_api.backoff(0, x) for x in ("inf", "nan", "1e9", "-3")] == [1, 1, wiki_api.MAX_RETRY_AFTER, 0]
     assert [wiki_api.backoff(n) for n in (0, 3, 9)] == [1, 8, 60] and wiki_api.backoff(0, "7") == 7 and wiki_api.backoff(1, "soon") == 2
 
 
+def test_workers_share_the_rate(monkeypatch):
+    made = []
+
+    class Client:
+        def __init__(self, url, delay):
+            made.append(delay)
+
+        def members(self, item):
+            yield 0, "A"
+            raise wiki_api.LostPageError(item)
+
+    monkeypatch.setattr(wiki_api, "PoliteClient", Client)
+    reader = wiki_api.WikiApi({"url": "http://x", "items": '["a", "b", "c"]', "workers": "8", "delay": "0.5"}).reader(None)
+    shares = reader.partitions()
+    assert len(shares) == 3 and list(reader.read(shares[0])) == [("a", 0, "A", None), ("a", None, None, "a")] and made == [1.5]
+    strict = wiki_api.WikiApi({"url": "http://x", "items": '["a"]', "on_error": "fail"}).reader(None)
+    with pytest.raises(wiki_api.LostPageError):
+        list(strict.read(strict.partitions()[0]))
+
+
 MEMBERS = [("r", 0, "p1"), ("r", 14, "Category:s"), ("s", None, "p2"), ("s", 14, "Категория:r"), ("s", 14, "Category:t"), ("t", 0, "p1"), ("t", 0, "p3"), ("z", 0, "no"), ("s", 4, "talk")]
 
 
@@ -109,6 +186,41 @@ def test_queue(spark):
     assert json.loads(crawl.log_events(chosen.select("id"), "claim", "m").first()["details"])["id"] in (1, 2)
 
 
+QUEUE = "id int, title string, status int, sha1 string, word_count int, source_url string, doc_id int, attempts int, last_error string, discovered_at timestamp, processed_at timestamp"
+
+
+def test_stored_queue(spark, tmp_path):
+    none = (None,) * 4
+    pages = spark.createDataFrame([(i, f"t{i}", 0, *none, 0, None, None, None) for i in range(1, 6)], QUEUE)
+    q = crawl.StoredQueue.create(pages, f"{tmp_path}/q")
+    with pytest.raises(crawl.ConflictError):
+        crawl.StoredQueue.create(pages, f"{tmp_path}/q")
+    other = crawl.StoredQueue(spark, f"{tmp_path}/q")
+    assert rows(q.claim(2), "id", "status", "attempts") == [(1, 2, 1), (2, 2, 1)] and rows(other.claim(2), "id") == [(3,), (4,)]
+    results = spark.createDataFrame([(1, 1, "h", 9, "u", 1, None), (2, 3, None, None, None, None, "bad"), (99, 1, None, None, None, None, None)],
+                                    "id int, status int, sha1 string, word_count int, source_url string, doc_id int, last_error string")
+    q.apply(results)
+    q.enqueue(spark.createDataFrame([("t1",), ("new",), (None,)], "title string"))
+    other.requeue()
+    expected = [(1, 1, 1), (2, 3, 1), (3, 0, 1), (4, 0, 1), (5, 0, 0), (6, 0, 0)]
+    assert rows(q.state(), "id", "status", "attempts") == expected
+    q.compact()
+    assert len(q.log()) == 1 and rows(other.state(), "id", "status", "attempts") == expected
+    # a step that another writer took first changes nothing
+    number, state = q._at()
+    q.claim(1)
+    with pytest.raises(crawl.ConflictError):
+        other._commit(number + 1, state)
+    with pytest.raises(FileNotFoundError):
+        crawl.StoredQueue(spark, f"{tmp_path}/none").state()
+
+
+def test_event_log(spark, tmp_path):
+    for ids in ((3, 1), (2,)):
+        crawl.append_events(crawl.log_events(spark.createDataFrame([(i,) for i in ids], "page int"), "failed", "m"), f"{tmp_path}/log")
+    assert rows(crawl.read_events(spark, f"{tmp_path}/log"), "id", "details") == [(1, '{"page":1}'), (2, '{"page":3}'), (3, '{"page":2}')]
+
+
 def article(n: int, text: str) -> str:
     return json.dumps({"title": f"t{n}", "text": text, "source_url": "u", "fetched_at": "2026-01-01T00:00:00Z"}) + "\n"
 
