@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import exists, shared_dir, write_small
+from ..session import exists, shared_dir, write_small, written
+from .skew import fragment_replicate_join
 
 MARKER = "_COMMITTED.json"
 TARGET_BYTES = 128 << 20
@@ -115,7 +116,9 @@ def shard_of(file_no: Column, shards: int) -> Column:
 def pack_bins(kept: DataFrame, target_bytes: int = TARGET_BYTES, shard_files: int = SHARD_FILES) -> tuple[DataFrame, int]:
     """The kept files with their shard and bin, and the number of shards."""
     total = kept.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("record_bytes"), F.lit(0)).alias("bytes")).first()
-    shards = max(1, -(-total["files"] // shard_files), -(-total["bytes"] // (SHARD_BINS * target_bytes)))
+    tasks = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_tasks = min(tasks, total["bytes"] // target_bytes)  # as many as there are tasks, if each fills a bin
+    shards = max(1, -(-total["files"] // shard_files), -(-total["bytes"] // (SHARD_BINS * target_bytes)), by_tasks)
     spread = kept.withColumn("shard", shard_of(F.col("file_no"), shards)).repartitionById(shards, F.col("shard"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,12 +214,20 @@ def open_compaction(spark: SparkSession, folder: str) -> Compaction:
     return Compaction(spark, folder)
 
 
+def record_groups(listing: DataFrame) -> DataFrame:
+    """(file_no, representative) of every file whose record another file has as well;
+    the representative is the lowest file_no with that record. Files of a record that
+    very many have are split over the tasks."""
+    held = listing.where("digest IS NOT NULL").select("file_no", F.hex("digest").alias("digest"))
+    shared = held.groupBy("digest").agg(F.count_distinct("file_no").alias("_n"), F.min("file_no").alias("representative")).where("_n > 1").drop("_n")
+    return fragment_replicate_join(held, shared, "digest", "file_no", "inner").select("file_no", "representative")
+
+
 def same_records(listing: DataFrame) -> DataFrame:
-    """(file_a, file_b), file_a < file_b: all pairs of files with the same record.
-    Records of one file take no part in the pairing."""
-    held = listing.where("digest IS NOT NULL").select("file_no", "digest", "record_bytes")
-    shared = held.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest")
-    members = held.join(shared, "digest")
-    a = members.select(F.col("file_no").alias("file_a"), "digest", F.col("record_bytes").alias("_a"))
-    b = members.select(F.col("file_no").alias("file_b"), "digest", F.col("record_bytes").alias("_b"))
-    return a.join(b, "digest").where("file_a < file_b AND _a = _b").select("file_a", "file_b")
+    """(file_a, file_b), file_a < file_b: all pairs of files with the same record,
+    expanded from ``record_groups`` shard by shard. Records of one file take no part
+    in the pairing."""
+    members = written(record_groups(listing), "groups")
+    a = members.select(F.col("file_no").alias("file_a"), "representative")
+    b = members.select(F.col("file_no").alias("file_b"), "representative")
+    return fragment_replicate_join(a, b, "representative", "file_a", "inner").where("file_a < file_b").select("file_a", "file_b").distinct()
