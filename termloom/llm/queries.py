@@ -96,7 +96,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_composition(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subject_composition(p10_subjects(spark, d))
+    return subjects.subject_composition(*subjects.classified(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects")))
 
 
 def queries() -> dict[str, Query]:

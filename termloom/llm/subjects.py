@@ -6,9 +6,11 @@ iteratively; each sentence of prose goes to the subject with the greatest cosine
 or to none, and a document has the subjects of a sufficient share of its sentences.
 
 The classifier (vocabulary, decomposition, centroids) is fitted on at most
-MAX_LABELLED labelled documents. Document frequencies are counted over all
-documents, and all documents and all their sentences are assigned. Texts are read
-and split once; later passes read the written word numbers.
+MAX_LABELLED documents: labelled ones and, where they are fewer, others whose
+subjects a first fit finds. Document frequencies are counted over all documents,
+and all documents and all their sentences are assigned. Texts are read and split
+once for the sample and once for all; later passes read written word numbers, and
+nothing but those of the sample comes to the driver.
 """
 
 from __future__ import annotations
@@ -27,9 +29,13 @@ from ..session import written
 from . import quality
 from .quality import COMMON
 
-MAX_LABELLED = 4000  # labelled documents the classifier is fitted on
-MAX_LABELLED_CHARS = 200_000  # longest labelled document it is fitted on
-MAX_VOCABULARY = 60_000  # words of the classifier
+MAX_LABELLED = 2000  # documents the classifier is fitted on, labelled ones first
+MAX_FIT_WORDS = 8_000_000  # of these documents together
+MAX_VOCABULARY = 60_000  # words of the classifier; a number of 16 bits
+SENTENCE_END = 65_535
+FILL_ROUNDS = 3  # fits that find subjects for documents without labels
+MIN_SURE = 3  # sentences about some subject that such a document needs
+SURE_SHARE = 0.6  # of them that must be about the subjects found
 DIMENSIONS = 40
 REFINEMENTS = 6
 MIN_SHARE = 0.25  # of the sentences that are about some subject
@@ -60,40 +66,101 @@ def content_words(words: list[str]) -> list[str]:
     return [w for w in words if len(w) > 2 and w not in COMMON and w.isalpha()]
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int) -> tuple[list[tuple[int, str]], dict[int, set[str]]]:
-    """Texts and subjects of at most ``bound`` labelled documents, chosen by a hash
-    of their id; texts above MAX_LABELLED_CHARS are left out of the fit."""
-    known = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "subject").distinct()
-    chosen = known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") <= MAX_LABELLED_CHARS).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return [(r["doc_id"], r["text"]) for r in rows], {r["doc_id"]: set(r["subjects"]) for r in rows}
-
-
 @dataclass
 class Sample:
-    """Sentences of the labelled documents as word numbers."""
+    """Sentences of the documents the classifier is fitted on, as word numbers, and
+    their subjects; a document added to the labelled ones has none yet."""
 
     vocabulary: dict[str, int]
     docs: list[list[list[int]]]
     subjects: list[set[str]]
 
 
-def number_words(texts: list[tuple[int, str]], subjects: dict[int, set[str]], bound: int) -> Sample:
-    """Numbers the words that occur in at least two labelled documents; of more
-    than ``bound`` the most frequent."""
-    split = []
-    seen: Counter[str] = Counter()
-    for doc, text in texts:
-        good, sents = sentences(text)
-        if good:
-            sents = [content_words(s) for s in sents]
-            split.append((doc, sents))
-            seen.update({w for s in sents for w in s})
-    words = sorted((w for w, n in seen.items() if n > 1), key=lambda w: (-seen[w], w))[:bound]
-    vocabulary = {w: i for i, w in enumerate(words)}
-    docs = [[[vocabulary[w] for w in s if w in vocabulary] for s in sents] for _, sents in split]
-    return Sample(vocabulary, docs, [subjects[d] for d, _ in split])
+def sample_documents(documents: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame, dict[int, set[str]]]:
+    """(doc_id) of at most ``bound`` documents, and the subjects of those labelled.
+    Labelled documents come first, chosen by a hash of their id; where they are
+    fewer, others fill the sample up."""
+    spark = documents.sparkSession
+    ids = documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
+    known = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "subject").distinct().join(ids, "doc_id", "left_semi")
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = {r["doc_id"]: set(r["subjects"]) for r in known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(*order).limit(bound).collect()}
+    taken = list(chosen)
+    if chosen and len(chosen) < bound:
+        taken += [r["doc_id"] for r in ids.join(known.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(bound - len(chosen)).collect()]
+    return spark.createDataFrame([(d,) for d in taken], "doc_id bigint"), chosen
+
+
+def number_words(documents: DataFrame, labels: DataFrame, bound: int, max_words: int = MAX_VOCABULARY) -> Sample:
+    """The sample as word numbers; no text comes to the driver. The vocabulary are the
+    words of at least two of its documents, of more than ``max_words`` the most
+    frequent. Documents are taken as long as they have MAX_FIT_WORDS words together."""
+    spark = documents.sparkSession
+    ids, known = sample_documents(documents, labels, bound)
+    if not known:
+        return Sample({}, [], [])
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [sentences(t) for t in b["text"]]
+            flat = [[w for s in sents for w in (*content_words(s), "")] for _, sents in found]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "words": flat})[[good for good, _ in found]]
+
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    own = written(texts.mapInPandas(words, "doc_id bigint, words array<string>"), "sample")
+    seen = own.select(F.explode(F.array_distinct("words")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = seen.where("n > 1").orderBy(F.desc("n"), "word").limit(max_words).collect()
+    vocabulary = {r["word"]: i for i, r in enumerate(top)}
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            packed = [np.array([SENTENCE_END if not w else shared.value[w] for w in words if not w or w in shared.value], dtype="<u2").tobytes() for words in b["words"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "packed": packed})
+
+    packed = written(own.mapInPandas(numbers, "doc_id bigint, packed binary"), "numbers")
+    sizes = packed.select("doc_id", (F.octet_length("packed") / 2).cast("bigint").alias("n")).orderBy(~F.col("doc_id").isin(list(known)), F.xxhash64("doc_id"), "doc_id").collect()
+    taken, held = [], 0
+    for r in sizes:
+        if taken and held + r["n"] > MAX_FIT_WORDS:
+            break
+        taken.append(r["doc_id"])
+        held += r["n"]
+    rows = packed.where(F.col("doc_id").isin(taken)).collect() if taken else []
+    rows.sort(key=lambda r: r["doc_id"])
+    docs = []
+    for r in rows:
+        flat = np.frombuffer(bytes(r["packed"]), dtype="<u2").astype(np.int64)
+        docs.append([part[:-1].tolist() for part in np.split(flat, np.flatnonzero(flat == SENTENCE_END) + 1) if len(part)])
+    return Sample(vocabulary, docs, [known.get(r["doc_id"], set()) for r in rows])
+
+
+def with_found_subjects(sample: Sample, subjects: list[str]) -> Sample:
+    """The sample with subjects for the documents that have none, as a first fit on
+    the others finds them; documents it is not sure of are left out."""
+    labelled = [i for i, s in enumerate(sample.subjects) if s]
+    rest = [i for i, s in enumerate(sample.subjects) if not s]
+    if not rest or not labelled:
+        return Sample(sample.vocabulary, [sample.docs[i] for i in labelled], [sample.subjects[i] for i in labelled])
+    df = np.zeros(len(sample.vocabulary))
+    for sents in sample.docs:
+        df[list({w for s in sents for w in s})] += 1
+    docs, known = [sample.docs[i] for i in labelled], [sample.subjects[i] for i in labelled]
+    for _ in range(FILL_ROUNDS):
+        model = fit(Sample(sample.vocabulary, docs, known), df, len(sample.docs), subjects)
+        docs, known = [sample.docs[i] for i in labelled], [sample.subjects[i] for i in labelled]
+        for i in rest:
+            flat = np.array([x for s in sample.docs[i] for x in (*s, -1)], dtype=np.int64)
+            ends = np.flatnonzero(flat == -1)
+            if not len(ends):
+                continue
+            found = model.sentence_subjects(flat, np.r_[0, ends[:-1] + 1])
+            counts = np.bincount(found[found >= 0], minlength=len(subjects))
+            sure = np.flatnonzero(counts >= MIN_SHARE * max(counts.sum(), 1)) if counts.sum() >= MIN_SURE else []
+            if len(sure) and counts[sure].sum() >= SURE_SHARE * counts.sum():
+                docs.append(sample.docs[i])
+                known.append({subjects[k] for k in sure})
+    return Sample(sample.vocabulary, docs, known)
 
 
 def split_documents(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -336,6 +403,15 @@ def assign(split: DataFrame, model: Classifier, min_share: float = MIN_SHARE) ->
     return split.where("prose").select("doc_id", "words").mapInPandas(run, schema)
 
 
+def classified(documents: DataFrame, labels: DataFrame, subjects: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, DataFrame]:
+    """The split documents and the subjects assigned to them."""
+    names = sorted({r["subject"] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect()})
+    sample = with_found_subjects(number_words(documents, labels.where(F.col("subject").isin(names)), max_labelled), names)
+    split = split_documents(documents, sample.vocabulary)
+    df, n = document_frequencies(split, len(sample.vocabulary))
+    return split, assign(split, fit(sample, df, n, names))
+
+
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Subjects of every document of prose; see ``assign`` for the columns.
 
@@ -343,14 +419,13 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     documents without a sentence that is about one. Labels of unknown documents
     or subjects are ignored, repeated ones count once; without labels nothing
     can be fitted and the result is empty."""
-    names = sorted({r["subject"] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect()})
-    labels = labels.where(F.col("subject").isin(names))
-    sample = number_words(*labelled_sample(documents, labels, max_labelled), MAX_VOCABULARY)
-    split = split_documents(documents, sample.vocabulary)
-    df, n = document_frequencies(split, len(sample.vocabulary))
-    return assign(split, fit(sample, df, n, names))
+    return classified(documents, labels, subjects, max_labelled)[1]
 
 
-def subject_composition(assigned: DataFrame) -> DataFrame:
-    """Documents and sentences of each subject over the corpus."""
-    return assigned.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
+def subject_composition(split: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(subject, documents, sentences) over the corpus; the row with a NULL subject
+    counts the documents of prose that have none."""
+    assigned = written(assigned, "assigned")
+    counts = assigned.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
+    without = split.where("prose").join(assigned.select("doc_id").distinct(), "doc_id", "left_anti")
+    return counts.unionByName(without.agg(F.lit(None).cast("string").alias("subject"), F.count(F.lit(1)).alias("documents"), F.lit(0).cast("bigint").alias("sentences")))
