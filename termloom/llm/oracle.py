@@ -86,6 +86,30 @@ def _form(column: str) -> str:
     return f"nfc_normalize(translate({sql}, '{''.join(ALIKE.values())}', '{''.join(k * len(v) for k, v in ALIKE.items())}'))"
 
 
+CASED = {"b": "вβ", "e": "ε", "z": "ζ", "h": "нη", "k": "кκ", "m": "мμ", "v": "ν", "t": "тτ", "y": "υ", "x": "χ"}  # small letters whose capitals look alike
+
+
+def _words(column: str) -> str:
+    """Words of a text for matching, by plain replacements of markup."""
+    sql = f"regexp_replace({_plain(column)}, '[\\x{{300}}-\\x{{36f}}]', '', 'g')"
+    for pattern, by in (
+        (r"(?is)<(script|style|head)\b[^<>]*>.*?</(script|style|head)\s*>|<!--.*?-->", ""),
+        (r"(?i)</?(?:br|hr|p|div|ul|ol|li|table|tr|td|th|h[1-6]|pre)(?:\s[^<>]*|\s*/)?>|&[a-zA-Z]+;|&#\d+;", " "),
+        (r"</?[a-zA-Z][^<>]*>", ""),
+        (r"\[\[(?:Category|Категория|Kategorie):[^\[\]]*\]\]|\\(?:footnote|cite|label)\{[^{}]*\}|[~ ]?\\(?:eq)?ref\{[^{}]*\}", ""),
+        (r"\[\[(?:[^\[\]]*\|)?([^\[\]|]*)\]\]", r"\1"),
+        (r"\[https?://[^\s\]]+ ?([^\]\n]*)\]|!?\[([^\[\]\n]*)\]\([^()\s]+\)", r"\1\2"),
+        (r"\\(?:emph|textbf|textit)\{([^{}]*)\}|\{\\it ([^{}]*)\}", r"\1\2"),
+        (r"\\[a-zA-Z]+", " "),
+        (r"\*\*|~~|'''''|'''|''|`", ""),
+    ):
+        sql = f"regexp_replace({sql}, '{_quoted(pattern)}', '{by}', 'g')"
+    small = "".join(v for t in (ALIKE, CASED) for k, v in t.items() if k.islower())
+    latin = "".join(k * len(v) for t in (ALIKE, CASED) for k, v in t.items() if k.islower())
+    folded = f"translate(translate(strip_accents(lower({sql})), '{small}', '{latin}'), 'n', 'v')"
+    return rf"regexp_extract_all({folded}, '[\p{{L}}\p{{N}}]+')"
+
+
 SCRIPTS = (
     r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]", r"[\x{250}-\x{2c1}\x{370}-\x{373}\x{376}-\x{377}\x{37b}-\x{3ff}]", r"[\x{400}-\x{481}\x{48a}-\x{52f}]"
 )
@@ -144,6 +168,12 @@ FROM joined""",
         "p7_found": f"""
 WITH {COUNTS}
 SELECT term, 'rare' AS mark FROM joined WHERE is_rare UNION ALL SELECT term, 'common' FROM joined WHERE is_common""",
+        "p8_found": f"""
+WITH own AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+items AS (SELECT item_id, {_words('text')} AS w FROM eval_items),
+runs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM items)),
+held AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 9], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM own))
+SELECT DISTINCT doc_id, item_id FROM held JOIN runs USING (run)""",
         "p9_plan": f"""
 WITH {SIZES}
 SELECT source, documents, size, round(factor, 6) AS factor,
