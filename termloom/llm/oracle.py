@@ -110,6 +110,42 @@ def _words(column: str) -> str:
     return rf"regexp_extract_all({folded}, '[\p{{L}}\p{{N}}]+')"
 
 
+def _markup() -> str:
+    """CTEs that end in ``marked`` (doc_id, html, latex, markdown, wiki)."""
+    from .markup import COMMANDS, TAGS
+
+    tag = rf"</?(?:{'|'.join(sorted(TAGS, key=len, reverse=True))})(?:\s[^<>]*|\s*/)?>"
+    entity = "&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
+    held = r"<pre\b[^<>]*>.*?</pre\s*>|<script\b[^<>]*>.*?</script\s*>|<style\b[^<>]*>.*?</style\s*>|<!--.*?-->|<!\[CDATA\[.*?\]\]>|<!DOCTYPE[^<>]*>"
+    latex = rf"\\(?:{'|'.join(COMMANDS)})(?:[^a-zA-Z]|$)|\\[a-zA-Z]+\{{|(?:^|[^\\])\\\[.*?\S.*?\\\]|\\\(.*?\S.*?\\\)|\$\$[^$]*[^$\s][^$]*\$\$"
+    letter, word = r"\p{L}", r"\p{L}\p{N}_"
+    markdown = "|".join(
+        (
+            r"^ {0,3}#{1,6} +\S", r"^ {0,3}(?:```|~~~)", r"\*\*[^\s*](?:[^*\n]*[^\s*])?\*\*", r"~~\S(?:[^~\n]*\S)?~~",
+            rf"(?:^|[^{word}*])\*{letter}(?:[^*\n]*{letter})?\*(?:[^{word}*]|$)", rf"(?:^|[^{word}])_{letter}(?:[^_\n]*{letter})?_(?:[^{word}]|$)",
+            rf"(?:^|[^{word}])__[^\s_](?:[^\n]*?[^\s_])?__(?:[^{word}]|$)", r"(?:^|[^`])`[^`\n]+`(?:[^`]|$)", r"!?\[[^\[\]\n]*\]\([^()\s]+\)",
+            r"^ {0,3}\[[^\]\n]+\]:\s+\S+://", r"^[ \t]*(?:\|[ \t]*)?:?-{3,}:?[ \t]*\|[-:| ]*$", r"^[ \t]*[-*+] \[[ xX]\] ", r"^ {0,3}>+ \S",
+        )
+    )
+    wiki = (
+        r"\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|^[ \t]*\{\||^\|\}[ \t]*$|'''?[^\s'][^'\n]*'''?|^ *={2,6}[^=\n].*?={2,6}(?: |$)"
+        r"|\[https?://[^\s\]]+(?: [^\]\n]*)?\]|</?(?:ref|nowiki|gallery)\b[^<>]*>|__(?:NO)?(?:TOC|EDITSECTION)__|#(?:REDIRECT|ПЕРЕНАПРАВЛЕНИЕ)"
+    )
+    return f"""
+bared AS (
+  SELECT doc_id, regexp_matches(text, '(?is){tag}|{entity}|{held}') AS html,
+         regexp_replace(regexp_replace(text, '(?is){held}', ' ', 'g'), '(?i){tag}|{entity}', ' ', 'g') AS outside
+  FROM documents WHERE text IS NOT NULL
+),
+marked AS (
+  SELECT doc_id, html,
+         regexp_matches(outside, '(?s){latex}') OR len(list_filter(regexp_extract_all(outside, '\\$[^$\\s](?:[^$\\n]*[^$\\s])?\\$'), lambda x: regexp_matches(x, '\\\\[a-zA-Z]|[_^]\\{{?\\w'))) > 0 AS latex,
+         regexp_matches(regexp_replace(outside, '(?ms)^ {{0,3}}```[^\\n]*\\n.*?^ {{0,3}}```[ \\t]*$', '```', 'g'), '(?m){markdown}') AS markdown,
+         regexp_matches(regexp_replace(outside, '(?ms)^ {{0,3}}```[^\\n]*\\n.*?^ {{0,3}}```[ \\t]*$', '```', 'g'), '(?m){_quoted(wiki)}') AS wiki
+  FROM bared
+)"""
+
+
 SCRIPTS = (
     r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]", r"[\x{250}-\x{2c1}\x{370}-\x{373}\x{376}-\x{377}\x{37b}-\x{3ff}]", r"[\x{400}-\x{481}\x{48a}-\x{52f}]"
 )
@@ -144,6 +180,12 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, page_word_count,
        CASE WHEN page_word_count IS NULL THEN 'missing' WHEN page_word_count < 1 THEN 'impossible'
             WHEN page_word_count = coalesce(n_words, 0) THEN 'equal' ELSE 'outdated' END AS word_count_state
 FROM measured LEFT JOIN latest USING (doc_id)""",
+        "p5_found": f"""
+WITH {_markup()}
+SELECT doc_id, kind FROM (
+  SELECT doc_id, 'html' AS kind FROM marked WHERE html UNION ALL SELECT doc_id, 'latex' FROM marked WHERE latex
+  UNION ALL SELECT doc_id, 'markdown' FROM marked WHERE markdown UNION ALL SELECT doc_id, 'wiki' FROM marked WHERE wiki
+)""",
         "p6_found": f"""
 WITH latest AS (
   SELECT id, max_by(title, (coalesce(processed_at, TIMESTAMPTZ 'epoch'), coalesce(title, ''))) AS title FROM pages WHERE id IS NOT NULL GROUP BY id
