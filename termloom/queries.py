@@ -362,6 +362,40 @@ def metadata_file(spark, d):
     return files.read_metadata(spark, folder).select(_long("doc_id"), "title", "source_url", _long("word_count"))
 
 
+def metadata_titles(spark, d):
+    """Titles by file name, from a metadata file."""
+    folder = shared_dir(spark, "metadata")
+    own = documents(spark, d).select(F.col("doc_id").cast("int").alias("doc_id"), text.title_of(F.col("text")).alias("title"), F.lit(None).cast("string").alias("source_url"), F.lit(0).alias("word_count"))
+    sinks.write_metadata(own, folder)
+    return files.titles_by_filename(files.read_metadata(spark, folder))
+
+
+def api_members(spark, d):
+    """Recorded answers of the API, a file for each category, read as members."""
+    folder = shared_dir(spark, "answers")
+    pages = members(spark, d).groupBy("cat").agg(F.collect_list(F.struct("ns", "title")).alias("categorymembers"))
+    answers = pages.select(F.concat(F.hex(F.encode("cat", "UTF-8")), F.lit(".1.json")).alias("filename"), F.to_json(F.struct(F.struct("categorymembers").alias("query"))).alias("value"))
+    sinks.write_named(answers, folder)
+    found = files.read_category_members(spark, f"{folder}/*.json")
+    return found.select(F.decode(F.unhex("cat"), "UTF-8").alias("cat"), _long("ns"), "title")
+
+
+def api_extracts(spark, d):
+    """Recorded answers of the API, a file for each article, read as extracts."""
+    folder = shared_dir(spark, "answers")
+    key = F.col("doc_id").cast("string")
+    page = F.struct(text.title_of(F.col("text")).alias("title"), F.col("text").alias("extract"), F.concat(F.lit("http://wiki/"), key).alias("fullurl"))
+    answers = documents(spark, d).select(F.concat(key, F.lit(".json")).alias("filename"), F.to_json(F.struct(F.struct(F.create_map(key, page).alias("pages")).alias("query"))).alias("value"))
+    sinks.write_named(answers, folder)
+    return files.read_extracts(spark, folder).select(F.col("page_key").cast("bigint").alias("doc_id"), "title", F.sha1("extract").alias("sha1"), "source_url")
+
+
+def backoffs(spark, d):
+    """Seconds to wait by attempts made and what the server asked for."""
+    asked = spark.createDataFrame([(n, a) for n in (0, 1, 5, 6, 9) for a in (None, "7", "soon", "0.5")], "attempts int, asked string")
+    return asked.select(_long("attempts"), "asked", crawl.backoff_seconds(F.col("attempts"), F.col("asked")).alias("seconds"))
+
+
 def stopword_file(spark, d):
     folder = shared_dir(spark, "stopwords")
     lines = spark.createDataFrame([("words.txt", "# function words\n" + "\n".join(f" {w} # {w}\t" for w in STOPWORDS) + "\n\n")], "filename string, value string")
@@ -436,6 +470,13 @@ def dedupe_sha1(spark, d):
     return cleaning.assign_ids(cleaning.dedupe(hashed), "doc_id").select("doc_id", "sha1", "new_id")
 
 
+def dedupe_existing(spark, d):
+    """Contents that are not among those of another table: documents of a known
+    language whose text no document of an unknown language has."""
+    own = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "lang", F.sha1("text").alias("sha1"))
+    return cleaning.dedupe(own.where("lang IS NOT NULL").drop("lang"), own.where("lang IS NULL")).select("doc_id", "sha1")
+
+
 def document_titles(spark, d):
     """Titles from the crawl's metadata, where it has one, beside the first line of the text."""
     meta = queue(spark, d).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("title").alias("page_title"))
@@ -539,6 +580,19 @@ def stream_dedupe(spark, d):
     return spark.read.parquet(f"{folder}/out").select("sha1", _long("word_count"))
 
 
+MAX_NUMBERED = 500
+
+
+def stream_numbered(spark, d):
+    """The documents taken as a stream and numbered without gaps, up to a cap."""
+    folder = shared_dir(spark, "stream")
+    schema = "title string, text string, source_url string, fetched_at timestamp"
+    own = documents(spark, d).select(text.title_of(F.col("text")).alias("title"), "text", F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    own.write.parquet(f"{folder}/in")
+    ingest.stream_numbered(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", fmt="parquet", schema=schema, min_words=MIN_WORDS, max_documents=MAX_NUMBERED).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(_long("doc_id"), "filename")
+
+
 # ---------------------------------------------------- training-data problems
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return compact.same_records(compact.compact(table(spark, d, "file_info")).listing())
@@ -562,11 +616,11 @@ ALL: tuple[Query, ...] = (
     tokens, tokens_nfkc, tokens_no_lowercase, tokens_keep_hyphens, tokens_remove_numbers, tokens_strict_numbers, tokens_stopwords,
     ascii_tokens, doc_term_positions, postings, postings_all_positions, postings_of_tokens, vocabulary, posting_bytes, docids, index_stats, term_lookup,
     verify_index, verify_damaged, probe_terms, stemmed_vocabulary, stemmed_tokens, printed_results, query_probes, token_probes, corpus_files, token_files,
-    token_file_postings, token_file_ranks, stemmed_token_files, metadata_file, stopword_file, vocabulary_file, docids_file, stats_file, postings_file,
+    token_file_postings, token_file_ranks, stemmed_token_files, metadata_file, metadata_titles, api_members, api_extracts, backoffs, stopword_file, vocabulary_file, docids_file, stats_file, postings_file,
     postings_file_lookup, zipf_file, sql_tokenize, sql_clean_text, sql_stem, sql_boolean_match, *map(_search, SEARCHES), bool_with_titles, bool_by_sets, search_many, zipf_rank, zipf_top_n,
-    zipf_regression, zipf_regression_top_n, zipf_fit, stem_words, stem_log, stem_log_distinct, clean_docs, dedupe_sha1,
+    zipf_regression, zipf_regression_top_n, zipf_fit, stem_words, stem_log, stem_log_distinct, clean_docs, dedupe_sha1, dedupe_existing,
     document_titles, status_histogram, status_all, queue_steps, event_log, crawl_stats, page_queue_top, page_claim, requeued_pages, event_counts, category_bfs,
-    category_pages, category_depth, stream_dedupe, p2_found, p2_compact, p3_totals, p3_found,
+    category_pages, category_depth, stream_dedupe, stream_numbered, p2_found, p2_compact, p3_totals, p3_found,
 )
 
 

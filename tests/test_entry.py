@@ -30,7 +30,7 @@ def test_entry(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["docids", "index_stats", "bool_nested", "zipf_top_n", "dedupe_sha1", "status_histogram", "p2_found", "p3_totals"])
+@pytest.mark.parametrize("name", ["docids", "index_stats", "bool_nested", "zipf_top_n", "dedupe_sha1", "status_histogram", "query_probes", "token_probes", "verify_damaged", "postings_file", "corpus_files", "queue_steps", "p2_found", "p3_totals"])
 def test_equals_sql_twin(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -51,3 +51,30 @@ def test_package_is_shipped_once(spark):
     before = list(spark.sparkContext._python_includes)
     ship(spark)
     assert spark.sparkContext._python_includes == before and any(f.startswith("termloom-") for f in before)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from termloom import session
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Java:
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+    class Context:
+        master, _jsc = "yarn", Java()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session(), "x")

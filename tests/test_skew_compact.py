@@ -146,3 +146,15 @@ def test_uncommitted_is_refused(spark, tmp_path, monkeypatch):
 def test_no_files(spark, tmp_path):
     done = compact.compact(files_of(spark).limit(0), f"{tmp_path}/c")
     assert done.records().count() == 0 and compact.same_records(done.listing()).count() == 0
+
+
+def test_a_record_that_a_third_of_the_files_hold(spark):
+    files = [(i, f"f{i}", "same" if i % 3 == 0 else f"own {i % 200}") for i in range(300)]
+    df = spark.createDataFrame(files + files[:5], "file_no bigint, name string, body string")
+    done = compact.compact(df)
+    groups = {}
+    for i, _, body in files:
+        groups.setdefault(body, []).append(i)
+    assert rows(compact.record_groups(done.listing())) == sorted(((i, min(g)) for g in groups.values() if len(g) > 1 for i in g), key=repr)
+    assert rows(compact.same_records(done.listing())) == sorted(((a, b) for g in groups.values() for a in g for b in g if a < b), key=repr)
+    assert rows(done.records(), "file_no") == sorted(((min(g),) for g in groups.values()), key=repr)
