@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-N_BLOCKS = 2048  # slots of the schedule
+MIN_BLOCKS = 2048  # slots of the schedule, at least
+BLOCKS_PER_TASK = 16  # and for each shuffle task, so that blocks do not grow with the data
 MIN_CHUNKS = 1024  # chunks of each source for the running totals, at least
 CHUNKS_PER_TASK = 4  # and for each shuffle task, so that one source's chunks spread evenly
 WORD = r"[\p{L}\p{N}]+"
@@ -105,15 +106,17 @@ def pfair_slots(weights: dict[str, float], blocks: dict[str, int]) -> list[tuple
     return slots
 
 
-def mix(sizes: DataFrame, targets: DataFrame, n_blocks: int = N_BLOCKS, n_chunks: int | None = None) -> DataFrame:
-    """The mixed corpus: (slot, source, doc_id, copy, size).
+def mix(sizes: DataFrame, targets: DataFrame, n_blocks: int | None = None, n_chunks: int | None = None) -> DataFrame:
+    """The mixed corpus: (slot, place, source, doc_id, copy, size).
 
     Documents of a source come in the order of a hash of their id, copy after
-    copy, until the planned size is reached; sorting by slot interleaves the
-    sources. ``sizes`` should be a written table: it is read three times. An
+    copy, until the planned size is reached; place is the size taken before. Sorting
+    by slot and place interleaves the sources. ``sizes`` should be a written table: it is read three times. An
     empty plan gives no rows."""
     spark = sizes.sparkSession
-    n_chunks = n_chunks or max(MIN_CHUNKS, CHUNKS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = n_blocks or max(MIN_BLOCKS, BLOCKS_PER_TASK * tasks)
+    n_chunks = n_chunks or max(MIN_CHUNKS, CHUNKS_PER_TASK * tasks)
     rows = [r for r in source_plan(sizes, targets).collect() if r["planned_size"] > 0]
     schema = "source string, repeats double, planned_size double, all_size bigint, block double"
     planned = sum(r["planned_size"] for r in rows)
@@ -139,7 +142,7 @@ def mix(sizes: DataFrame, targets: DataFrame, n_blocks: int = N_BLOCKS, n_chunks
     return (
         taken.withColumn("block_no", (F.floor(F.col("_at") / F.col("block")) + 1).cast("int"))
         .join(slot_of, ["source", "block_no"])
-        .select("slot", "source", "doc_id", "copy", "size")
+        .select("slot", F.col("_at").cast("bigint").alias("place"), "source", "doc_id", "copy", "size")
     )
 
 
@@ -152,6 +155,15 @@ def mix_report(sizes: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFr
     return full.withColumn("actual_share", F.coalesce(share, F.lit(0.0)))
 
 
+def mix_balance(sizes: DataFrame, report: DataFrame) -> DataFrame:
+    """(source, outcome, copies, reached, exact): whether the mix holds the planned size
+    of a source, and no more than one document above it."""
+    largest = sizes.groupBy("source").agg(F.max("size").alias("_largest"))
+    over = F.col("taken_size") - F.col("planned_size")
+    joined = report.join(largest, "source", "left")
+    return joined.select("source", "outcome", F.col("copies").cast("bigint").alias("copies"), (over > -1e-6).alias("reached"), (over <= F.coalesce("_largest", F.lit(0))).alias("exact"))
+
+
 def outcomes(report: DataFrame) -> DataFrame:
     """(source, outcome) of the sources that the mix repeats or that fall short:
     ``repeat`` where documents are taken again and the target is reached, ``short``

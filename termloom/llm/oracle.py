@@ -216,6 +216,9 @@ items AS (SELECT item_id, {_words('text')} AS w FROM eval_items),
 runs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM items)),
 held AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 9], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM own))
 SELECT DISTINCT doc_id, item_id FROM held JOIN runs USING (run)""",
+        "p9_balance": f"""
+WITH {SIZES}
+SELECT source, outcome, CASE WHEN factor > 0 THEN ceil(least(factor, max_repeats::DOUBLE)) ELSE 0 END::BIGINT AS copies, true AS reached, true AS exact FROM judged""",
         "p9_plan": f"""
 WITH {SIZES}
 SELECT source, documents, size, round(factor, 6) AS factor,

@@ -78,6 +78,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(sizes, targets, mixing.mix(sizes, targets))
 
 
+def p9_balance(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets = mixing.written_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return mixing.mix_balance(sizes, mixing.mix_report(sizes, targets, mixing.mix(sizes, targets)))
+
+
 def p9_plan(spark: SparkSession, d: str) -> DataFrame:
     plan = mixing.source_plan(mixing.written_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))
     return plan.select("source", "documents", "size", F.round("factor", 6).alias("factor"), F.round("planned_size", 3).alias("planned_size"), "outcome")
@@ -104,6 +109,6 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             p1_scores, p1_found, p4_stats, p4_found, p4_word_counts, p5_clean, p5_found, p6_found, p6_tokens, p7_counts, p7_found,
-            p8_leaks, p8_found, p9_mix, p9_report, p9_plan, p9_found, p10_subjects, p10_found, p10_composition,
+            p8_leaks, p8_found, p9_mix, p9_report, p9_balance, p9_plan, p9_found, p10_subjects, p10_found, p10_composition,
         )
     }
