@@ -147,12 +147,13 @@ class StoredQueue:
                 break
         return entries[::-1]
 
-    def _commit(self, number: int, rows: DataFrame, base: bool = False) -> None:
+    def _commit(self, number: int, rows: DataFrame, base: bool = False) -> dict:
         folder = f"rows-{number:08d}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{folder}")
         entry = {"number": number, "folder": folder, "base": base, "schema": rows.schema.json()}
         if not write_small(self.spark, self._entry(number), json.dumps(entry)):
             raise ConflictError(f"step {number} of {self.path} was taken")
+        return entry
 
     def _read(self, entry: dict) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(entry["schema"]))
@@ -180,8 +181,7 @@ class StoredQueue:
         """Takes the next ``n`` pages in one step and returns them as they now are."""
         number, state = self._at()
         chosen = next_pages(state, n, max_attempts)
-        self._commit(number + 1, claim(chosen, chosen))
-        return self._read(self.log()[-1])
+        return self._read(self._commit(number + 1, claim(chosen, chosen)))
 
     def apply(self, results: DataFrame) -> None:
         """Results of claimed pages, in one step; results of unknown pages are ignored."""
