@@ -63,7 +63,8 @@ _end = re.compile(r"(?<=[.!?…])[\"'»”“)\]]*\s+")
 _vowels = frozenset("aeiouyäöüéаеёиоуыэюяіｅａı")
 _letters = re.compile(r"[^\W\d_]+")
 _bullet = re.compile(r"^\s*(?:[-*+•·–—]|\(?\d{1,4}[.)]|\(?[a-zа-я][.)])\s+", re.I)
-_terminal = re.compile(r"[.!?…:;][\"'»”“)\]]*$")
+_ENDS = frozenset(".!?…:;")
+_closers = "\"'»”“)]"
 _encoded = re.compile(r"(?<![^\s])(?=\S*\d)[0-9A-Za-z+/=_-]{24,}(?![^\s])")
 _numbers = re.compile(r"\d+")
 
@@ -83,6 +84,11 @@ def split_title(text: str) -> tuple[str, str]:
     return (head, rest) if rest.strip() else ("", text)
 
 
+def is_ended(text: str) -> bool:
+    """Whether a piece or line ends like a sentence."""
+    return text.rstrip(_closers)[-1:] in _ENDS
+
+
 def _repeated(items: list[str]) -> float:
     total = sum(map(len, items))
     if not total:
@@ -118,19 +124,19 @@ def is_prose(piece: str, words: list[str], common: int, kinds: int, connected: b
     n = len(words)
     if common < MIN_COMMON * n:
         return False
-    if sum(map(len, _numbers.findall(piece))) > MAX_DIGITS * len(piece):
+    if len("".join(_numbers.findall(piece))) > MAX_DIGITS * len(piece):
         return False
-    loose = n > MAX_SENTENCE or not _terminal.search(piece)
+    loose = n > MAX_SENTENCE or not is_ended(piece)
     if kinds < min(MAX_KINDS, 1 + n // WORDS_A_KIND) and (loose or kinds or not connected or n > MAX_BARE):
         return False
-    if (loose or repetitive) and sum(w in CONNECTING for w in words) < MIN_LOOSE * n:
+    if (loose or repetitive) and sum(map(CONNECTING.__contains__, words)) < MIN_LOOSE * n:
         return False
     if repetitive and (loose or kinds < 2):
         return False
     if loose and coverage(words) > MAX_COVERAGE:
         return False
     letters = MIN_LETTERS * (len(piece) - piece.count(" "))
-    if sum(map(len, filter(str.isalpha, words))) < letters and sum(map(len, _letters.findall(piece))) < letters:
+    if len("".join(filter(str.isalpha, words))) < letters and len("".join(_letters.findall(piece))) < letters:
         return False
     long = [w for w in words if len(w) > 2]
     return not long or sum(map(_vowels.isdisjoint, long)) <= MAX_VOWELLESS * len(long)
@@ -142,14 +148,14 @@ def is_foreign_prose(piece: str, words: list[str]) -> bool:
     length, running words in lower case, short words among longer ones, letters and
     vowels. Scripts without spaces between words are not judged so."""
     n = len(words)
-    if not MIN_WORDS <= n <= MAX_SENTENCE or not _terminal.search(piece):
+    if not MIN_WORDS <= n <= MAX_SENTENCE or not is_ended(piece):
         return False
     short = sum(len(w) <= SHORT_WORD and w.isalpha() for w in words)
     if not SHORT_SHARES[0] * n <= short <= SHORT_SHARES[1] * n:
         return False
     if sum(not w.lstrip(_edge)[:1].isupper() for w in piece.split()) < MIN_RUNNING * n:
         return False
-    if sum(map(len, _numbers.findall(piece))) > MAX_DIGITS * len(piece):
+    if len("".join(_numbers.findall(piece))) > MAX_DIGITS * len(piece):
         return False
     if sum(map(len, _letters.findall(piece))) < MIN_LETTERS * (len(piece) - piece.count(" ")):
         return False
@@ -196,7 +202,7 @@ def judged(body: str) -> tuple[list[tuple[str, list[str], int, bool]], list[str]
             boilerplate = {part for part, n in times.items() if n > 1}
         else:  # labels, however they are ended
             boilerplate = {part for part, own in parts if times[part] > 1 and len(own) < MIN_REPEATED_WORDS}
-    common = [len([w for w in own if w in COMMON]) for _, own in parts]
+    common = [sum(map(COMMON.__contains__, own)) for _, own in parts]
     foreign = not repetitive and sum(common) < MIN_COMMON * len(words)
     out = []
     for (part, own), k, n in zip(parts, kinds, common):
@@ -240,7 +246,7 @@ def measure(text: str | None) -> tuple:
     symbols = 1 - (letters + digits) / dense
     digit = digits / dense
     common = in_common / n
-    ended = sum(bool(_terminal.search(x)) for x in lines) / len(lines)
+    ended = sum(map(is_ended, lines)) / len(lines)
     bullets = sum(bool(_bullet.match(x)) for x in lines) / len(lines)
     encoded = sum(map(len, _encoded.findall(body))) / len(body)
     prose = in_prose / total
