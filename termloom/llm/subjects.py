@@ -146,20 +146,22 @@ def with_found_subjects(sample: Sample, subjects: list[str]) -> Sample:
     for sents in sample.docs:
         df[list({w for s in sents for w in s})] += 1
     docs, known = [sample.docs[i] for i in labelled], [sample.subjects[i] for i in labelled]
+    flat = np.array([x for i in rest for s in sample.docs[i] for x in (*s, -1)], dtype=np.int64)
+    ends = np.flatnonzero(flat == -1)
+    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+    doc = np.repeat(np.arange(len(rest)), [len(sample.docs[i]) for i in rest])
     for _ in range(FILL_ROUNDS):
         model = fit(Sample(sample.vocabulary, docs, known), df, len(sample.docs), subjects)
         docs, known = [sample.docs[i] for i in labelled], [sample.subjects[i] for i in labelled]
-        for i in rest:
-            flat = np.array([x for s in sample.docs[i] for x in (*s, -1)], dtype=np.int64)
-            ends = np.flatnonzero(flat == -1)
-            if not len(ends):
-                continue
-            found = model.sentence_subjects(flat, np.r_[0, ends[:-1] + 1])
-            counts = np.bincount(found[found >= 0], minlength=len(subjects))
-            sure = np.flatnonzero(counts >= MIN_SHARE * max(counts.sum(), 1)) if counts.sum() >= MIN_SURE else []
-            if len(sure) and counts[sure].sum() >= SURE_SHARE * counts.sum():
-                docs.append(sample.docs[i])
-                known.append({subjects[k] for k in sure})
+        found = model.sentence_subjects(flat, starts)
+        counts = np.zeros((len(rest), len(subjects)), np.int64)
+        np.add.at(counts, (doc[found >= 0], found[found >= 0]), 1)
+        total = counts.sum(1)
+        about = (counts > 0) & (counts >= MIN_SHARE * total[:, None])
+        sure = (total >= MIN_SURE) & ((counts * about).sum(1) >= SURE_SHARE * total)
+        for k in np.flatnonzero(sure):
+            docs.append(sample.docs[rest[k]])
+            known.append({subjects[x] for x in np.flatnonzero(about[k])})
     return Sample(sample.vocabulary, docs, known)
 
 
@@ -221,9 +223,10 @@ def counts_by_document(sample: Sample, index: dict[str, int]) -> np.ndarray:
 def counts_by_sentence(sample: Sample, n_subjects: int, subject: np.ndarray) -> np.ndarray:
     """Sentences of each subject that hold each word; ``subject`` is -1 for none."""
     counts = np.zeros((len(sample.vocabulary), n_subjects))
-    for words, s in zip((s for sents in sample.docs for s in sents), subject):
-        if s >= 0:
-            counts[list(set(words)), s] += 1
+    found = [(words, s) for words, s in zip((s for sents in sample.docs for s in sents), subject) if s >= 0 and words]
+    flat = [list(set(words)) for words, _ in found]
+    if flat:
+        np.add.at(counts, (np.concatenate(flat), np.repeat([s for _, s in found], [len(w) for w in flat])), 1)
     return counts
 
 
@@ -239,6 +242,16 @@ def information(counts: np.ndarray) -> np.ndarray:
     return np.where(counts.sum(1) > 0, info, 0)
 
 
+def orthonormal(z: np.ndarray) -> np.ndarray:
+    """Orthonormal columns of the same span, by the Cholesky factor of their small
+    product matrix; by QR where that has not full rank."""
+    g = z.astype(np.float64).T @ z.astype(np.float64)
+    try:
+        return (z @ np.linalg.inv(np.linalg.cholesky(g)).T).astype(np.float32)
+    except np.linalg.LinAlgError:
+        return np.linalg.qr(z)[0].astype(np.float32)
+
+
 def truncated_svd(rows: list[dict[int, float]], n_words: int, k: int, rounds: int = 4) -> np.ndarray:
     """Right singular vectors (n_words x k) of the weighted document matrix, by
     randomised subspace iteration with a fixed seed."""
@@ -246,7 +259,7 @@ def truncated_svd(rows: list[dict[int, float]], n_words: int, k: int, rounds: in
     word = np.array([w for r in rows for w in r], dtype=np.int64)
     value = np.array([v for r in rows for v in r.values()], dtype=np.float32)[:, None]
     k = max(1, min(k, len(rows), n_words))
-    q = np.linalg.qr(np.random.default_rng(7).standard_normal((n_words, k)))[0].astype(np.float32)
+    q = orthonormal(np.random.default_rng(7).standard_normal((n_words, k)))
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
     by_word = np.argsort(word, kind="stable")
     w_sorted = word[by_word]
@@ -258,7 +271,7 @@ def truncated_svd(rows: list[dict[int, float]], n_words: int, k: int, rounds: in
         y[at[starts]] = np.add.reduceat(value * q[word], starts)
         z = np.zeros((n_words, k), dtype=np.float32)
         z[w_sorted[w_starts]] = np.add.reduceat(value[by_word] * y[at[by_word]], w_starts)
-        q = np.linalg.qr(z)[0].astype(np.float32)
+        q = orthonormal(z)
     return q
 
 
@@ -302,10 +315,10 @@ def fit_once(sample: Sample, counts: np.ndarray, df: np.ndarray, n_docs: int, su
     weight = np.where(info >= MIN_INFORMATION, info * np.log((n_docs + 1) / (df + 0.5)).clip(0), 0).astype(np.float32)
     rows = []
     for sents in sample.docs:
-        tf = Counter(w for s in sents for w in s if weight[w] > 0)
-        row = {w: (1 + math.log(c)) * float(weight[w]) for w, c in tf.items()}
-        norm = math.sqrt(sum(v * v for v in row.values()))
-        rows.append({w: v / norm for w, v in row.items()} if norm else row)
+        at, tf = np.unique(np.fromiter((w for s in sents for w in s), dtype=np.int64), return_counts=True)
+        at, tf = at[weight[at] > 0], tf[weight[at] > 0]
+        value = (1 + np.log(tf)) * weight[at]
+        rows.append(dict(zip(at.tolist(), (value / max(np.linalg.norm(value), 1e-9)).tolist())))
     basis = truncated_svd(rows, n, DIMENSIONS)
     latent = np.vstack([unit(basis) * weight[:, None], np.zeros((1, basis.shape[1]), np.float32)]).astype(np.float32)
 
@@ -313,7 +326,8 @@ def fit_once(sample: Sample, counts: np.ndarray, df: np.ndarray, n_docs: int, su
     seeds: dict[str, list[np.ndarray]] = defaultdict(list)
     for row, known in zip(rows, sample.subjects):
         if len(known) == 1 and row:
-            v = sum(value * latent[w] / max(weight[w], 1e-9) for w, value in row.items())
+            at = np.fromiter(row, dtype=np.int64)
+            v = (np.fromiter(row.values(), dtype=np.float32) / np.maximum(weight[at], 1e-9)) @ latent[at]
             seeds[next(iter(known))].append(unit(v))
     centroids, owner = [], []
     for i, s in enumerate(subjects):
