@@ -216,18 +216,22 @@ def open_compaction(spark: SparkSession, folder: str) -> Compaction:
 
 def record_groups(listing: DataFrame) -> DataFrame:
     """(file_no, representative) of every file whose record another file has as well;
-    the representative is the lowest file_no with that record. Files of a record that
-    very many have are split over the tasks."""
-    held = listing.where("digest IS NOT NULL").select("file_no", F.hex("digest").alias("digest"))
-    shared = held.groupBy("digest").agg(F.count_distinct("file_no").alias("_n"), F.min("file_no").alias("representative")).where("_n > 1").drop("_n")
-    return fragment_replicate_join(held, shared, "digest", "file_no", "inner").select("file_no", "representative")
+    the representative is the lowest file_no with that record.
+
+    Counts are combined before the shuffle, and a digest has one row on the other
+    side of the join, so the engine's adaptive skew join splits a record that very
+    many files have."""
+    held = listing.where("digest IS NOT NULL").select("file_no", "digest")
+    shared = held.groupBy("digest").agg(F.min("file_no").alias("representative"), F.max("file_no").alias("_last")).where("representative < _last").drop("_last")
+    return held.join(shared, "digest").select("file_no", "representative")
 
 
 def same_records(listing: DataFrame) -> DataFrame:
     """(file_a, file_b), file_a < file_b: all pairs of files with the same record,
-    expanded from ``record_groups`` shard by shard. Records of one file take no part
-    in the pairing."""
+    expanded from ``record_groups`` shard by shard, so no task makes all pairs of a
+    large group. Records of one file take no part in the pairing; two files that
+    share several records have a row for each."""
     members = written(record_groups(listing), "groups")
     a = members.select(F.col("file_no").alias("file_a"), "representative")
     b = members.select(F.col("file_no").alias("file_b"), "representative")
-    return fragment_replicate_join(a, b, "representative", "file_a", "inner").where("file_a < file_b").select("file_a", "file_b").distinct()
+    return fragment_replicate_join(a, b, "representative", "file_a", "inner").where("file_a < file_b").select("file_a", "file_b")
