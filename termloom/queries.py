@@ -324,7 +324,7 @@ def corpus_files(spark, d):
 
 def _token_files(spark: SparkSession, d: str) -> str:
     folder = shared_dir(spark, "tokens")
-    sinks.write_tokens(plain_tokens(spark, d), folder)
+    sinks.write_document_tokens(documents(spark, d), folder, normalise=False)
     return folder
 
 
@@ -339,8 +339,7 @@ def token_files(spark, d):
 
 def token_file_postings(spark, d):
     """The index of token files, which leaves position 0 out."""
-    lists = files.explode_token_lists(files.read_tokens(spark, _token_files(spark, d)))
-    return index.build_postings(lists).select("term", "doc_id", _long("term_freq"))
+    return files.read_token_postings(spark, _token_files(spark, d)).select("term", "doc_id", _long("term_freq"))
 
 
 def token_file_ranks(spark, d):

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import document_number, title_of
 from ..session import empty, exists
-from .named import file_system
+from .named import contents, dealt, file_system, listed
 
 log = logging.getLogger("termloom.sources")
 
@@ -33,11 +36,102 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "doc*.txt") -> Da
     )
 
 
+CHUNK_BYTES = 4 << 20  # of token files that are cut into lines at a time, about
+CHUNK_FILES = 1000
+_ODD = (b"\t", b"\r", b"  ", b" \n", b"\n ", b"\xef\xbb\xbf")
+
+
+def token_chunks(read: Iterator[tuple[int, str, bytes]]) -> Iterator[tuple[list[int], list[str], list[bytes]]]:
+    """Token files in chunks (doc_nums, names, contents); those of one document are together."""
+    docs: list[int] = []
+    names: list[str] = []
+    texts: list[bytes] = []
+    size = 0
+    for doc, name, content in read:
+        if docs and docs[-1] != doc and (size > CHUNK_BYTES or len(docs) >= CHUNK_FILES):
+            yield docs, names, texts
+            docs, names, texts, size = [], [], [], 0
+        docs.append(doc)
+        names.append(name)
+        texts.append(content)
+        size += len(content)
+    if docs:
+        yield docs, names, texts
+
+
+def cut_lines(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(which text, token, rest) of the lines of token files; blank lines are skipped.
+
+    Arrow cuts texts whose lines have single spaces only; others are cut one by one."""
+    whole = b"\n".join(texts)
+    if any(sign in whole for sign in _ODD) or whole[:1] == b" " or whole[-1:] == b" ":
+        which, tokens, rests = [], [], []
+        for i, text in enumerate(texts):
+            for line in re.split(rb"\r\n|\r|\n", text.removeprefix(b"\xef\xbb\xbf")):
+                line = line.strip(b" ")
+                if line:
+                    fields = re.split(rb"[ \t]+", line, maxsplit=1)
+                    which.append(i)
+                    tokens.append(fields[0])
+                    rests.append(fields[1] if len(fields) > 1 else b"")
+        return np.array(which, dtype=np.int64), pa.array(tokens, pa.binary()), pa.array(rests, pa.binary())
+    lists = pc.split_pattern(pa.array(texts, pa.binary()), "\n")
+    lines = lists.flatten()
+    which = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    kept = pc.greater(pc.binary_length(lines), 0)
+    fields = pc.split_pattern(lines.filter(kept), " ", max_splits=1)
+    several = pc.list_value_length(fields).to_numpy(zero_copy_only=False)
+    first = np.cumsum(several) - several
+    values = fields.flatten()
+    rests = values.take(pa.array(first + 1, mask=several < 2)).fill_null(b"")
+    return which[kept.to_numpy(zero_copy_only=False)], values.take(pa.array(first)), rests
+
+
+def _position(field: bytes) -> int:
+    found = re.match(rb"[+-]?\d{1,9}", field)
+    return int(found[0]) if found else 0
+
+
+def cut_positions(rests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(how many, positions) of the rests of token lines, which are not empty. Arrow
+    reads plain numbers of up to 9 signs; where there is anything else each is read by itself."""
+    fields = pc.split_pattern(rests, " ")
+    flat = fields.flatten()
+    try:
+        if not (pc.max(pc.binary_length(flat)).as_py() or 0) > 9 and not pc.any(pc.match_substring_regex(flat, "[^0-9-]")).as_py():
+            positions = flat.cast(pa.string()).cast(pa.int32()).to_numpy(zero_copy_only=False)
+            return pc.list_value_length(fields).to_numpy(zero_copy_only=False).astype(np.int64), positions
+    except pa.ArrowInvalid:
+        pass
+    lists = [[_position(x) for x in re.split(rb"[ \t]+", rest)] for rest in rests.to_pylist()]
+    return np.array([len(p) for p in lists], dtype=np.int64), np.array([x for p in lists for x in p], dtype=np.int32)
+
+
+def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _token_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Token files, dealt by their document."""
+    return dealt(listed(spark, path, pattern), document_number(F.col("filename")))
+
+
+def _batch(**columns: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def read_token_lines(spark: SparkSession, path: str, pattern: str = "*.tokens") -> DataFrame:
     """(filename, doc_num, token, rest) of token files, ``rest`` as it stands; blank lines are skipped."""
-    lines = _named(spark.read.text(path, pathGlobFilter=pattern)).where(F.trim("value") != "")
-    fields = F.split(F.trim("value"), r"[ \t]+", 2)
-    return lines.select("filename", document_number(F.col("filename")).alias("doc_num"), fields[0].alias("token"), F.coalesce(F.try_element_at(fields, F.lit(2)), F.lit("")).alias("rest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, names, texts in token_chunks(contents(batches)):
+            which, tokens, rests = cut_lines(texts)
+            at = pa.array(which)
+            yield _batch(filename=pa.array(names).take(at), doc_num=pa.array(docs, pa.int32()).take(at), token=tokens, rest=rests)
+
+    # bytes become strings as they are
+    found = _token_files(spark, path, pattern).mapInArrow(run, "filename string, doc_num int, token binary, rest binary")
+    return found.select("filename", "doc_num", F.col("token").cast("string").alias("token"), F.col("rest").cast("string").alias("rest"))
 
 
 def read_tokens(spark: SparkSession, path: str, pattern: str = "doc*.tokens", positive: bool = True) -> DataFrame:
@@ -45,10 +139,53 @@ def read_tokens(spark: SparkSession, path: str, pattern: str = "doc*.tokens", po
 
     A position is the number a field begins with, 0 if there is none. With
     ``positive`` only positions above 0 are kept. Lines without positions are left out."""
-    lines = read_token_lines(spark, path, pattern).where("rest <> ''")
-    at = F.transform(F.split("rest", r"[ \t]+"), lambda x: F.coalesce(F.regexp_extract(x, r"^[+-]?\d{1,9}", 0).try_cast("int"), F.lit(0)))
-    positions = F.filter(at, lambda p: p > 0) if positive else at
-    return lines.select("doc_num", "token", positions.alias("positions")).where(F.size("positions") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, _, texts in token_chunks(contents(batches)):
+            which, tokens, lengths, positions = _positioned(texts, positive)
+            yield _batch(doc_num=pa.array(docs, pa.int32()).take(pa.array(which)), token=tokens, positions=_lists(lengths, positions))
+
+    found = _token_files(spark, path, pattern).mapInArrow(run, "doc_num int, token binary, positions array<int>")
+    return found.select("doc_num", F.col("token").cast("string").alias("token"), "positions")
+
+
+def _positioned(texts: list[bytes], positive: bool) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(which text, token, how many positions) of the lines with positions, and all the positions."""
+    which, tokens, rests = cut_lines(texts)
+    kept = pc.greater(pc.binary_length(rests), 0)
+    which, tokens = which[kept.to_numpy(zero_copy_only=False)], tokens.filter(kept)
+    lengths, positions = cut_positions(rests.filter(kept))
+    if positive:
+        above = positions > 0
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[above], minlength=len(lengths))
+        some = lengths > 0
+        which, tokens, lengths, positions = which[some], tokens.filter(pa.array(some)), lengths[some], positions[above]
+    return which, tokens, lengths, positions
+
+
+def read_token_postings(spark: SparkSession, path: str, pattern: str = "doc*.tokens") -> DataFrame:
+    """(term, doc_id, term_freq, positions): what ``build_postings`` gives for the
+    lists of ``read_tokens``, without a shuffle of them. One task reads the files of a
+    document, so its repeated lines of a token are merged where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, _, texts in token_chunks(contents(batches)):
+            which, tokens, lengths, positions = _positioned(texts, True)
+            words = tokens.dictionary_encode()
+            numbers, row = np.unique(np.array(docs, dtype=np.int64), return_inverse=True)
+            several = max(len(words.dictionary), 1)
+            group = np.repeat(row[which] * several + words.indices.to_numpy(zero_copy_only=False), lengths)
+            order = np.lexsort((positions, group))
+            group = group[order]
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[first, len(group)])
+            yield _batch(
+                term=words.dictionary.take(pa.array(group[first] % several)), doc_id=pa.array(numbers[group[first] // several]),
+                term_freq=pa.array(n.astype(np.int32)), positions=_lists(n, positions[order]),
+            )
+
+    found = _token_files(spark, path, pattern).mapInArrow(run, "term binary, doc_id bigint, term_freq int, positions array<int>")
+    return found.select(F.col("term").cast("string").alias("term"), "doc_id", "term_freq", "positions")
 
 
 def explode_token_lists(lists: DataFrame, key: str = "doc_num") -> DataFrame:

@@ -8,17 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stem_ru
+from ..functions.text import folded, tokens_array
 from ..operators.index import Index
 from ..operators.skew import fragment_replicate_join
 from ..operators.zipf import zipf_regression
 from .named import WRITTEN, file_system, put, write_named
 
 
+TOKEN_FILE = "doc%05d.tokens"
+
+
 def document_text(documents: DataFrame) -> DataFrame:
     """(filename, value): title, blank line, text."""
     return documents.select("filename", F.concat_ws("\n\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("value"))
@@ -44,7 +50,7 @@ def token_lines(tokens: DataFrame, positions: bool = True) -> DataFrame:
 def _token_files(lines: DataFrame) -> DataFrame:
     """(filename, value) of (doc_id, term, value) lines: a document's lines in the order of their terms."""
     lists = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "value"))).alias("l"))
-    return lists.select(F.format_string("doc%05d.tokens", "doc_id").alias("filename"), F.concat(F.array_join("l.value", "\n"), F.lit("\n")).alias("value"))
+    return lists.select(F.format_string(TOKEN_FILE, "doc_id").alias("filename"), F.concat(F.array_join("l.value", "\n"), F.lit("\n")).alias("value"))
 
 
 def write_tokens(tokens: DataFrame, path: str, positions: bool = True) -> int:
@@ -52,6 +58,66 @@ def write_tokens(tokens: DataFrame, path: str, positions: bool = True) -> int:
     return write_named(_token_files(token_lines(tokens, positions)), path)
 
 
+TEXTS_AT_ONCE = 1000  # documents whose token lists are made at a time
+
+
+def _joined_lines(docs: np.ndarray, lines: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """The documents of lines, and for each its lines joined; a document's lines follow each other."""
+    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(docs)].astype(np.int32)), lines)
+    return docs[first], pc.binary_join(lists, b"\n" if lines.type == pa.binary() else "\n").cast(pa.binary()).to_pylist()
+
+
+def _token_texts(docs: np.ndarray, lists: pa.Array, positions: bool) -> tuple[np.ndarray, list[bytes]]:
+    """Token files of documents and their lists of tokens: the tokens become numbers in
+    their order, and a stable sort by (row, number) brings each one's positions together."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    words = lists.flatten().dictionary_encode()
+    if not len(words):
+        return docs[:0], []
+    order_of = pc.sort_indices(words.dictionary)
+    number = np.empty(len(order_of), dtype=np.int64)
+    number[order_of.to_numpy(zero_copy_only=False)] = np.arange(len(order_of))
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    group = row * len(number) + number[words.indices.to_numpy(zero_copy_only=False)]
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    lines = words.dictionary.take(order_of.take(pa.array(group[first] % len(number))))
+    if positions:
+        found = pa.ListArray.from_arrays(pa.array(np.r_[first, len(group)].astype(np.int32)), pa.array(at[order]).cast(pa.string()))
+        lines = pc.binary_join_element_wise(lines, pc.binary_join(found, " "), " ")
+    rows, texts = _joined_lines(group[first] // len(number), lines)
+    return docs[rows], texts
+
+
+def write_document_tokens(
+    documents: DataFrame, path: str, text: str = "text", key: str = "doc_id", positions: bool = True, *, normalise: bool = True, lowercase: bool = True, keep_hyphens: bool = False
+) -> int:
+    """What ``write_tokens`` does for the tokens of whole documents, without a shuffle:
+    a document's tokens stand in one row. ``key`` must be unique; a document without
+    tokens or without a key has no file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = file_system(path)
+        for b in batches:
+            n = 0
+            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(at, TEXTS_AT_ONCE)
+                docs, texts = _token_texts(part.column(0).to_numpy(zero_copy_only=False), part.column(1), positions)
+                for doc, content in zip(docs.tolist(), texts):
+                    put(where, f"{base}/{TOKEN_FILE % doc}", content + b"\n")
+                n += len(texts)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    target, base = file_system(path)
+    target.create_dir(base, recursive=True)
+    tokens = tokens_array(folded(F.col(text), normalise, lowercase), keep_hyphens)
+    rows = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), tokens.alias("tokens"))
+    return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def write_stemmed_tokens(lines: DataFrame, path: str) -> int:
     """``.tokens`` files of token lines (doc_num, token, rest) with stems for tokens.
     The lines keep their order, so a stem may stand on several of them."""

@@ -30,6 +30,44 @@ def test_corpus_and_tokens(spark, tmp_path):
     assert files.explode_token_lists(files.read_tokens(spark, str(tmp_path))).count() == 5
 
 
+ODD_FILES = {
+    "doc00001.tokens": b"a 2 0 1\nb 1\nd\n\n", "doc00001_more.tokens": b"\xef\xbb\xbf  a 3 1\r\nc\t0x1F 4\tz\r\n", "doc00002.tokens": b"a 12345678901 +5 -2 007\nb  7\na 9",
+    "doc-3.tokens": "книга 1 2\n".encode() * 2, "docx.tokens": b"e 1 \n f 2\n\tg 3\n", "doc00004.tokens": b"", "_doc00005.tokens": b"h 1\n", "other.tokens": b"i 1\n",
+}
+
+
+def test_many_token_files(spark, tmp_path):
+    """Small files are read many in a task, and a document's lists of a token meet without a shuffle of them."""
+    for name, content in ODD_FILES.items():
+        (tmp_path / name).write_bytes(content)
+    found = files.read_tokens(spark, f"file:{tmp_path}")
+    assert rows(found) == rows(files.read_tokens(spark, f"{tmp_path.parent}/{tmp_path.name[:-1]}[{tmp_path.name[-1]}]")) == sorted(
+        [(1, "a", [2, 1]), (1, "b", [1]), (1, "a", [3, 1]), (1, "c", [4]), (2, "a", [123456789, 5, 7]), (2, "b", [7]), (2, "a", [9]), (-3, "книга", [1, 2]), (-3, "книга", [1, 2])]
+        + [(-1, "e", [1]), (-1, "f", [2]), (-1, "", [3])], key=repr,
+    )
+    assert (2, "a", [123456789, 5, -2, 7]) in rows(files.read_tokens(spark, str(tmp_path), positive=False))
+    assert ("doc00001.tokens", 1, "d", "") in rows(files.read_token_lines(spark, str(tmp_path))) and files.read_token_lines(spark, str(tmp_path), "{other,docx}.*").count() == 4
+    postings = files.read_token_postings(spark, str(tmp_path))
+    assert rows(postings) == rows(index.build_postings(files.explode_token_lists(found))) and (("a", 1, 4, [1, 1, 2, 3])) in rows(postings)
+    with pytest.raises(FileNotFoundError):
+        files.read_tokens(spark, f"{tmp_path}/none")
+    for i in range(300):
+        (tmp_path / f"doc{i + 10:05d}.tokens").write_text(f"t{i} 1 2\nt 3\n")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    many = files.read_token_postings(spark, str(tmp_path), "doc?????.tokens")
+    assert many.rdd.getNumPartitions() == files.read_tokens(spark, str(tmp_path)).rdd.getNumPartitions() == n and many.where("term = 't' AND term_freq = 1").count() == 300
+    assert "Aggregate" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_document_token_files(spark, tmp_path):
+    own = spark.createDataFrame([(1, "b a A книги"), (2, None), (3, "…"), (None, "c"), (100000, "a-b a\nё 𝒳")], "doc_id int, text string")
+    for positions in (True, False):
+        assert sinks.write_document_tokens(own, f"{tmp_path}/{positions}", positions=positions) == 2 == sinks.write_tokens(text.tokenize(own.where("doc_id > 0")), f"{tmp_path}/rows{positions}", positions)
+        for name in ("doc00001.tokens", "doc100000.tokens"):
+            assert (tmp_path / str(positions) / name).read_bytes() == (tmp_path / f"rows{positions}" / name).read_bytes()
+    assert (tmp_path / "True" / "doc00001.tokens").read_text() == "a 1 2\nb 0\nкниги 3\n" and sinks.write_document_tokens(own.limit(0), f"{tmp_path}/none") == 0
+
+
 def test_token_files_round_trip(spark, tmp_path):
     tokens = spark.createDataFrame([(1, 0, "b"), (1, 2, "a"), (1, 1, "a"), (2, 0, "книгой"), (2, 1, "книги"), (2, 2, "a")], "doc_id bigint, pos int, term string")
     assert sinks.write_tokens(tokens, f"{tmp_path}/out") == 2 and (tmp_path / "out" / "doc00001.tokens").read_text() == "a 1 2\nb 0\n"
