@@ -19,8 +19,9 @@ from .functions.sql import register_functions
 from .operators import compact, crawl, index, skew, zipf
 from .plans import search as searching
 from .plans.query import parse_query, print_query
-from .session import exists, fingerprint, is_folder, shared_dir, table, written
+from .session import exists, fingerprint, is_folder, shared_dir, table, written, written_path
 from .sources import files, sinks
+from .sources.named import remove
 from .sources.sinks import plot_lines, token_lines
 from .streaming import ingest
 
@@ -328,6 +329,25 @@ def _token_files(spark: SparkSession, d: str) -> str:
     return folder
 
 
+ROUNDS = 4  # of writing and using token files
+
+
+def _of_token_files(spark: SparkSession, d: str, use: Callable[[str], DataFrame]) -> DataFrame:
+    """Rows that ``use`` makes of the token files in a folder. A file takes a block of
+    the disk however short it is, all of them 4.6 times the bytes of the documents. So
+    those of a part of the documents are written, used and deleted before the next
+    part's, and the rows of all are kept in tables."""
+    parts = []
+    for i in range(ROUNDS):
+        folder = shared_dir(spark, "tokens")
+        own = documents(spark, d).where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i)
+        sinks.write_document_tokens(own, f"{folder}/tokens", normalise=False)
+        rows = use(f"{folder}/tokens")
+        parts.append(written_path(rows, "rows"))
+        remove(folder)
+    return spark.read.schema(rows.schema).parquet(*parts)
+
+
 def _joined(c: str):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
 
@@ -339,7 +359,8 @@ def token_files(spark, d):
 
 def token_file_postings(spark, d):
     """The index of token files, which leaves position 0 out."""
-    return files.read_token_postings(spark, _token_files(spark, d)).select("term", "doc_id", _long("term_freq"))
+    found = _of_token_files(spark, d, lambda folder: files.read_token_postings(spark, folder).select("term", "doc_id", "term_freq"))
+    return found.select("term", "doc_id", _long("term_freq"))
 
 
 def token_file_ranks(spark, d):
@@ -348,9 +369,11 @@ def token_file_ranks(spark, d):
 
 
 def stemmed_token_files(spark, d):
-    folder = shared_dir(spark, "stems")
-    sinks.write_stemmed_tokens(files.read_token_lines(spark, _token_files(spark, d)), folder)
-    return files.read_token_lines(spark, folder).select(_long("doc_num"), F.col("token").alias("stem"), F.col("rest").alias("positions"))
+    def stems(folder: str) -> DataFrame:
+        sinks.stem_token_files(spark, folder, f"{folder}/stems")
+        return files.read_token_lines(spark, f"{folder}/stems").select("doc_num", "token", "rest")
+
+    return _of_token_files(spark, d, stems).select(_long("doc_num"), F.col("token").alias("stem"), F.col("rest").alias("positions"))
 
 
 def metadata_file(spark, d):

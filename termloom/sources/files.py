@@ -188,6 +188,32 @@ def read_token_postings(spark: SparkSession, path: str, pattern: str = "doc*.tok
     return found.select(F.col("term").cast("string").alias("term"), "doc_id", "term_freq", "positions")
 
 
+def read_token_columns(spark: SparkSession, path: str, pattern: str = "*.tokens") -> DataFrame:
+    """Token files as columns, a row for the many files that are read at a time: their
+    documents and how many lines each has, the different tokens, and for the lines, by
+    document, token and rest, the place of their token and their rest. All lines of a
+    document are in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, _, texts in token_chunks(contents(batches)):
+            which, tokens, rests = cut_lines(texts)
+            words = tokens.dictionary_encode()
+            different = words.dictionary.take(order := pc.sort_indices(words.dictionary))
+            number = np.empty(len(order), dtype=np.int64)
+            number[order.to_numpy(zero_copy_only=False)] = np.arange(len(order))
+            numbers, row = np.unique(np.array(docs, dtype=np.int64), return_inverse=True)
+            key = row[which] * max(len(order), 1) + number[words.indices.to_numpy(zero_copy_only=False)]
+            if not (np.diff(key) > 0).all():
+                placed = pc.sort_indices(pa.table({"key": key, "rest": rests}), sort_keys=[("key", "ascending"), ("rest", "ascending")])
+                key, rests = key[placed.to_numpy(zero_copy_only=False)], rests.take(placed)
+            at, n = np.divmod(key, max(len(order), 1))
+            lines = np.bincount(at, minlength=len(numbers))
+            columns = {"docs": pa.array(numbers[lines > 0]), "lines": pa.array(lines[lines > 0].astype(np.int32)), "tokens": different, "places": pa.array(n.astype(np.int32)), "rests": rests}
+            yield _batch(**{name: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for name, c in columns.items()})
+
+    return _token_files(spark, path, pattern).mapInArrow(run, "docs array<bigint>, lines array<int>, tokens array<binary>, places array<int>, rests array<binary>")
+
+
 def explode_token_lists(lists: DataFrame, key: str = "doc_num") -> DataFrame:
     """(doc_id, pos, term) of token lists; repeated lines of a token are merged by the index."""
     return lists.select(F.col(key).cast("bigint").alias("doc_id"), F.explode("positions").alias("pos"), F.col("token").alias("term"))

@@ -41,6 +41,12 @@ def put(where: fs.FileSystem, path: str, content: bytes) -> None:
     where.move(beside, path)
 
 
+def remove(folder: str) -> None:
+    """Deletes a folder and the files in it."""
+    where, base = file_system(folder)
+    where.delete_dir(base)
+
+
 def write_named(files: DataFrame, folder: str) -> int:
     """Writes (filename, value) rows as text files of these names and returns how
     many. A name must occur once; rows without a name are left out, a NULL value is

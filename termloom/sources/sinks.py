@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem_ru
@@ -19,6 +19,7 @@ from ..functions.text import folded, tokens_array
 from ..operators.index import Index
 from ..operators.skew import fragment_replicate_join
 from ..operators.zipf import zipf_regression
+from .files import read_token_columns
 from .named import WRITTEN, file_system, put, write_named
 
 
@@ -125,6 +126,34 @@ def write_stemmed_tokens(lines: DataFrame, path: str) -> int:
     return write_named(_token_files(stems.select("doc_id", "term", F.rtrim(F.concat_ws(" ", "stem", "rest")).alias("value"))), path)
 
 
+def stem_token_files(spark: SparkSession, source: str, path: str, pattern: str = "*.tokens") -> int:
+    """What ``write_stemmed_tokens`` does for the token files of a folder, without a
+    shuffle or join of their lines: the different tokens of the files that a task reads
+    at a time are stemmed once, and the files are written where they were read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = file_system(path)
+        for b in batches:
+            n = 0
+            for i in range(b.num_rows):
+                docs, lines, stems, places, rests = (c[i].values for c in b.columns)
+                stem = stems.cast(pa.binary()).take(places)
+                values = pc.if_else(pc.equal(pc.binary_length(rests), 0), stem, pc.binary_join_element_wise(stem, rests, b" "))
+                if not len(values):
+                    continue
+                rows, texts = _joined_lines(np.repeat(np.arange(len(docs)), lines.to_numpy(zero_copy_only=False)), values)
+                for doc, content in zip(docs.take(pa.array(rows)).to_pylist(), texts):
+                    put(where, f"{base}/{TOKEN_FILE % doc}", content + b"\n")
+                n += len(texts)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    target, base = file_system(path)
+    target.create_dir(base, recursive=True)
+    stems = F.transform("tokens", lambda t: stem_ru.stem_ru(t.cast("string")))
+    rows = read_token_columns(spark, source, pattern).select("docs", "lines", stems.alias("stems"), "places", "rests")
+    return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """CSV with a header; with ``order`` the files follow each other in it."""
     (df.orderBy(*order) if order else df).write.csv(path, header=True)

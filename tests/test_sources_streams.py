@@ -59,6 +59,22 @@ def test_many_token_files(spark, tmp_path):
     assert "Aggregate" not in many._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_stemmed_token_files(spark, tmp_path):
+    """Files stemmed where they are read are those that a join of all lines gives."""
+    (tmp_path / "in").mkdir()
+    for name, content in (ODD_FILES | {f"doc{i:05d}.tokens": f"книги {i}\nкнигой 1 2\nпрограммирование\nкниги 0\nё\n".encode() for i in range(10, 200)}).items():
+        (tmp_path / "in" / name).write_bytes(content)
+    sinks.write_stemmed_tokens(files.read_token_lines(spark, f"{tmp_path}/in"), f"{tmp_path}/joined")
+    want = {f.name: f.read_bytes() for f in (tmp_path / "joined").iterdir()}
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("stems", "")
+    assert sinks.stem_token_files(spark, f"{tmp_path}/in", f"{tmp_path}/out") == len(want) == 194
+    tasks = sum(jobs.getStageInfo(s).numTasks for j in jobs.getJobIdsForGroup("stems") for s in jobs.getJobInfo(j).stageIds)
+    spark.sparkContext.setJobGroup("", "")
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()} == want
+    assert want["doc00010.tokens"].decode() == "книг 0\nкниг 10\nкниг 1 2\nпрограммирован\nё\n" and tasks <= 12
+
+
 def test_document_token_files(spark, tmp_path):
     own = spark.createDataFrame([(1, "b a A книги"), (2, None), (3, "…"), (None, "c"), (100000, "a-b a\nё 𝒳")], "doc_id int, text string")
     for positions in (True, False):
