@@ -36,8 +36,8 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "doc*.txt") -> Da
     )
 
 
-CHUNK_BYTES = 4 << 20  # of token files that are cut into lines at a time, about
-CHUNK_FILES = 1000
+CHUNK_BYTES = 16 << 20  # of token files that are cut into lines at a time, about
+CHUNK_FILES = 5000
 _ODD = (b"\t", b"\r", b"  ", b" \n", b"\n ", b"\xef\xbb\xbf")
 
 
